@@ -1,0 +1,51 @@
+"""Where operators keep tables and files that several executors must see.
+
+The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
+machine, is a folder of our own made and set.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder that the driver and all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-junctura-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """URI of a folder of its own for one run; it is not created yet."""
+    return f"{shared_dir(spark).rstrip('/')}/junctura-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    where = new_dir(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def drop(spark: SparkSession, where: str) -> None:
+    """Remove a folder that new_dir() named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI; works in the driver and in tasks."""
+    return pafs.FileSystem.from_uri(uri)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
