@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, storage, token_files
+from .. import deploy
+from . import decontamination, line_dedup, packing, quality, simhash, storage, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    deploy.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,5 +24,29 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, uri, digest_only=True)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line of any document is like."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_removed", "text")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' fingerprints and the components that links of at most 4 bits make."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' words inside 10-word phrases of benchmark items."""
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' counts and the line-first verdict."""
+    judged = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op3_token_files": op3_token_files}
+    return {f.__name__: f for f in (op1_packing, op3_token_files, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules)}

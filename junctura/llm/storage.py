@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +49,18 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, key: str) -> DataFrame:
+    """docs and ``key``, unique and ascending in (doc_id, text): doc_id itself where it has neither nulls nor repeats."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ranged = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn(key, F.monotonically_increasing_id()), "numbered")
