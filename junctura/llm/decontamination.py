@@ -118,3 +118,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     out = docs_hit.join(items, ["d", "h"], "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("d", "h", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """All columns of docs; only rows in which no phrase of a benchmark item stands."""
+    matched, _ = exact_matches(docs, benchmark, n)
+    hit = storage.stored(matched.filter("size(hits) > 0").select("d", "h").distinct(), "contaminated")
+    d, h = storage.free_name("_d", docs), storage.free_name("_h", docs)
+    keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(_small(hit.select(F.col("d").alias(d), F.col("h").alias(h))), [d, h], "left_anti").select(*(f"`{c}`" for c in docs.columns))

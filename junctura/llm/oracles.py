@@ -43,5 +43,13 @@ from d left join words using (r) left join items using (r)
 """
 
 
+WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from d)
+select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}
+    return {"op4_warc": WARC, "op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import deploy
-from . import decontamination, line_dedup, packing, quality, simhash, storage, token_files
+from . import chat, decontamination, line_dedup, packing, pii, quality, secrets, simhash, storage, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data."""
+    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back by the salvage reader."""
+    uri = warc.write(_table(spark, sf_dir, "pages"), storage.new_dir(spark, "warc"))
+    return warc.page_records(warc.read(spark, uri))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole documents."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted into windows and read back."""
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.windows(turns))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_token_files, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules)}
+    ops = (op1_packing, op2_pii, op3_token_files, op4_warc, op5_secrets, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules, op10_chat)
+    return {f.__name__: f for f in ops}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -29,7 +30,7 @@ class FragmentEncoder:
     A fragment is a blank or a line feed and the word after it.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,9 +48,16 @@ class FragmentEncoder:
 
     def lines(self, text: str) -> list[list[str]] | None:
         """Words of each line, if the text can be encoded word by word."""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.specials):
+        words = text.split()
+        separators = text.count(" ") + text.count("\n")
+        if len(words) != separators + 1 or len("".join(words)) + separators != len(text) or any(s in text for s in self.specials):
             return None
-        return [line.split(" ") for line in text.split("\n")]
+        out, a = [], 0
+        for line in text.split("\n"):
+            b = a + line.count(" ") + 1
+            out.append(words[a:b])
+            a = b
+        return out
 
     def _one_by_one(self, before: str, words: list[str]) -> list[bytes]:
         """Ids of ``before`` and each word; all are encoded in one text, where line feeds part them."""
@@ -66,10 +74,9 @@ class FragmentEncoder:
     def _learn(self, before: str, words: set[str]) -> None:
         """Encode new words."""
         known, older, marks = self.known[before], self.older[before], self.marks
-        words = words.difference(known)
         for w in words.intersection(older):
             known[w] = older[w]
-        words.difference_update(known)
+        words.difference_update(older)
         # a mark after a Latin letter is a token sequence of its own
         marked = [w for w in words if w[-1] in marks and len(w) > 1 and w[-2] < "\u0250" and w[-2].isalpha()]
         words.difference_update(marked)
@@ -91,8 +98,9 @@ class FragmentEncoder:
         cut = [self.lines(t) if t else [] for t in texts]
         if sum(map(len, self.known.values())) > self.most:
             self.known, self.older = {" ": {}, "\n": {}}, self.known
-        self._learn(" ", set().union(*(line[1:] for c in cut if c for line in c)))
-        self._learn("\n", {line[0] for c in cut if c for line in c})
+        known = self.known[" "].__contains__
+        self._learn(" ", {w for c in cut if c for line in c for w in filterfalse(known, islice(line, 1, None))})
+        self._learn("\n", {line[0] for c in cut if c for line in c if line[0] not in self.known["\n"]})
         first, rest, out = self.known["\n"].__getitem__, self.known[" "].__getitem__, []
         for t, c in zip(texts, cut):
             if c is None:
@@ -101,7 +109,7 @@ class FragmentEncoder:
             ids: list[bytes] = []
             for line in c:
                 ids.append(first(line[0]))
-                ids += map(rest, line[1:])
+                ids += map(rest, islice(line, 1, None))
             out.append(b"".join(ids)[self.line_feed :])
         return out
 
