@@ -332,7 +332,7 @@ def audit_counts(t):
     return curation.audit(st_, m, t("customer").select(F.col("c_custkey").alias("cluster_key")), _decisions(t))
 
 
-@query("select l_orderkey as entity_id, string_agg(l_partkey || '', ',' order by r, l_partkey || '') as members, arg_min(p_name, cast(r as bigint) * 1000000 + l_partkey) as display_name from (select distinct l_orderkey, l_partkey, p_name, case when p_size % 10 > 0 then p_size % 10 else 1073741824 end as r from lineitem join part on p_partkey = l_partkey) group by 1 having count(*) >= 2")
+@query("select l_orderkey as entity_id, string_agg(l_partkey || '', ',' order by r, l_partkey || '') as members, first(p_name order by r, l_partkey || '') as display_name from (select distinct l_orderkey, l_partkey, p_name, case when p_size % 10 > 0 then p_size % 10 else 1073741824 end as r from lineitem join part on p_partkey = l_partkey) group by 1 having count(*) >= 2")
 def workspace_merge(t):
     """WSP01, WSP08, PIP13."""
     ranks = t("part").select(F.col("p_partkey").cast("string").alias("ref"), (F.col("p_size") % 10).alias("rank"), F.col("p_name").alias("name"))
