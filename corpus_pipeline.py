@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from junctura.deploy import ship
-from junctura.llm import decontamination, line_dedup, packing, quality, simhash, storage
+from junctura import storage
+from junctura.llm import decontamination, line_dedup, packing, quality, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: For near-duplicates of documents: shingles of five words, fingerprints at most four bits apart.

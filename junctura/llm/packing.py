@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import storage, tokens
+from .. import storage
+from . import tokens
 
 CAPACITY = 1024
 #: Items of one partition; what a task holds in memory follows from it.

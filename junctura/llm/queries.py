@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import deploy
-from . import chat, decontamination, line_dedup, packing, pii, quality, secrets, simhash, storage, token_files, warc
+from .. import deploy, storage
+from . import chat, decontamination, line_dedup, packing, pii, quality, secrets, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The pipeline's stages against brute force on a small fixture."""
 
 import corpus_pipeline as p
-from junctura.llm import storage
+from junctura import storage
 
 from .fixtures import documents, odd_texts, texts
 from .test_line_dedup import brute

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from junctura.llm import simhash
-from junctura.llm.components import components
+from junctura.operators.graph import components
 
 from .fixtures import documents, odd_texts, texts
 

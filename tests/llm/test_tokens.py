@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from junctura.llm import packing, storage, token_files, tokens
+from junctura import storage
+from junctura.llm import packing, token_files, tokens
 
 from .fixtures import documents, odd_texts, texts
 

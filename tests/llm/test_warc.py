@@ -1,6 +1,7 @@
 import gzip
 
-from junctura.llm import storage, warc
+from junctura import storage
+from junctura.llm import warc
 
 HTML = "<p>" + "long enough to be a revisit ü " * 5
 
