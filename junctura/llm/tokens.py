@@ -10,8 +10,8 @@ line, or with a special token's string in them, are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
-from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -24,93 +24,150 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_STEP = 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64: the first 2 ** 20, and each 2 ** 20-th."""
+    if not _POWERS:
+        base = 0xD1342543DE82EF95
+        for p in (base, pow(base, -1, 1 << 64)):
+            for q, n in ((p, _STEP), (pow(p, _STEP, 1 << 64), 1 << 12)):
+                x = np.full(n, q, "u8")
+                x[0] = 1
+                _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS
+
+
+_BLANK = np.isin(np.arange(256), [10, 32])
+#: Bytes that make a text irregular: other white space of ASCII.
+_ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
+#: White space above ASCII, as UTF-8; fixed values.
+_WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
 class FragmentEncoder:
-    """Ids as little-endian unsigned 32-bit bytes; keeps at most about twice ``most`` encoded fragments.
+    """Ids of texts; keeps the ids of at most about ``most`` fragments in one array.
 
-    A fragment is a blank or a line feed and the word after it.
+    A fragment is a blank or a line feed and the word after it. Hashes of all words of a batch come from one running sum over its bytes; only
+    distinct words are looked up, and only new ones are encoded.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.most = most
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.older: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.marks = {m: self._library(m) for m in ".,;:!?"}
-        self.line_feed = len(self._library("\n"))
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def lines(self, text: str) -> list[list[str]] | None:
-        """Words of each line, if the text can be encoded word by word."""
-        words = text.split()
-        separators = text.count(" ") + text.count("\n")
-        if len(words) != separators + 1 or len("".join(words)) + separators != len(text) or any(s in text for s in self.specials):
-            return None
-        out, a = [], 0
-        for line in text.split("\n"):
-            b = a + line.count(" ") + 1
-            out.append(words[a:b])
-            a = b
-        return out
-
-    def _one_by_one(self, before: str, words: list[str]) -> list[bytes]:
-        """Ids of ``before`` and each word; all are encoded in one text, where line feeds part them."""
-        if len(feed := self._library("\n")) == 4:
-            ids = np.frombuffer(self._library("\n".join(" " + w for w in words) if before == " " else "\n" + "\n".join(words)), "<u4")
-            at = 4 * np.flatnonzero(ids == np.frombuffer(feed, "<u4")[0])
-            if len(at) == len(words) - (before == " "):
-                at, ids = at.tolist(), ids.tobytes()
-                if before == " ":
-                    return [ids[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(ids)])]
-                return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]
-        return [self._library(before + w) for w in words]
-
-    def _learn(self, before: str, words: set[str]) -> None:
-        """Encode new words."""
-        known, older, marks = self.known[before], self.older[before], self.marks
-        for w in words.intersection(older):
-            known[w] = older[w]
-        words.difference_update(older)
-        # a mark after a Latin letter is a token sequence of its own
-        marked = [w for w in words if w[-1] in marks and len(w) > 1 and w[-2] < "\u0250" and w[-2].isalpha()]
-        words.difference_update(marked)
-        for w in marked:
-            if (base := w[:-1]) not in known:
-                if base in older:
-                    known[base] = older[base]
-                else:
-                    words.add(base)
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self._one_by_one(before, part)))
-        for w in marked:
-            known[w] = known[w[:-1]] + marks[w[-1]]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        cut = [self.lines(t) if t else [] for t in texts]
-        if sum(map(len, self.known.values())) > self.most:
-            self.known, self.older = {" ": {}, "\n": {}}, self.known
-        known = self.known[" "].__contains__
-        self._learn(" ", {w for c in cut if c for line in c for w in filterfalse(known, islice(line, 1, None))})
-        self._learn("\n", {line[0] for c in cut if c for line in c if line[0] not in self.known["\n"]})
-        first, rest, out = self.known["\n"].__getitem__, self.known[" "].__getitem__, []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self._library(t))
+        self.feed = self._library("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool, self.used = np.empty(1 << 16, "<u4"), 0
+        self.starts, self.sizes = np.empty(1 << 14, "i8"), np.empty(1 << 14, "i4")
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes], before: bytes) -> None:
+        """Encode new words, all in one text where line feeds part them, and keep their ids."""
+        text = (b"\n".join(b" " + w for w in words) if before == b" " else b"\n" + b"\n".join(words)).decode()
+        ids = self._library(text)
+        at = np.flatnonzero(ids == self.feed[0])
+        if len(self.feed) == 1 and len(at) == len(words) - (before == b" "):
+            starts = np.concatenate([[0], at + 1]) if before == b" " else at
+            ends = np.concatenate([at, [len(ids)]]) if before == b" " else np.concatenate([at[1:], [len(ids)]])
+        else:
+            each = [self._library((before + w).decode()) for w in words]
+            ids = np.concatenate(each)
+            ends = np.cumsum([len(x) for x in each])
+            starts = ends - [len(x) for x in each]
+        n, m = len(self.known), len(words)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while len(self.starts) < n + m:
+            self.starts, self.sizes = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.sizes, np.empty_like(self.sizes)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m], self.sizes[n : n + m] = starts + self.used, ends - starts
+        self.used += len(ids)
+        self.known.update(zip(hashes.tolist(), range(n, n + m)))
+
+    def _fragments(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that are regular: words, single blanks and line feeds between them."""
+        buf = b"\n".join(parts)
+        a = np.frombuffer(buf, "u1")
+        lengths = np.fromiter(map(len, parts), "i8", len(parts)) + 1
+        begins = np.cumsum(lengths) - lengths
+        gaps = np.flatnonzero(_BLANK[a])
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(a)]])
+        first = np.concatenate([[True], a[gaps] == 10])
+        up, up_far, down, down_far = _powers()
+        with np.errstate(over="ignore"):
+            at = np.arange(len(a))
+            power = up[: len(a)] if len(a) <= _STEP else up[at & (_STEP - 1)] * up_far[at >> 20]
+            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((a.astype("u8") + np.uint64(1)) * power, dtype="u8")])
+            h = (sums[ends] - sums[starts]) * (down[starts & (_STEP - 1)] * down_far[starts >> 20])
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+            h ^= first  # the lowest bit tells what stands before
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > self.most:
+            self._forget()
+        get = self.known.get
+        index = np.fromiter((get(x, -1) for x in distinct.tolist()), "i8", len(distinct))
+        for before, side in ((b" ", 1), (b"\n", 0)):
+            new = np.flatnonzero((index < 0) & ((distinct & np.uint64(1)) == side))
+            for k in range(0, len(new), 8192):
+                some = new[k : k + 8192]
+                n = len(self.known)
+                self._learn(distinct[some], [buf[p:q] for p, q in zip(starts[where[some]].tolist(), ends[where[some]].tolist())], before)
+                index[some] = np.arange(n, n + len(some))
+        word = index[back]
+        size = self.sizes[word].astype("i8")
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(self.starts[word] - (stop - size), size) + np.arange(int(stop[-1]))]
+        # a text's first word was encoded after a line feed that is not there
+        head = np.searchsorted(starts, begins)
+        a0 = (stop - size)[head] + len(self.feed)
+        a1 = np.concatenate([(stop - size)[head[1:]], stop[-1:]])
+        return [ids[p:q] for p, q in zip(a0.tolist(), a1.tolist())]
+
+    def _regular(self, part: bytes) -> bool:
+        if not part or b"  " in part or b"\n\n" in part or b" \n" in part or b"\n " in part or part[0] in b" \n" or part[-1] in b" \n":
+            return False
+        return not _ODD[np.frombuffer(part, "u1")].any() and not _WIDE.search(part) and not any(s in part for s in self.specials)
+
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids of each text, as ``<u4``."""
+        out: list[np.ndarray | None] = []
+        held: list[bytes] = []
+        places: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(places, self._fragments(held)):
+                out[k] = ids
+            held.clear()
+            places.clear()
+
+        for t in texts:
+            part = t.encode()
+            if not self._regular(part):
+                out.append(self._library(t) if t else np.empty(0, "<u4"))
                 continue
-            ids: list[bytes] = []
-            for line in c:
-                ids.append(first(line[0]))
-                ids += map(rest, islice(line, 1, None))
-            out.append(b"".join(ids)[self.line_feed :])
+            if held and size + len(part) >= _STEP:
+                flush()
+                size = 0
+            places.append(len(out))
+            out.append(None)
+            held.append(part)
+            size += len(part) + 1
+        if held:
+            flush()
         return out
 
 
@@ -124,10 +181,10 @@ def encoder(path: str) -> FragmentEncoder:
     return _ENCODERS[path]
 
 
-def encoded(path: str, texts: Iterable[str | None], end_id: int | None = END_ID, batch: int = 256) -> Iterable[bytes]:
+def encoded(path: str, texts: Iterable[str | None], end_id: int | None = END_ID, batch: int = 1000) -> Iterable[bytes]:
     """Ids of each text (null: empty) and the end id, as bytes of ``<u4``."""
     enc, end = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     texts = list(texts)
     for i in range(0, len(texts), batch):
         for ids in enc.encode(["" if t is None else t for t in texts[i : i + batch]]):
-            yield ids + end
+            yield ids.tobytes() + end
