@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from junctura.deploy import ship
 from junctura import storage
-from junctura.llm import decontamination, line_dedup, packing, quality, simhash
+from junctura.llm import decontamination, line_dedup, packing, quality, shingle_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: For near-duplicates of documents: shingles of five words, fingerprints at most four bits apart.
+#: For near-duplicates of documents: shingles of five words, of which two documents share a Jaccard similarity of 0.8 or more.
 SHINGLE = 5
 
 
@@ -36,7 +36,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
     ship(spark)
-    return _documents(simhash.keep_first(docs, SHINGLE))
+    return _documents(shingle_join.keep_first(docs, SHINGLE))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
