@@ -24,6 +24,8 @@ from .. import storage
 
 SIMILARITY = (4, 5)  # Jaccard, as a fraction
 CELL_BITS = 21
+#: Bits of a token that lists keep.
+TOKEN_BITS = 31
 #: Members of a token's list that one task holds; longer lists are cut into chunks, and pairs of chunks are tasks.
 LIST = 50_000
 #: Partners that a line proposes from one list in the first round; eight times as many in each next one.
@@ -129,7 +131,7 @@ def _rarity(where: str) -> np.ndarray:
     return _RARITY[where]
 
 
-def _line_sets(h: np.ndarray, line: np.ndarray, grades: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
+def _line_sets(h: np.ndarray, line: np.ndarray, grades: np.ndarray, long: int, bits: int = TOKEN_BITS) -> tuple[np.ndarray, ...]:
     """Of words with their lines (ascending, under 2 ** 17 apart): line, n, h1, h2, parity of each line, and offsets, tokens, places of the prefixes."""
     with np.errstate(over="ignore"):
         grade = grades[h >> np.uint64(64 - CELL_BITS)].astype("u8")
@@ -146,7 +148,7 @@ def _line_sets(h: np.ndarray, line: np.ndarray, grades: np.ndarray, long: int) -
     place = np.arange(len(h)) - np.repeat(starts, n)
     # a token that occurs once in all texts has no partner
     used = (place < np.repeat(n + (p * n // -q) + 1, n)) & (grade != 5)
-    token = (h & np.uint64((1 << 31) - 1)).astype("i8")
+    token = (h & np.uint64((1 << bits) - 1)).astype("i8")
     token = np.where(grade >= long, -1 - token, token)[used].astype("i4")
     offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(used.astype("i8"), starts))])
     return line[starts], n, h1.view("i8"), h2.view("i8"), parity.view("i8"), offsets, token, place[used]
@@ -160,6 +162,8 @@ def lines_of(docs: DataFrame, cells: str) -> DataFrame:
     """
     import pyarrow as pa
 
+    bits = TOKEN_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, long = _rarity(cells), int(_grade(np.array([LIST]))[0])
         seen: dict[tuple[int, int], tuple[int, int]] = {}
@@ -170,7 +174,7 @@ def lines_of(docs: DataFrame, cells: str) -> DataFrame:
                 cut = 0
                 while cut < len(h):
                     end = int(np.searchsorted(line, line[cut] + (1 << 17)))
-                    number, n, h1, h2, parity, offsets, token, place = _line_sets(h[cut:end], line[cut:end], grades, long)
+                    number, n, h1, h2, parity, offsets, token, place = _line_sets(h[cut:end], line[cut:end], grades, long, bits)
                     cut = end
                     text = np.searchsorted(first, number, side="right") - 1
                     d, number = ids[a:e][text], number - first[text]
@@ -195,6 +199,7 @@ def _proposals(f: pd.DataFrame, skip: int, take: int) -> tuple[np.ndarray, np.nd
     """Of whole lists, sorted: rows x, y (y earlier than x in its list) of the ``take`` proposals after each x's first ``skip``, and the x that have more of them."""
     n, place, parity = f["n"].to_numpy("i8"), f["place"].to_numpy("i8"), f["parity"].to_numpy("i8").view("u8")
     mine, two = f["mine"].to_numpy(), f["u"].to_numpy() != f["v"].to_numpy()
+    d, line = f["d"].to_numpy(), f["line"].to_numpy()
     key = f[["token", "u", "v"]].to_numpy()
     new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)]) if len(f) else np.zeros(0, bool)
     start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(f) else np.zeros(0, "i8")
@@ -208,6 +213,7 @@ def _proposals(f: pd.DataFrame, skip: int, take: int) -> tuple[np.ndarray, np.nd
         both = n[x] + n[y]
         need = -(-p * both // (p + q))
         ok = (np.minimum(left[x], left[y]) >= need) & (np.bitwise_count(parity[x] ^ parity[y]) <= both - 2 * need) & (~two[x] | (mine[x] != mine[y]))
+        ok &= (d[x] != d[y]) | (line[x] != line[y])  # two tokens of a line may be equal in the bits kept
         hit = x[ok]
         passed[hit] += 1
         now = passed[hit]

@@ -48,3 +48,11 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c\nd e"), (1, "a b c\nf g"), (1, "a b c\nd e"), (None, "d e"), (2, None)]
     got = {(r.doc_id, r.text, r.lines.n_lines, r.lines.n_removed) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {(None, "d e", 1, 0), (1, "a b c", 2, 1), (1, "", 2, 2), (1, "f g", 2, 1), (2, None, 0, 0)}
+
+
+def test_equal_tokens_of_a_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TOKEN_BITS", 3)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:30])), *((2 + i, t) for i, t in enumerate(texts(40, seed=7)))]
+    got = result(line_dedup.dedup_lines(documents(spark, rows)))
+    assert got == brute(rows) and got[:2] == [t for _, t in rows[:2]]
