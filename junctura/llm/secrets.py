@@ -3,13 +3,15 @@
 The patterns (assign, access, hex) are always reported. The method adds spans: a run of secret-like characters with a
 sensitive word close before it, in code or prose, is compressed with a dictionary made of a stock of
 identifiers and of the text around it. Its marginal bytes, what it adds to the compressed surroundings, tell whether it says anything that
-the surroundings and ordinary names don't: a string that stays incompressible is reported as ``novel``.
+the surroundings and ordinary names don't: a string that stays incompressible is reported as ``novel``. Runs are maximal, and each is measured and reported once,
+whole, but for a sensitive name in its head (``client_secret=``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +28,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private", "signature", "access_key", "client_id", "webhook", "session")
 CONTEXT = re.compile(r"(?ai)" + "|".join(map(re.escape, SENSITIVE)))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$!@#%^&*.-]{12,}")
+#: Words and camel-case names. A plain word costs the compressor as many bytes as random letters do, so it takes more of them.
+WORDS = re.compile(r"(?:[^A-Za-z0-9]*(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}))+[^A-Za-z0-9]*")
 #: Names that code is full of: a stock for the compressor, as fixed values.
 IDENTIFIERS = (
     "abstract accept account action address append application argument array attribute authorization background boolean buffer builder button bytes callback "
@@ -59,8 +63,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Novelty:
-    def __init__(self, around: int = 400, reach: int = 48, bits: float = 4.2, least: int = 12):
-        self.around, self.reach, self.bits, self.least = around, reach, bits, least
+    def __init__(self, around: int = 400, reach: int = 48, bits: float = 4.2, least: int = 12, least_words: int = 24):
+        self.around, self.reach, self.bits, self.least, self.least_words = around, reach, bits, least, least_words
         self.stock = IDENTIFIERS.encode()
 
     def marginal_bytes(self, candidate: str, before: str, after: str) -> int:
@@ -76,22 +80,40 @@ class Novelty:
         low = text.lower()
         if not any(k in low for k in SENSITIVE):
             return []
-        out, taken = [], sorted((a, b) for a, b, _ in known)
-        seen = set()
-        for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + self.reach + 512)):
-                a, b = m.span()
-                if a - word.end() > self.reach or (a, b) in seen or a == word.end() and text[a].isalnum():
-                    continue
-                seen.add((a, b))
-                if any(x < b and a < y for x, y in taken) or not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]):
-                    continue
-                got = self.marginal_bytes(m[0], text[max(0, a - self.around) : a], text[b : b + self.around])
-                if 8 * got >= self.bits * len(m[0]) and got >= self.least:
-                    out.append((a, b, "novel"))
+        out = []
+        words = [(m.start(), m.end()) for m in CONTEXT.finditer(text)]
+        starts = [x for x, _ in words]
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            k = bisect_left(starts, a)
+            # words hold only characters of runs, so one that starts before a run ends before it
+            sensitive = k > 0 and a - words[k - 1][1] <= self.reach
+            # a name in the run's head, as in client_secret=...
+            inner = next((y for x, y in words[k : bisect_left(starts, a + self.reach)] if b - y >= self.least and not text[y].isalnum()), None)
+            if inner is not None and (not sensitive or text[inner] == "="):
+                a = inner
+            elif not sensitive:
+                continue
+            # what fixed patterns leave of it
+            if b - a - sum(max(0, min(b, y) - max(a, x)) for x, y in merged(known)) < self.least:
+                continue
+            got = self.marginal_bytes(text[a:b], text[max(0, a - self.around) : a], text[b : b + self.around])
+            if 8 * got >= self.bits * (b - a) and got >= (self.least_words if WORDS.fullmatch(text, a, b) else self.least):
+                out.append((a, b, "novel"))
         return out
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """start, end of what spans cover, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 

@@ -39,3 +39,17 @@ def test_novel_spans():
     assert found("q7Rz0vXk3LmN9pWt5YbH2cJd without such a word") == []
     assert found("client_secret: configuration.parameter1.value") == []
     assert found("the private garden grows well and nothing more happens here") == []
+
+
+def test_whole_runs_once():
+    import random
+
+    r = random.Random(4)
+    scan = secrets.Novelty()
+    found = lambda t: [t[a:b] for a, b, _ in scan.spans(t, secrets.base_spans(t))]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n, chars in ((800, letters + "0123456789"), (24, letters), (14, "0123456789"), (30, letters[26:])):
+        x = "".join(r.choices(chars, k=n))
+        assert found(f"Authorization: Bearer {x} and the rest") == [x]
+        assert found(f"client_credential={x} and the rest") == [f"={x}"]
+    assert found("private responsibilities and administrationOffice") == []
