@@ -4,7 +4,7 @@ A record is a gzip member of its own. Of pages with equal payloads of at least 1
 a response, the others revisit it and carry no payload.
 
 The reader checks each record: member, version line, header, length, end mark, payload digest. After a failed check it searches
-for the next valid member or version line, goes on there, and logs the bytes between as a quarantined gap. It holds one member at a time.
+for the next valid member or version line, whichever comes first and whatever the archive was before, goes on there, and logs the bytes between as a quarantined gap. It holds one member at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .. import storage
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-_CHUNK, _HEAD = 1 << 16, 1 << 20
+START = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
+_CHUNK = 1 << 16
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -106,7 +107,7 @@ def parse(read: Read, at: int, size: int) -> tuple[dict, bytes, int]:
     """Header fields (lower case), payload and end of the record at ``at``, all checks passed."""
     n = _CHUNK
     while (stop := (head := read(at, min(n, size - at))).find(b"\r\n\r\n")) < 0:
-        if not head.startswith(VERSION) or n >= _HEAD or at + n >= size:
+        if not head.startswith(VERSION) or at + n >= size:
             raise Bad("no version line" if not head.startswith(VERSION) else "no end of the header")
         n *= 4
     if not head.startswith(VERSION):
@@ -135,28 +136,26 @@ def parse(read: Read, at: int, size: int) -> tuple[dict, bytes, int]:
     return fields, payload, b + 4
 
 
-def _find(read: Read, what: bytes, at: int, size: int, good: Callable[[int], bool]) -> int:
-    """Next place of ``what`` that is good; size if there is none."""
+def _find(read: Read, at: int, size: int, members: bool = True) -> int:
+    """Next place of a version line at the start of a line, or of a gzip member that begins with one; size if there is none."""
     while at < size:
-        piece = read(at, min(_CHUNK + len(what), size - at))
-        k = piece.find(what)
-        while k >= 0:
-            if good(at + k):
-                return at + k
-            k = piece.find(what, k + 1)
+        for m in START.finditer(read(at, min(_CHUNK + len(VERSION) - 1, size - at))):
+            k = at + m.start()
+            if m.start() < _CHUNK and (read(k - 1, 1) == b"\n" if m[0] == VERSION else members and _member(read, k, size, 64)[0].startswith(VERSION)):
+                return k
         at += _CHUNK
     return size
 
 
 def _region(read: Read, size: int) -> Iterator[tuple]:
-    """Records and gaps of plain bytes: ("record", start, end, fields, payload) and ("gap", start, end, reason)."""
+    """Records and gaps of a member's bytes: ("record", start, end, fields, payload) and ("gap", start, end, reason)."""
     at = 0
     while at < size:
         try:
             fields, payload, end = parse(read, at, size)
             yield "record", at, end, fields, payload
         except Bad as e:
-            end = _find(read, VERSION, at + 1, size, lambda k: read(k - 1, 1) == b"\n")
+            end = _find(read, at + 1, size, members=False)
             yield "gap", at, end, str(e)
         at = end
 
@@ -180,11 +179,17 @@ def _member(read: Read, at: int, size: int, most: int | None = None) -> tuple[by
 
 def salvage(read: Read, size: int) -> Iterator[tuple]:
     """Records and gaps of an archive, compressed by record or not; places are those of the file."""
-    if MAGIC not in read(0, min(size, _CHUNK)):
-        yield from _region(read, size)
-        return
     at = 0
     while at < size:
+        if read(at, len(MAGIC)) != MAGIC:
+            try:
+                fields, payload, end = parse(read, at, size)
+                yield "record", at, end, fields, payload
+            except Bad as e:
+                end = _find(read, at + 1, size)
+                yield "gap", at, end, str(e)
+            at = end
+            continue
         data, end, wrong = _member(read, at, size)
         inner = lambda a, n, data=data: data[a : a + n]
         if not wrong:
@@ -195,7 +200,7 @@ def salvage(read: Read, size: int) -> Iterator[tuple]:
             for x in _region(inner, len(data)):
                 if x[0] == "record":
                     yield (x[0], at, end, *x[3:])
-            end = _find(read, MAGIC, at + 1, size, lambda k: _member(read, k, size, 1)[0].startswith(VERSION[:1]) and _member(read, k, size, 64)[0].startswith(VERSION))
+            end = _find(read, at + 1, size)
             yield "gap", at, end, wrong
         at = end
 

@@ -55,3 +55,23 @@ def test_salvage_of_plain_records():
     assert found(data.replace(b"Content-Length: ", b"Content-Length: 9", 1))[0][-3:] == [f"<urn:page:{i}>" for i in (1, 2, 3)]
     assert found(b"") == ([], [])
     assert found(data[:-1]) == ([f"<urn:page:{i}>" for i in range(3)], [(sum(map(len, plain[:3])), len(data) - 1)])
+
+
+def test_salvage_of_mixed_kinds():
+    plain = records(5)
+    body = gzip.compress(b"<p>a page " * 50, mtime=0)
+    packed = warc._record(9, "u", body, __import__("hashlib").sha256(body).hexdigest(), None, "d")
+    ids = [f"<urn:page:{i}>" for i in range(5)]
+    assert found(packed + b"".join(plain)) == (["<urn:page:9>", *ids], [])
+    assert found(b"x" + packed + b"".join(plain))[0] == ids
+    members = [gzip.compress(r, mtime=0) for r in plain]
+    lost = b"\xff" * 70_000
+    assert found(lost + b"".join(members)) == (ids, [(0, 70_000)])
+    damaged = plain[0][:-9] + b"".join(members[1:3]) + b"??\n" + b"".join(plain[3:])
+    assert found(damaged)[0] == ids[1:]
+
+
+def test_long_header():
+    digest = __import__("hashlib").sha256(b"p").hexdigest()
+    long = warc._record(1, "\x01" * 500_000, b"p", digest, None, "d")
+    assert found(gzip.compress(long)) == (["<urn:page:1>"], []) and found(long + records(1)[0])[0] == ["<urn:page:1>", "<urn:page:0>"]
