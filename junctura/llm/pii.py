@@ -140,7 +140,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     gender, _, name = norm.partition("|")
     script = script_of(name)
     parts = name.split(" ")
-    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + (attempt > 0))).capitalize()
+    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + attempt)).capitalize()  # the space grows until no names collide
     if len(parts) == 1:
         return f"{gender}|{family}"
     first = NAMES[script, gender or "fm"[s.below(2)]]

@@ -36,3 +36,16 @@ def test_collisions_are_keyed_again(spark, monkeypatch):
         got = pii.replace_pii(documents(spark, rows)).collect()
         firsts = [r.pii[0].surrogate for r in got]
         assert len(set(firsts)) == 12 and "Bababa" not in firsts and len({r.pii[1].surrogate for r in got}) == 1
+
+
+def test_more_names_than_the_first_space_holds(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be"])
+
+    def keyed(found, key):  # in the driver, where the syllables are replaced
+        rows = [(r.kind, r.norm, r.attempt, pii.surrogate(key, r.kind, r.norm, r.attempt)) for r in found.select("kind", "norm", "attempt").collect()]
+        return spark.createDataFrame(rows, "kind string, norm string, attempt int, surrogate string")
+
+    monkeypatch.setattr(pii, "_keyed", keyed)
+    rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}x called") for i in range(60)]
+    got = [r.surrogate for r in pii.surrogates(documents(spark, rows), b"k", rounds=12).collect()]
+    assert len(got) == len(set(got)) == 60
