@@ -4,260 +4,62 @@ A line is the set of its words (runs without ASCII white space). It goes if an e
 order and whether that stays or not, has the same set or one of Jaccard similarity 0.8 or more; so what happens to a line does not depend on
 an order of work. Lines without words stay.
 
-Tokens are ordered by rarity: by counts in a table of a fixed number of cells that tokens are hashed to, then by
-token. Any one order is exact; the cells keep what each worker reads at a fixed size. A pair that is similar enough shares a token
-among the first (rarest) of each, its prefix. Lists of the lines with a token in their prefix are searched with the length filter, the positional
-filter and a bound on the sets' difference from one parity word per line. From each list a line proposes only its
-earliest partners that pass; proposals are verified on the full sets, and lines whose proposals all fail although
-their lists had more propose the next ones, until none is left. So large groups of near copies give a few pairs per line.
+Lines of equal bytes (a 128-bit BLAKE2 digest) are one. Others meet by set_join: prefixes of rarest tokens, length and positional filters, parity bounds.
+Proposals are verified on the words themselves; lines whose proposals all fail ask the lists that had more for the next ones, eight times as
+many, until none is left. So large groups of near copies give a few pairs per line.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import storage
+from . import hashing, set_join
+from .set_join import small
 
-SIMILARITY = (4, 5)  # Jaccard, as a fraction
-CELL_BITS = 21
 #: Bits of a token that lists keep.
 TOKEN_BITS = 31
-#: Members of a token's list that one task holds; longer lists are cut into chunks, and pairs of chunks are tasks.
-LIST = 50_000
-#: Partners that a line proposes from one list in the first round; eight times as many in each next one.
-PROPOSALS = 2
-#: Lines or documents that a join broadcasts at most: two or three numbers a row.
-BROADCAST_ROWS = 500_000
-
-
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_STEP = 1 << 19
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64: the first _STEP, and each _STEP-th."""
-    if not _POWERS:
-        base = 0x9E3779B97F4A7C15
-        for p in (base, pow(base, -1, 1 << 64)):
-            for q in (p, pow(p, _STEP, 1 << 64)):
-                x = np.full(_STEP if q == p else 1 << 12, q, "u8")
-                x[0] = 1
-                _POWERS.append(np.multiply.accumulate(x))
-    return _POWERS
-
-
-def _mix(x: np.ndarray, by: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
-    return x ^ (x >> np.uint64(29))
-
-
-def _words(texts: list[str], with_lines: bool = True) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of all words, the line that each stands in (through all texts), and the first line of each text.
-
-    A word's hash is a polynomial of its bytes, so one running sum over all bytes gives those of all words.
-    """
-    parts = [t.encode() for t in texts]
-    a = np.frombuffer(b"\n".join(parts), "u1")
-    lengths = np.fromiter(map(len, parts), "i8", len(parts)) + 1
-    begins = np.cumsum(lengths) - lengths
-    edges = np.diff(np.concatenate([[True], _BLANK[a], [True]]).astype("i1"))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    up, up_far, down, down_far = _powers()
-    at = np.arange(len(a))
-    with np.errstate(over="ignore"):
-        power = up[: len(a)] if len(a) <= _STEP else up[at & (_STEP - 1)] * up_far[at // _STEP]
-        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((a.astype("u8") + np.uint64(1)) * power, dtype="u8")])
-        h = (sums[ends] - sums[starts]) * (down[starts & (_STEP - 1)] * down_far[starts // _STEP])
-        h = _mix(_mix(h, 0xD6E8FEB86659FD93), 0xC2B2AE3D27D4EB4F)
-    if not with_lines:
-        return (h,)
-    feeds = np.flatnonzero(a == 10)
-    return h, np.searchsorted(feeds, starts), np.searchsorted(feeds, begins)
-
-
-def _chunks(texts: pd.Series) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about _STEP characters each."""
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= _STEP:
-            yield a, k + 1
-            a, size = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
-def cell_counts(docs: DataFrame) -> str:
-    """How many words fall to each of the 2 ** CELL_BITS cells; of all texts. A table (cell, n) in the shared folder, for _rarity()."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << CELL_BITS, "u4")
-        for b in batches:
-            for a, e in _chunks(b["text"]):
-                np.add.at(total, _words(b["text"].iloc[a:e].tolist(), False)[0] >> np.uint64(64 - CELL_BITS), 1)
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 100_000):
-            yield pd.DataFrame({"cell": some[a : a + 100_000], "n": total[some[a : a + 100_000]].astype("i8")})
-
-    where = storage.new_dir(docs.sparkSession, "cells")
-    docs.select("text").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).write.parquet(where)
-    return where
-
-
-_RARITY: dict[str, np.ndarray] = {}
-
-
-def _grade(counts: np.ndarray) -> np.ndarray:
-    """Counts as grades of 0 to 127, five to an octave; 5 is a count of one."""
-    return np.minimum(127, 5 * np.log2(counts + 1.0)).astype("u1")
-
-
-def _rarity(where: str) -> np.ndarray:
-    """cell_counts()' table as grades, an array of a fixed size; read once per worker."""
-    if where not in _RARITY:
-        import pyarrow.dataset as ds
-
-        fs, at = storage.filesystem(where)
-        grades = np.zeros(1 << CELL_BITS, "u1")
-        for b in ds.dataset(at, filesystem=fs, format="parquet").to_batches():
-            grades[b["cell"].to_numpy()] = _grade(b["n"].to_numpy())
-        _RARITY.clear()
-        _RARITY[where] = grades
-    return _RARITY[where]
-
-
-def _line_sets(h: np.ndarray, line: np.ndarray, grades: np.ndarray, long: int, bits: int = TOKEN_BITS) -> tuple[np.ndarray, ...]:
-    """Of words with their lines (ascending, under 2 ** 17 apart): line, n, h1, h2, parity of each line, and offsets, tokens, places of the prefixes."""
-    with np.errstate(over="ignore"):
-        grade = grades[h >> np.uint64(64 - CELL_BITS)].astype("u8")
-        key = ((line - line[0]).astype("u8") << np.uint64(47)) | (grade << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
-        order = np.argsort(key)
-        h, line, grade = h[order], line[order], grade[order]
-        new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
-        h, line, grade = h[new], line[new], grade[new]
-        starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        n = np.diff(np.concatenate([starts, [len(h)]]))
-        h1, h2 = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), starts), np.add.reduceat(_mix(h, 0xBF58476D1CE4E5B9), starts)
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(h, 0x94D049BB133111EB) >> np.uint64(58)), starts)
-    p, q = SIMILARITY
-    place = np.arange(len(h)) - np.repeat(starts, n)
-    # a token that occurs once in all texts has no partner
-    used = (place < np.repeat(n + (p * n // -q) + 1, n)) & (grade != 5)
-    token = (h & np.uint64((1 << bits) - 1)).astype("i8")
-    token = np.where(grade >= long, -1 - token, token)[used].astype("i4")
-    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(used.astype("i8"), starts))])
-    return line[starts], n, h1.view("i8"), h2.view("i8"), parity.view("i8"), offsets, token, place[used]
 
 
 def lines_of(docs: DataFrame, cells: str) -> DataFrame:
-    """d, line, n, h1, h2 (a 128-bit hash of the set), parity (a word with a bit flipped by each token), token and place arrays (the prefix).
-
-    Tokens are 31-bit hashes, negative where their list may be long; those of no partner are left out. Lines whose set stands earlier in the same task's rows have empty
-    prefixes: the earlier one asks for them.
-    """
-    import pyarrow as pa
-
+    """The lines with words as set_join's items; tokens are 31-bit hashes. Lines that stand earlier in the same task's rows have empty prefixes."""
     bits = TOKEN_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, long = _rarity(cells), int(_grade(np.array([LIST]))[0])
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        grades = set_join.rarity(cells)
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ids, texts = batch["d"].to_numpy(), pd.Series(batch["text"].to_pylist(), dtype=object)
-            for a, e in _chunks(texts):
-                h, line, first = _words(texts.iloc[a:e].tolist())
+            ids = batch["d"].to_numpy()
+            for buf, row, begins, base in hashing.pieces(batch["text"]):
+                h, starts = hashing.words(buf)
+                feeds = np.flatnonzero(np.frombuffer(buf, "u1") == 10)
+                line, first, texts = np.searchsorted(feeds, starts), np.searchsorted(feeds, begins), buf.split(b"\n")
                 cut = 0
                 while cut < len(h):
                     end = int(np.searchsorted(line, line[cut] + (1 << 17)))
-                    number, n, h1, h2, parity, offsets, token, place = _line_sets(h[cut:end], line[cut:end], grades, long, bits)
+                    number, n, *rest = set_join.sets(h[cut:end], line[cut:end], grades, bits)
                     cut = end
-                    text = np.searchsorted(first, number, side="right") - 1
-                    d, number = ids[a:e][text], number - first[text]
+                    of = np.searchsorted(first, number, side="right") - 1
+                    digests = [hashlib.blake2b(texts[k], digest_size=16).digest() for k in number.tolist()]
+                    d, number = ids[row + of], number - first[of] + base
                     fresh = np.ones(len(d), bool)
-                    for k, (x, y, i, m) in enumerate(zip(h1.tolist(), h2.tolist(), d.tolist(), number.tolist())):
-                        if (before := seen.get((x, y))) is None or (i, m) < before:
-                            seen[x, y] = (i, m)
+                    for k, x in enumerate(zip(digests, d.tolist(), number.tolist())):
+                        if (before := seen.get(x[0])) is None or x[1:] < before:
+                            seen[x[0]] = x[1:]
                         else:
                             fresh[k] = False
-                    if len(seen) > 100_000:
+                    if len(seen) > 200_000:
                         seen.clear()
-                    size = np.where(fresh, np.diff(offsets), 0)
-                    keep = np.repeat(fresh, np.diff(offsets))
-                    at = pa.array(np.concatenate([[0], np.cumsum(size)]).astype("i4"))
-                    cols = {"d": d, "line": number.astype("i4"), "n": n.astype("i4"), "h1": h1, "h2": h2, "parity": parity}
-                    yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()} | {"token": pa.ListArray.from_arrays(at, pa.array(token[keep])), "place": pa.ListArray.from_arrays(at, pa.array(place[keep].astype("i4")))})
-
-    return docs.select("d", "text").mapInArrow(run, "d long, line int, n int, h1 long, h2 long, parity long, token array<int>, place array<int>")
-
-
-def _proposals(f: pd.DataFrame, skip: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole lists, sorted: rows x, y (y earlier than x in its list) of the ``take`` proposals after each x's first ``skip``, and the x that have more of them."""
-    n, place, parity = f["n"].to_numpy("i8"), f["place"].to_numpy("i8"), f["parity"].to_numpy("i8").view("u8")
-    mine, two = f["mine"].to_numpy(), f["u"].to_numpy() != f["v"].to_numpy()
-    d, line = f["d"].to_numpy(), f["line"].to_numpy()
-    key = f[["token", "u", "v"]].to_numpy()
-    new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)]) if len(f) else np.zeros(0, bool)
-    start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(f) else np.zeros(0, "i8")
-    rank = np.arange(len(f)) - start
-    left, passed = n - place, np.zeros(len(f), "i8")
-    p, q = SIMILARITY
-    xs, ys, k = [], [], 0
-    x = np.flatnonzero(f["asks"].to_numpy(bool) & (rank > 0))
-    while len(x):
-        y = start[x] + k
-        both = n[x] + n[y]
-        need = -(-p * both // (p + q))
-        ok = (np.minimum(left[x], left[y]) >= need) & (np.bitwise_count(parity[x] ^ parity[y]) <= both - 2 * need) & (~two[x] | (mine[x] != mine[y]))
-        ok &= (d[x] != d[y]) | (line[x] != line[y])  # two tokens of a line may be equal in the bits kept
-        hit = x[ok]
-        passed[hit] += 1
-        now = passed[hit]
-        now = (now > skip) & (now <= skip + take)
-        xs.append(hit[now])
-        ys.append(y[ok][now])
-        k += 1
-        x = x[(rank[x] > k) & (passed[x] <= skip + take)]
-    more = np.flatnonzero(passed > skip + take)
-    return (np.concatenate(xs), np.concatenate(ys), more) if xs else (more, more, more)
-
+                    t = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    cols = {"d": pa.array(d), "line": pa.array(number.astype("i4")), "n": pa.array(n.astype("i4")), "t": pa.array(t[:, 0].copy()), "t2": pa.array(t[:, 1].copy())}
+                    yield pa.RecordBatch.from_pydict(cols | set_join.item_columns(fresh, n, *rest))
 
-def _proposed(lists: DataFrame, skip: int, take: int) -> DataFrame:
-    """lists: token, u, v (cell of a long list), d, line, n, place, parity, asks, mine; dealt by list and sorted. Gives x, y lines; y null: x has more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def done(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            f = pd.concat(frames, ignore_index=True)
-            x, y, more = _proposals(f, skip, take)
-            d, line = f["d"].to_numpy(), f["line"].to_numpy()
-            none = np.full(len(more), -1)
-            return pd.DataFrame({"xd": np.concatenate([d[x], d[more]]), "xl": np.concatenate([line[x], line[more]]), "yd": np.concatenate([d[y], none]), "yl": np.concatenate([line[y], none])})
-
-        for b in batches:
-            if not len(b):
-                continue
-            # the last list of a batch may go on in the next
-            last = ((b["token"] == b["token"].iloc[-1]) & (b["u"] == b["u"].iloc[-1]) & (b["v"] == b["v"].iloc[-1])).to_numpy()
-            cut = len(b) if last.all() else int(np.flatnonzero(~last)[-1]) + 1
-            if last.all() and held and tuple(held[-1][["token", "u", "v"]].iloc[-1]) == tuple(b[["token", "u", "v"]].iloc[0]):
-                held.append(b)
-                continue
-            yield done([*held, b.iloc[:cut]] if not last.all() else held or [b.iloc[:0]])
-            held = [b.iloc[cut:]] if not last.all() else [b]
-        if held:
-            yield done(held)
-
-    return lists.mapInPandas(run, "xd long, xl int, yd long, yl int")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return docs.select("d", "text").mapInArrow(run, set_join.ITEM)
 
 
 def _with_lines(body):
@@ -266,80 +68,75 @@ def _with_lines(body):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, line, tokens (64-bit hashes of the distinct words) of the wanted lines (d, line)."""
+    """d, line, words (distinct) of the wanted lines (d, line)."""
     by_doc = wanted.groupBy("d").agg(F.collect_set("line").alias("numbers"))
-    picked = _with_lines(lambda lines: F.transform("numbers", lambda k: F.struct(k.alias("line"), F.get(lines, k).alias("t"))))
-    found = docs.join(_small(by_doc), "d").select("d", F.explode(picked).alias("x"))
-    words = F.filter(F.split("x.t", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return found.select("d", "x.line", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("tokens"))
-
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, line, words, size = [], [], [], 0
+            for doc, text, numbers in zip(b["d"].to_pylist(), b["text"].cast(pa.large_binary()), b["numbers"].to_pylist()):
+                lines = text.as_py().split(b"\n")
+                for k in numbers:
+                    d.append(doc), line.append(k), words.append(list(set(lines[k].split())))
+                    size += len(words[-1])
+                    if size > 200_000:
+                        yield pa.RecordBatch.from_pydict({"d": pa.array(d, "i8"), "line": pa.array(line, "i4"), "words": pa.array(words, pa.list_(pa.string()))})
+                        d, line, words, size = [], [], [], 0
+            if d:
+                yield pa.RecordBatch.from_pydict({"d": pa.array(d, "i8"), "line": pa.array(line, "i4"), "words": pa.array(words, pa.list_(pa.string()))})
+
+    return docs.join(small(by_doc, 4, F.size("numbers")), "d").select("d", "text", "numbers").mapInArrow(run, "d long, line int, words array<string>")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, tmp: storage.Tables) -> DataFrame:
     """xd, xl of the pairs whose sets are similar enough."""
     pairs = pairs.select("xd", "xl", "yd", "yl")
     ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("line")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("line"))).distinct()
-    sets = storage.stored(_sets(docs, ends), "line-sets")
-    x = sets.select(F.col("d").alias("xd"), F.col("line").alias("xl"), F.col("tokens").alias("xt"))
-    y = sets.select(F.col("d").alias("yd"), F.col("line").alias("yl"), F.col("tokens").alias("yt"))
+    sets = tmp.stored(_sets(docs, ends), "line-sets")
+    x = sets.select(F.col("d").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xt"))
+    y = sets.select(F.col("d").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yt"))
     both = F.size(F.array_intersect("xt", "yt"))
-    p, q = SIMILARITY
+    p, q = set_join.SIMILARITY
     met = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    return storage.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select("xd", "xl").distinct(), "similar")
+    return tmp.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select("xd", "xl").distinct(), "similar")
 
 
-def _answered(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _answered(docs: DataFrame, found: DataFrame, tmp: storage.Tables) -> DataFrame:
     """xd, xl of the lines with a proposal that holds: the one that most lists make first, the others only where it fails."""
-    pairs = found.filter("yl >= 0").groupBy("xd", "xl", "yd", "yl").agg(F.count("*").alias("lists"))
-    best = storage.stored(pairs.groupBy("xd", "xl").agg(F.max_by(F.struct("yd", "yl"), F.struct("lists", "yd", "yl")).alias("y")).select("xd", "xl", "y.*"), "best")
-    held = _verified(docs, best)
-    rest = storage.stored(pairs.join(held, ["xd", "xl"], "left_anti").join(best, ["xd", "xl", "yd", "yl"], "left_anti"), "others")
-    return held.unionByName(_verified(docs, rest)) if rest.limit(1).count() else held
+    with storage.tables(docs.sparkSession) as inner:
+        pairs = found.filter("yl >= 0").groupBy("xd", "xl", "yd", "yl").agg(F.count("*").alias("lists"))
+        best = inner.stored(pairs.groupBy("xd", "xl").agg(F.max_by(F.struct("yd", "yl"), F.struct("lists", "yd", "yl")).alias("y")).select("xd", "xl", "y.*"), "best")
+        held = _verified(docs, best, inner)
+        rest = inner.stored(pairs.join(held, ["xd", "xl"], "left_anti").join(best, ["xd", "xl", "yd", "yl"], "left_anti"), "others")
+        return tmp.stored(held.unionByName(_verified(docs, rest, inner)) if rest.limit(1).count() else held, "answered")
 
 
-def similar_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def similar_sets(docs: DataFrame, lines: DataFrame, tmp: storage.Tables) -> DataFrame:
     """d, line of lines that an earlier line is similar to. lines: as lines_of() gives them; docs: d, text."""
-    postings = lines.filter("size(token) > 0").select("d", "line", "n", "parity", F.inline(F.arrays_zip("token", "place")))
-    sizes = postings.filter("token < 0").groupBy("token").count()
-    long = storage.stored(sizes.filter(F.col("count") > LIST).select("token", F.ceil(F.col("count") / LIST).cast("int").alias("chunks")), "long-lists")
-    some = long.limit(1).count() > 0
-    spread = storage.shuffle_partitions(docs.sparkSession)
-    matched: DataFrame | None = None
-    asking: DataFrame | None = None
-    skip, take = 0, PROPOSALS
+    lists, matched, wanted, skip, take = set_join.Lists(lines, tmp), None, None, 0, set_join.PROPOSALS
     while True:
-        if asking is None:
-            rows = postings.withColumn("asks", F.lit(True))
-        else:  # only lists with a line that still asks
-            wanted = postings.join(_small(asking), ["d", "line"], "left_semi").select("token").distinct()
-            rows = postings.join(_small(storage.stored(wanted, "wanted")), "token", "left_semi").join(_small(asking.withColumn("asks", F.lit(True))), ["d", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        zero = F.lit(0).cast("int")
-        if some:
-            rows = rows.join(long, "token", "left").withColumn("mine", F.when(F.col("chunks").isNull(), zero).otherwise(F.pmod(F.xxhash64("d", "line"), F.col("chunks")).cast("int")))
-            rows = rows.withColumn("with", F.explode(F.sequence(zero, F.coalesce(F.col("chunks") - 1, zero)))).withColumn("u", F.least("mine", "with")).withColumn("v", F.greatest("mine", "with"))
-        else:
-            rows = rows.withColumn("mine", zero).withColumn("u", zero).withColumn("v", zero)
-        dealt = rows.select("token", "u", "v", "d", "line", "n", "place", "parity", "asks", "mine").repartition(spread, "token", "u", "v").sortWithinPartitions("token", "u", "v", "d", "line")
-        found = storage.stored(_proposed(dealt, skip, take), "proposals")
-        now = _answered(docs, found)
+        found = tmp.stored(lists.first(take) if wanted is None else lists.again(wanted, tmp, skip, take), "proposals")
+        now = _answered(docs, found, tmp)
         matched = now if matched is None else matched.unionByName(now)
-        more = found.filter("yl < 0").select("xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti")
-        asking = storage.stored(more.select(F.col("xd").alias("d"), F.col("xl").alias("line")), "asking")
-        if not asking.limit(1).count():
+        more = found.filter("yl < 0").select("token", F.col("xd").alias("d"), F.col("xl").alias("line")).distinct()
+        wanted = tmp.stored(more.join(small(matched.select(F.col("xd").alias("d"), F.col("xl").alias("line"))), ["d", "line"], "left_anti"), "asking")
+        if not wanted.limit(1).count():
             return matched.select(F.col("xd").alias("d"), F.col("xl").alias("line"))
         skip, take = skip + take, 8 * take
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """d and numbers (array, from 0) of the lines that go. docs: d, text, both without nulls, d unique."""
-    lines = storage.stored(lines_of(docs, cell_counts(docs)), "lines")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "line")).alias("first"), F.count("*").alias("copies"))
-    sets = storage.stored(first.select("h1", "h2", "first.*", "copies"), "sets")
-    similar = similar_sets(docs, lines).distinct()
-    near = sets.join(_small(similar.withColumn("near", F.lit(True))), ["d", "line"], "left")
-    # only sets that have something to remove meet the lines again
-    touched = storage.stored(near.filter("near or copies > 1").select("h1", "h2", F.col("d").alias("fd"), F.col("line").alias("fl"), F.coalesce("near", F.lit(False)).alias("near")), "touched")
-    gone = lines.select("d", "line", "h1", "h2").join(_small(touched), ["h1", "h2"]).filter("near or d <> fd or line <> fl")
-    return storage.stored(gone.groupBy("d").agg(F.sort_array(F.collect_list("line")).alias("numbers")), "gone")
+    with storage.tables(docs.sparkSession) as tmp:
+        lines = tmp.stored(lines_of(docs, set_join.cell_counts(docs, tmp.dir("cells"))), "lines")
+        # (d, line) as one number, as a minimum of numbers needs no sort
+        at = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
+        copied = lines.groupBy("t", "t2").agg(F.min(at).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("t", "t2", "first")
+        similar = tmp.stored(similar_sets(docs, lines, tmp).distinct(), "similar-lines")
+        near = lines.join(small(similar), ["d", "line"], "left_semi").select("t", "t2").distinct().withColumn("near", F.lit(True))
+        touched = tmp.stored(copied.join(near, ["t", "t2"], "full"), "touched")
+        gone = lines.select("d", "line", "t", "t2").join(small(touched), ["t", "t2"]).filter((F.col("near")) | (at != F.col("first")))
+        return storage.stored(gone.groupBy("d").agg(F.sort_array(F.collect_list("line")).alias("numbers")), "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -347,16 +144,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Earlier means smaller (doc_id, text), then line; null doc_ids come first, and rows that repeat doc_id and text follow each
     other in any order. Null texts stay null and have no lines. Texts are split at line feeds; a text that loses
-    all its lines is empty. An empty table stays empty.
+    all its lines is empty. An empty table stays empty. Of a long text a task holds its bytes and the hashes of some lines, at least one line whole.
     """
     key = storage.free_name("_number", docs)
     numbered = storage.numbered(docs.drop("lines"), key)
     gone = removed_lines(numbered.filter("text is not null").select(F.col(key).alias("d"), F.col("text").cast("string").alias("text")))
     numbers = storage.free_name("_numbers", docs)
-    joined = numbered.join(_small(gone.select(F.col("d").alias(key), F.col("numbers").alias(numbers))), key, "left")
+    joined = numbered.join(small(gone.select(F.col("d").alias(key), F.col("numbers").alias(numbers)), 4, F.size(numbers)), key, "left")
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     rest = _with_lines(lambda lines: F.array_join(F.transform(kept(lines), lambda k: F.get(lines, k)), "\n"))
-    n = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     counts = F.struct(n.alias("n_lines"), F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed"))
     text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(rest)
     return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "lines"), counts.alias("lines"))

@@ -3,216 +3,139 @@
 A document is the set of its shingles (runs of words, A-Z lower-cased, told apart by 64-bit hashes). Documents are linked where the sets'
 Jaccard similarity is 0.8 or more, and one of each component stays. A SimHash can't reach that far: at 0.8, 64 bits differ in about
 ten. So SimHash links (blocks and pivots, see simhash) are only the first proposals, which join large groups of copies cheaply; the rest are found
-by shared tokens among the rarest of each set, as in line_dedup, with the length and positional filters and the parity bound,
-none of which loses a pair. Each pair is verified on the full sets.
+by shared tokens among the rarest of each set (set_join), none of whose filters loses a pair. Each pair is verified on the full sets.
 
-Lists of a token propose in two steps: each member its earliest partners, then, in lists that are still of several
-components, all pairs of different components.
+Documents of equal words are one. The others' proposals come in three steps: each one's best partner; then other proposed pairs whose ends are still in
+different components; then, from lists in which a document had more partners than it proposed, all pairs of different components.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import storage
 from ..operators.graph import components
-from .line_dedup import CELL_BITS, SIMILARITY, _chunks, _grade, _mix, _rarity, _small, _words
-from .simhash import LOWER, UPPER, links, majority
-
-#: Members of a token's list that one task compares at once; longer lists are cut into chunks, and pairs of chunks are tasks.
-CHUNK = 2_000
-#: Partners that a member proposes from one list in the first step.
-PROPOSALS = 2
-#: Pairs in one batch of proposals.
-PAIRS = 1_000_000
-
-
-def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles and the text that each stands in; a text of fewer words is one shingle."""
-    h, line, first = _words(texts)
-    text = np.searchsorted(first, line, side="right") - 1
-    m = np.bincount(text, minlength=len(texts))
-    place, words = np.arange(len(h)) - (np.cumsum(m) - m)[text], m[text]
+from . import hashing, set_join
+from .set_join import small
+from .simhash import links, majorities
+
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _combined(h: np.ndarray, owner: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    m = np.bincount(owner, minlength=rows)
+    place, words = np.arange(len(h)) - (np.cumsum(m) - m)[owner], m[owner]
     k = np.minimum(size, words)
     out = k.astype("u8")
     with np.errstate(over="ignore"):
         for j in range(size):
-            out = np.where(j < k, out * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(np.arange(len(h)) + j, len(h) - 1)], out)
-        out = _mix(_mix(out, 0xD6E8FEB86659FD93), 0xC2B2AE3D27D4EB4F)
+            out = np.where(j < k, hashing.mix(out, 0x9E3779B97F4A7C15) + h[np.minimum(np.arange(len(h)) + j, len(h) - 1)], out)
+    out = hashing.mix(hashing.mix(out, 0xD6E8FEB86659FD93), 0xC2B2AE3D27D4EB4F)
     whole = place <= words - k
-    return out[whole], text[whole]
-
-
-def _lowered(docs: DataFrame) -> DataFrame:
-    """d, text (A-Z lower-cased, null as empty)."""
-    return docs.select("d", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("text"))
-
-
-def _cells(docs: DataFrame, size: int) -> str:
-    """How many shingles fall to each of the 2 ** CELL_BITS cells, as line_dedup.cell_counts() has it for words."""
+    return out[whole], owner[whole]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << CELL_BITS, "u4")
-        for b in batches:
-            for a, e in _chunks(b["text"]):
-                cell, n = np.unique(shingles(b["text"].iloc[a:e].tolist(), size)[0] >> np.uint64(64 - CELL_BITS), return_counts=True)
-                total[cell] += n.astype("u4")
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 100_000):
-            yield pd.DataFrame({"cell": some[a : a + 100_000], "n": total[some[a : a + 100_000]].astype("i8")})
 
-    where = storage.new_dir(docs.sparkSession, "shingle-cells")
-    docs.select("text").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).write.parquet(where)
-    return where
+def shingles(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row of the first text, number of texts, 64-bit hashes of all shingles and the text (from 0) of each; a text of fewer words is one shingle. Of a long text, hashes of all words are held."""
+    for row, parts in groupby(hashing.pieces(texts), lambda x: x[1]):
+        found = [(hashing.words(buf.translate(_LOWER)), begins) for buf, _, begins, _ in parts]
+        rows = len(found[0][1])
+        owner = np.searchsorted(found[0][1], found[0][0][1], side="right") - 1 if len(found) == 1 else np.zeros(sum(len(w[0]) for w, _ in found), "i8")
+        yield row, rows, *_combined(np.concatenate([w[0] for w, _ in found]), owner, rows, size)
 
 
-def _distinct(h: np.ndarray, text: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's shingles once, by grade, then hash."""
-    order = np.lexsort((h, grade, text))
-    h, text, grade = h[order], text[order], grade[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
-    return h[new], text[new], grade[new]
+def _cells(docs: DataFrame, size: int, where: str) -> str:
+    return set_join.cell_counts(docs, where, lambda texts: (h for _, _, h, _ in shingles(texts, size)))
 
 
 def sets_of(docs: DataFrame, size: int, cells: str) -> DataFrame:
-    """d, n, h1, h2 (a 128-bit hash of the set), parity, fingerprint (SimHash of the set), token and place arrays (the prefix).
-
-    Tokens are 63-bit hashes, negative where their list may be long; those of no partner are left out.
-    """
-    p, q = SIMILARITY
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grades, long = _rarity(cells), int(_grade(np.array([CHUNK]))[0])
-        for b in batches:
-            for a, e in _chunks(b["text"]):
-                h, text = shingles(b["text"].iloc[a:e].tolist(), size)
-                h, text, grade = _distinct(h, text, grades[h >> np.uint64(64 - CELL_BITS)])
-                n = np.bincount(text, minlength=e - a)
-                starts = np.cumsum(n) - n
-                ends = np.cumsum(n)
-                place = np.arange(len(h)) - starts[text]
-                used = (place < (n + (p * n // -q) + 1)[text]) & (grade != 5)
-                token = (h >> np.uint64(1)).astype("i8")
-                token = np.where(grade >= long, -1 - token, token)
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, "u8"), np.cumsum(_mix(h, by), dtype="u8")]) for by in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
-                    h1, h2 = ((s[ends] - s[starts]).view("i8") for s in sums)
-                    bits = np.concatenate([np.zeros(1, "u8"), np.bitwise_xor.accumulate(np.uint64(1) << (_mix(h, 0x94D049BB133111EB) >> np.uint64(58)))])
-                parity = (bits[ends] ^ bits[starts]).view("i8")
-                prints = majority(pd.Series([h[x:y].view("i8") for x, y in zip(starts, ends)], dtype=object))
-                some = [np.flatnonzero(used[x:y]) + x for x, y in zip(starts, starts + n + (p * n // -q) + 1)] if len(h) else [np.zeros(0, "i8")] * (e - a)
-                yield pd.DataFrame({
-                    "d": b["d"].iloc[a:e].to_numpy(), "n": n.astype("i4"), "h1": h1, "h2": h2, "parity": parity, "fingerprint": prints.to_numpy(),
-                    "token": [token[k] for k in some], "place": [place[k].astype("i4") for k in some],
-                })
-
-    return docs.mapInPandas(run, "d long, n int, h1 long, h2 long, parity long, fingerprint long, token array<long>, place array<int>")
-
-
-def _lists(reps: DataFrame) -> DataFrame:
-    """id, two (only pairs of unlike ``mine``), members (d, n, place, parity, mine) of the lists of two members or more."""
-    postings = reps.filter("size(token) > 0").select("d", "n", "parity", F.inline(F.arrays_zip("token", "place")))
-    sizes = postings.filter("token < 0").groupBy("token").count()
-    long = storage.stored(sizes.filter(F.col("count") > CHUNK).select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "long-lists")
-    zero = F.lit(0).cast("int")
-    if long.limit(1).count():
-        rows = postings.join(_small(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(zero, F.col("chunks") - 1)))
-        rows = rows.withColumn("u", F.least("mine", "with")).withColumn("v", F.greatest("mine", "with"))
-    else:
-        rows = postings.withColumn("mine", zero).withColumn("u", zero).withColumn("v", zero)
-    found = rows.groupBy("token", "u", "v").agg(F.collect_list(F.struct("d", "n", "place", "parity", "mine")).alias("members")).filter("size(members) > 1")
-    return storage.stored(found.select(F.monotonically_increasing_id().alias("id"), (F.col("u") != F.col("v")).alias("two"), "members"), "lists")
-
-
-def _proposed(lists: DataFrame, take: int | None) -> DataFrame:
-    """x, y (y smaller) of the pairs in lists that pass the filters: each x's first ``take`` of a list; None: all of unlike components."""
-    import pyarrow as pa
-
-    p, q = SIMILARITY
+    """Documents as set_join's items, with tokens of 63 bits and the SimHash of the set (fingerprint). Documents without words share a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch["members"].value_lengths().to_numpy()
-            flat = batch["members"].flatten()
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            d = flat.field("d").to_numpy()
-            order = np.lexsort((d, of))
-            d, n, place, mine = d[order], *(flat.field(c).to_numpy()[order].astype("i8") for c in ("n", "place", "mine"))
-            parity = flat.field("parity").to_numpy()[order].view("u8")
-            group = flat.field("component").to_numpy()[order] if take is None else d
-            two = batch["two"].to_numpy(zero_copy_only=False)[of]
-            start = (np.cumsum(sizes) - sizes)[of]
-            rank, left, passed = np.arange(len(d)) - start, n - place, np.zeros(len(d), "i8")
-            x, k, held, xs, ys = np.flatnonzero(rank > 0), 0, 0, [], []
-            while len(x):
-                y = start[x] + k
-                both = n[x] + n[y]
-                need = -(-p * both // (p + q))
-                ok = (np.minimum(left[x], left[y]) >= need) & (np.bitwise_count(parity[x] ^ parity[y]) <= both - 2 * need)
-                ok &= (group[x] != group[y]) & (~two[x] | (mine[x] != mine[y]))
-                xs.append(d[x[ok]])
-                ys.append(d[y[ok]])
-                passed[x[ok]] += 1
-                held += len(xs[-1])
-                k += 1
-                x = x[rank[x] > k] if take is None else x[(rank[x] > k) & (passed[x] < take)]
-                if held >= PAIRS:
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(xs)), "y": pa.array(np.concatenate(ys))})
-                    held, xs, ys = 0, [], []
-            if xs:
-                yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(xs)), "y": pa.array(np.concatenate(ys))})
-
-    return lists.mapInArrow(run, "x long, y long").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+        grades = set_join.rarity(cells)
+        for b in batches:
+            ids, texts = b["d"].to_numpy(), b["text"].cast(pa.large_binary())
+            for row, rows, h, owner in shingles(b["text"], size):
+                digests = [hashlib.blake2b(b" ".join(texts[row + k].as_py().translate(_LOWER).split()), digest_size=16).digest() for k in range(rows)]
+                t = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                n, parity, size_ = np.zeros(rows, "i8"), np.zeros((rows, 4), "u8"), np.zeros(rows, "i8")
+                token, place, prints = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(rows, "i8")
+                if len(h):
+                    number, m, bits, offsets, token, place = set_join.sets(h, owner, grades, 63)
+                    n[number], parity[number], size_[number] = m, bits, np.diff(offsets)
+                    prints = majorities(h, owner, rows)
+                cols = {"d": pa.array(ids[row : row + rows]), "line": pa.array(np.zeros(rows, "i4")), "n": pa.array(n.astype("i4")), "t": pa.array(t[:, 0].copy()), "t2": pa.array(t[:, 1].copy())}
+                items = set_join.item_columns(np.ones(rows, bool), n, parity, np.concatenate([[0], np.cumsum(size_)]), token, place)
+                yield pa.RecordBatch.from_pydict(cols | items | {"fingerprint": pa.array(prints)})
+
+    return docs.mapInArrow(run, set_join.ITEM + ", fingerprint long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, tmp: storage.Tables) -> DataFrame:
     """a, b of the pairs (x, y) whose sets are similar enough."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, e in _chunks(b["text"]):
-                h, text = shingles(b["text"].iloc[a:e].tolist(), size)
-                h, text, _ = _distinct(h, text, np.zeros(len(h), "u1"))
-                cuts = np.searchsorted(text, np.arange(1, e - a))
-                yield pd.DataFrame({"d": b["d"].iloc[a:e].to_numpy(), "tokens": np.split(h.view("i8"), cuts)})
-
-    pairs = storage.stored(pairs, "pairs")
-    wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-    sets = storage.stored(docs.join(_small(wanted), "d").select("d", "text").mapInPandas(run, "d long, tokens array<long>"), "shingle-sets")
-    met = pairs.join(sets.select(F.col("d").alias("x"), F.col("tokens").alias("xt")), "x").join(sets.select(F.col("d").alias("y"), F.col("tokens").alias("yt")), "y")
-    both = F.size(F.array_intersect("xt", "yt"))
-    p, q = SIMILARITY
-    return storage.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+            for row, rows, h, owner in shingles(b["text"], size):
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                at = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=rows))])
+                yield pa.RecordBatch.from_pydict({"d": b["d"].slice(row, rows), "tokens": pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(h[new].view("i8")))})
+
+    with storage.tables(docs.sparkSession) as inner:
+        pairs = inner.stored(pairs, "pairs")
+        wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
+        sets = inner.stored(docs.join(small(wanted, 1), "d").select("d", "text").mapInArrow(run, "d long, tokens array<long>"), "shingle-sets")
+        met = pairs.join(sets.select(F.col("d").alias("x"), F.col("tokens").alias("xt")), "x").join(sets.select(F.col("d").alias("y"), F.col("tokens").alias("yt")), "y")
+        both = F.size(F.array_intersect("xt", "yt"))
+        p, q = set_join.SIMILARITY
+        return tmp.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+
+
+def _between(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose ends are in different components (linked: node, component)."""
+    of = lambda c: small(linked.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), 2)
+    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.coalesce("x_part", "x") != F.coalesce("y_part", "y")).select("x", "y")
 
 
 def later_copies(docs: DataFrame, size: int) -> DataFrame:
     """d of the documents (d unique, text) that are not the smallest of their component."""
-    docs = _lowered(docs)
-    sets = storage.stored(sets_of(docs, size, _cells(docs, size)), "sets")
-    # equal sets are one
-    equal = sets.groupBy("h1", "h2").agg(F.min("d").alias("node"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "node")
-    twins = storage.stored(sets.select("d", "h1", "h2").join(_small(storage.stored(equal, "equal")), ["h1", "h2"]).filter("d <> node").select("d", "node"), "twins")
-    reps = sets.join(_small(twins.select("d")), "d", "left_anti")
-    lists = _lists(reps)
-    classes = storage.stored(reps.filter("n > 0").groupBy("fingerprint").agg(F.min("d").alias("node")), "classes")
-    near = links(classes.select("node", "fingerprint")).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    edges = _verified(docs, _proposed(lists, PROPOSALS).unionByName(near).distinct(), size)
-    linked = storage.stored(components(edges), "linked")
-    # lists of three or more that are still of several components
-    members = lists.filter("size(members) > 2").select("id", "two", F.explode("members").alias("m")).select("id", "two", "m.*")
-    known = members.join(_small(linked.withColumnRenamed("node", "d")), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    mixed = known.groupBy("id", "two").agg(F.collect_list(F.struct("d", "n", "place", "parity", "mine", "component")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = storage.stored(_proposed(mixed.select("two", "members"), None).join(edges, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti"), "rest")
-    if rest.limit(1).count():
-        linked = storage.stored(components(edges.unionByName(_verified(docs, rest, size))), "linked")
-    moved = linked.filter("node <> component").select(F.col("node").alias("d"))
-    return storage.stored(moved.unionByName(twins.select("d")), "later")
+    docs = docs.select("d", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    with storage.tables(docs.sparkSession) as tmp:
+        sets = tmp.stored(sets_of(docs, size, _cells(docs, size, tmp.dir("cells"))), "sets")
+        equal = sets.groupBy("t", "t2").agg(F.min("d").alias("node"), F.count("*").alias("n")).filter("n > 1").select("t", "t2", "node")
+        twins = tmp.stored(sets.select("d", "t", "t2").join(small(tmp.stored(equal, "equal"), 3), ["t", "t2"]).filter("d <> node").select("d", "node"), "twins")
+        reps = sets.join(small(twins.select("d"), 1), "d", "left_anti")
+        classes = tmp.stored(reps.filter("n > 0").groupBy("fingerprint").agg(F.min("d").alias("node")), "classes")
+        near = links(classes.select("node", "fingerprint"), tmp).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        # proposals of copies are those of their first
+        lists = set_join.Lists(reps.drop("fingerprint"), tmp)
+        found = tmp.stored(lists.first(), "proposals")
+        pairs = tmp.stored(found.filter("yl >= 0").groupBy(F.col("xd").alias("x"), F.col("yd").alias("y")).agg(F.count("*").alias("lists")), "proposed")
+        best = pairs.groupBy("x").agg(F.max_by("y", F.struct("lists", "y")).alias("y")).unionByName(near).distinct()
+        edges = _verified(docs, best, size, tmp)
+        linked = tmp.stored(components(edges), "linked")
+        others = tmp.stored(_between(pairs.select("x", "y").join(best, ["x", "y"], "left_anti"), linked), "others")
+        if others.limit(1).count():
+            edges = edges.unionByName(_verified(docs, others, size, tmp))
+            linked = tmp.stored(components(edges), "linked")
+        more = tmp.stored(found.filter("yl < 0").select("token", F.col("xd").alias("d"), F.col("xl").alias("line")).distinct(), "more")
+        if more.limit(1).count():
+            groups = linked.select(F.col("node").alias("d"), F.col("component").alias("item_group"))
+            rest = lists.again(more, tmp, 0, 1 << 40, groups).filter("yl >= 0").select(F.col("xd").alias("x"), F.col("yd").alias("y")).distinct()
+            rest = tmp.stored(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "rest")
+            if rest.limit(1).count():
+                linked = tmp.stored(components(edges.unionByName(_verified(docs, rest, size, tmp))), "linked")
+        moved = linked.filter("node <> component").select(F.col("node").alias("d"))
+        return storage.stored(moved.unionByName(twins.select("d")), "later")
 
 
 def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -220,4 +143,4 @@ def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
     key = storage.free_name("_number", docs)
     rows = storage.numbered(docs, key)
     later = later_copies(rows.select(F.col(key).alias("d"), "text"), size).withColumnRenamed("d", key)
-    return rows.join(_small(later), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return rows.join(small(later, 1), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -33,23 +33,23 @@ CHUNK = 2_000
 BROADCAST_ROWS = 500_000
 
 
+def majorities(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """The 64 bits that are set in over half of each owner's hashes (owners ascending); zero for none."""
+    n = np.bincount(owner, minlength=rows)
+    counts = np.zeros((rows, 64), "i8")
+    for a in range(0, len(h), 1 << 17):  # bits of so many hashes at once
+        part = h[a : a + (1 << 17)]
+        own = owner[a : a + len(part)]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        counts[own[starts]] += np.add.reduceat(np.unpackbits(part.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype="i4")
+    return ((2 * counts > n[:, None]) << np.arange(64)).sum(1).astype("i8")
+
+
 def majority(hashes: pd.Series) -> pd.Series:
-    """The 64 bits that are set in over half of each row's hashes; zero for none."""
-    n = np.fromiter((len(h) for h in hashes), "i8", len(hashes))
-    out = np.zeros(len(n), "u8")
-    weights = np.left_shift(np.uint64(1), np.arange(64, dtype="u8"))
-    a = 0
-    while a < len(n):  # as many rows at once as have some 200,000 hashes, one at least
-        b = max(a + 1, a + int(np.searchsorted(np.cumsum(n[a:]), 200_000)))
-        rows = np.flatnonzero(n[a:b]) + a
-        if len(rows):
-            flat = np.concatenate([hashes.iloc[r] for r in rows]).astype("<i8")
-            bits = np.unpackbits(flat.view("u1").reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.cumsum(n[rows]) - n[rows]
-            counts = np.add.reduceat(bits, starts, axis=0, dtype="i8")
-            out[rows] = ((2 * counts > n[rows][:, None]) * weights).sum(1, dtype="u8")
-        a = b
-    return pd.Series(out.view("i8"))
+    """The same of each row's array."""
+    n = np.fromiter((len(x) for x in hashes), "i8", len(hashes))
+    flat = np.concatenate([np.zeros(0, "i8"), *hashes]).astype("i8").view("u8")
+    return pd.Series(majorities(flat, np.repeat(np.arange(len(n)), n), len(n)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -117,7 +117,7 @@ def forest(prints: np.ndarray, ids: np.ndarray, link: int, other: np.ndarray | N
     return edges
 
 
-def links(classes: DataFrame, link: int = LINK, bits: int = BITS) -> DataFrame:
+def links(classes: DataFrame, tmp: storage.Tables, link: int = LINK, bits: int = BITS) -> DataFrame:
     """Edges a, b between class nodes that connect exactly what links of at most ``link`` bits connect. classes: node, fingerprint (distinct)."""
     b = blocks_for(classes.count())
     borders = [round(bits * k / b) for k in range(b + 1)]
@@ -128,7 +128,7 @@ def links(classes: DataFrame, link: int = LINK, bits: int = BITS) -> DataFrame:
     listed = classes.select("node", "fingerprint", F.explode(keyed).alias("key")).select("node", "fingerprint", "key.choice", "key.bits")
     # long lists first: they are few, as each has over CHUNK members
     sizes = listed.groupBy("choice", "bits").count()
-    long = storage.stored(sizes.filter(F.col("count") > CHUNK).select("choice", "bits", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "long-lists")
+    long = tmp.stored(sizes.filter(F.col("count") > CHUNK).select("choice", "bits", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "long-lists")
     some = long.limit(1).count() > 0
     marked = listed.join(long, ["choice", "bits"], "left") if some else listed.withColumn("chunks", F.lit(None).cast("int"))
     short = marked.filter("chunks is null").groupBy("choice", "bits").agg(F.collect_list(F.struct("node", "fingerprint")).alias("members")).filter("size(members) > 1").select("members")
@@ -168,11 +168,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, link: int = LINK) -> Data
     component, or null where no linked row has an id. Rows that repeat a doc_id stay.
     """
     prints = storage.stored(fingerprints(docs, shingle), "fingerprints")
-    classes = storage.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    linked = components(links(classes.select("node", "fingerprint"), link))
-    of_class = classes.join(linked, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "component").select("fingerprint", "component_id")
+    with storage.tables(docs.sparkSession) as tmp:
+        classes = tmp.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
+        linked = components(links(classes.select("node", "fingerprint"), tmp, link))
+        of_class = classes.join(linked, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("component"))
+        least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = storage.stored(of_class.join(least, "component").select("fingerprint", "component_id"), "components")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

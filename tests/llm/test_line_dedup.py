@@ -1,4 +1,4 @@
-from junctura.llm import line_dedup
+from junctura.llm import line_dedup, set_join
 
 from .fixtures import documents, odd_texts, texts
 
@@ -31,8 +31,8 @@ def test_against_brute_force(spark):
 
 
 def test_long_lists_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LIST", 5)
-    monkeypatch.setattr(line_dedup, "PROPOSALS", 1)
+    monkeypatch.setattr(set_join, "LIST", 5)
+    monkeypatch.setattr(set_join, "PROPOSALS", 1)
     rows = list(enumerate(texts(100, seed=5)))
     assert result(line_dedup.dedup_lines(documents(spark, rows))) == brute(rows)
 

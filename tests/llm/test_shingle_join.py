@@ -1,6 +1,6 @@
 import random
 
-from junctura.llm import shingle_join, simhash
+from junctura.llm import set_join, shingle_join, simhash
 import corpus_pipeline as p
 
 from .fixtures import documents, odd_texts
@@ -57,7 +57,7 @@ def test_stage_against_brute_force(spark):
 
 
 def test_long_lists_and_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "CHUNK", 5)
-    monkeypatch.setattr(shingle_join, "PROPOSALS", 1)
+    monkeypatch.setattr(set_join, "LIST", 5)
+    monkeypatch.setattr(set_join, "PROPOSALS", 1)
     rows = list(enumerate(near_texts(2, 80)))
     assert kept(shingle_join.keep_first(documents(spark, rows, extra=True))) == firsts(rows)

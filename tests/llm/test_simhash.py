@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from junctura import storage
 from junctura.llm import simhash
 from junctura.operators.graph import components
 
@@ -60,7 +61,7 @@ def near(seed, n=300):
 def linked(spark, prints):
     signed = np.array(prints, "u8").view("i8").tolist()
     classes = spark.createDataFrame(list(enumerate(signed)), "node long, fingerprint long")
-    got = {r.node: r.component for r in components(simhash.links(classes)).collect()}
+    got = {r.node: r.component for r in components(simhash.links(classes, storage.Tables(spark))).collect()}
     return {i: got.get(i, i) for i in range(len(prints))}
 
 
