@@ -3,7 +3,7 @@
 Connected components of an edge table: large-star and small-star steps, until nothing changes.
 
 Each step joins the edges with a minimum per node, so a node with very many edges is no group in one task. Each round is
-written to the shared folder, which cuts the lineage.
+written to the shared folder, which cuts the lineage; the round before is removed then.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Edges from a node to itself, doubled and null edges change nothing; an empty table gives an empty one.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = storage.stored(e, "edges")
+    rounds = storage.Tables(edges.sparkSession)
+    e = rounds.stored(e, "edges")
     before = None
     for _ in range(most_rounds):
         # large star: each node's larger neighbours go to its least neighbour (or itself)
@@ -33,7 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         least = _least(large, "a", "b")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("least").alias("b")))
-        e = storage.stored(small.distinct(), "edges")
+        e = rounds.stored(small.distinct(), "edges")
+        rounds.drop(all_but=1)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -45,12 +47,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def closure(start: DataFrame, parents: DataFrame, most_rounds: int = 60) -> DataFrame:
     """start: id. parents: child, parent. All ids that the start reaches up or down the tree (GRF02)."""
-    found = storage.stored(start.select("id").distinct(), "closure")
+    rounds = storage.Tables(start.sparkSession)
+    found = rounds.stored(start.select("id").distinct(), "closure")
     n = found.count()
     for _ in range(most_rounds):
         up = parents.join(found, parents["child"] == found["id"]).select(F.col("parent").alias("id")).filter("id is not null")
         down = parents.join(found, parents["parent"] == found["id"]).select(F.col("child").alias("id"))
-        found = storage.stored(found.unionByName(up).unionByName(down).distinct(), "closure")
+        found = rounds.stored(found.unionByName(up).unionByName(down).distinct(), "closure")
+        rounds.drop(all_but=1)
         now = found.count()
         if now == n:
             return found

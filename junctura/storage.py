@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-junctura-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -42,6 +46,40 @@ def drop(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Tables in the shared folder that go together, see tables()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def dir(self, name: str) -> str:
+        self.held.append(new_dir(self.spark, name))
+        return self.held[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        where = self.dir(name)
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def drop(self, all_but: int = 0) -> None:
+        """Remove all but the last few."""
+        last = len(self.held) - all_but
+        for where in self.held[: max(0, last)]:
+            drop(self.spark, where)
+        self.held = self.held[max(0, last) :]
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Tables]:
+    """Tables that only one computation needs: they are removed at its end, so what it returns must be stored() by other means."""
+    held = Tables(spark)
+    try:
+        yield held
+    finally:
+        held.drop()
+        spark._jvm.System.gc()  # Spark frees the files of shuffles that nothing refers to any more
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; works in the driver and in tasks."""
     return pafs.FileSystem.from_uri(uri)
