@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: White space between words, as a class of Java's regular expressions.
-BLANK = r"[\x20\x09-\x0D]"
+from .. import storage
+
+#: White space between words.
+BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", ">", ">>", "»", "›", "·", "•", "/")
+ENDS = (".", "!", "?", "…", "。", "！", "？")
 #: Fixed phrases of lines that many pages share; matched anywhere in a line, in any case.
 BOILERPLATE = (
     "all rights reserved",
@@ -36,8 +39,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def without(text: Column, chars: str) -> Column:
+    """text without some characters."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def count(text: Column, chars: str) -> Column:
+    """How often some characters of ASCII occur."""
+    return F.octet_length(text) - F.octet_length(without(text, chars))
+
+
+def has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = text.contains(parts[0])
+    for p in parts[1:]:
+        found = found | text.contains(p)
+    return found
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
+    for c in BLANKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def repeat_words(w: Column, n: int = 5) -> Column:
@@ -59,17 +83,23 @@ def repeat_words(w: Column, n: int = 5) -> Column:
     return F.when(F.size(w) <= n, F.lit(0).cast("long")).otherwise(some)
 
 
-def line_failure(line: Column) -> Column:
-    """Why a line goes: boilerplate, navigation or punctuation; null if it stays. Lines without a word stay."""
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    inked = F.length(F.regexp_replace(line, BLANK + "+", ""))
-    w = words(line)
-    separators = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
+def line_failure(line: Column, phrases: Column, symbols: Column) -> Column:
+    """Why a line goes: boilerplate, navigation or punctuation; null if it stays. Lines without a word stay.
+
+    phrases, symbols: whether the whole text has a boilerplate phrase or a symbol; where it has none, its lines are not asked.
+    """
+
+    def navigation(w: Column) -> Column:
+        separators = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
+        return (separators >= 2) & (separators * 5 >= F.size(w))
+
+    three_words = line.rlike(r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]")
+    inked = F.length(line) - count(line, BLANKS)
     return (
-        F.when(inked == 0, F.lit(None).cast("string"))
-        .when(F.lower(line).rlike("|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)), "boilerplate")
-        .when((separators >= 2) & (separators * 5 >= F.size(w)), "navigation")
-        .when((symbols * 10 > inked) | ((F.size(w) >= 3) & ~line.rlike(r"[.!?…。！？]")), "punctuation")
+        F.when(F.btrim(line, F.lit(BLANKS)) == "", F.lit(None).cast("string"))
+        .when(phrases & has_any(F.lower(line), BOILERPLATE), "boilerplate")
+        .when(has_any(line, tuple(c for c in SEPARATORS if len(c) == 1)) & let(words(line), navigation), "navigation")
+        .when((symbols & (count(line, SYMBOLS) * 10 > inked)) | (~has_any(line, ENDS) & three_words), "punctuation")
     )
 
 
@@ -81,24 +111,26 @@ def quality_rules(docs: DataFrame, text: str = "text", max_loss: float = 0.5, mi
     without words and fail; so do empty texts. Rows are judged one by one, so repeated rows get equal results.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.split(t, "\n")
-    judged = docs.withColumn("quality", F.struct(t.alias("t"), words(t).alias("w"), F.transform(lines, lambda x: F.struct(x.alias("line"), line_failure(x).alias("why"))).alias("l")))
+    n_symbols = count(t, SYMBOLS).cast("long")
+    named = docs.withColumn("quality", F.struct(t.alias("t"), words(t).alias("w"), F.split(t, "\n").alias("l"), n_symbols.alias("n_symbols"), has_any(F.lower(t), BOILERPLATE).alias("phrases")))
     q = F.col("quality")
-    inked = lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", ""))
-    with_word = F.filter(q["l"]["line"], lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    gone = F.filter(q["l"], lambda x: x["why"].isNotNull())
+    failures = F.transform(q["l"], lambda x: F.struct(x.alias("line"), line_failure(x, q["phrases"], q["n_symbols"] > 0).alias("why")))
+    judged = named.withColumn("quality", F.struct(*(q[c].alias(c) for c in ("t", "w", "l", "n_symbols")), failures.alias("f")))
+    inked = lambda x: (F.length(x) - count(x, BLANKS)).cast("long")
+    with_word = F.filter(q["l"], lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    gone = F.filter(q["f"], lambda x: x["why"].isNotNull())
     counted = judged.withColumn(
         "quality",
         F.struct(
             q["t"].alias("t"),
             F.size(q["w"]).cast("long").alias("n_words"),
-            inked(q["t"]).cast("long").alias("word_chars"),
-            (F.length(q["t"]) - F.length(F.translate(q["t"], SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            inked(q["t"]).alias("word_chars"),
+            q["n_symbols"].alias("n_symbols"),
             let(with_word, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            let(q["w"], lambda w: repeat_words(w)).alias("n_repeat_words"),
+            repeat_words(q["w"]).alias("n_repeat_words"),
             F.size(gone).cast("long").alias("n_lines_removed"),
             F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + inked(x["line"])).alias("lost_chars"),
-            F.when(F.size(gone) == 0, q["t"]).otherwise(F.array_join(F.transform(F.filter(q["l"], lambda x: x["why"].isNull()), lambda x: x["line"]), "\n")).alias("clean_text"),
+            F.when(F.size(gone) == 0, q["t"]).otherwise(F.array_join(F.transform(F.filter(q["f"], lambda x: x["why"].isNull()), lambda x: x["line"]), "\n")).alias("clean_text"),
         ),
     )
     base = (q["n_words"] < min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * max_repeat_percent)
@@ -107,3 +139,12 @@ def quality_rules(docs: DataFrame, text: str = "text", max_loss: float = 0.5, mi
     return counted.withColumn(
         "quality", F.struct(*(q[c].alias(c) for c in names), lost.alias("lost"), q["clean_text"].alias("clean_text"), base.alias("base_failed"), (~base & (lost <= max_loss)).alias("kept"))
     )
+
+
+def passed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of the documents that are kept, ``text`` without the lines that fail (in place of what it was); rules as above."""
+    judged = storage.free_name("_judged", docs)
+    found = quality_rules(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias(judged), F.col(text).alias("text")))
+    # a generator, and not a filter, so that the optimizer does not work the verdict out a second time
+    rows = found.select(judged, F.inline(F.filter(F.array("quality"), lambda x: x["kept"]))).select(judged, "clean_text")
+    return rows.select(*(F.col("clean_text").alias(c) if c == text else F.col(f"{judged}.`{c}`").alias(c) for c in docs.columns))
