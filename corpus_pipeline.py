@@ -24,7 +24,7 @@ def _documents(df: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
     ship(spark)
-    return _documents(quality.quality_rules(docs).filter("quality.kept").withColumn("text", F.col("quality.clean_text")))
+    return _documents(quality.passed(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
