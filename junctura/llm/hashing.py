@@ -26,8 +26,9 @@ LONG = 256
 class Blocks:
     """Eight bytes from any place of a buffer, as little-endian numbers; zeros follow its end."""
 
-    def __init__(self, buf: bytes):
-        self.words = np.frombuffer(buf + bytes(16 - len(buf) % 8), "<u8")
+    def __init__(self, buf: bytes | np.ndarray):
+        """An array is taken as it is: eight bytes at least must follow what is asked for."""
+        self.words = buf.view("<u8") if isinstance(buf, np.ndarray) else np.frombuffer(buf + bytes(16 - len(buf) % 8), "<u8")
 
     def at(self, places: np.ndarray) -> np.ndarray:
         k = places >> 3

@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from . import hashing
+
 END_ID = 2
 
 
@@ -25,21 +27,6 @@ def default_tokenizer() -> str:
 
 
 _STEP = 1 << 20
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64: the first 2 ** 20, and each 2 ** 20-th."""
-    if not _POWERS:
-        base = 0xD1342543DE82EF95
-        for p in (base, pow(base, -1, 1 << 64)):
-            for q, n in ((p, _STEP), (pow(p, _STEP, 1 << 64), 1 << 12)):
-                x = np.full(n, q, "u8")
-                x[0] = 1
-                _POWERS.append(np.multiply.accumulate(x))
-    return _POWERS
-
-
 _BLANK = np.isin(np.arange(256), [10, 32])
 #: Bytes that make a text irregular: other white space of ASCII.
 _ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
@@ -50,8 +37,8 @@ _WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]
 class FragmentEncoder:
     """Ids of texts; keeps the ids of at most about ``most`` fragments in one array.
 
-    A fragment is a blank or a line feed and the word after it. Hashes of all words of a batch come from one running sum over its bytes; only
-    distinct words are looked up, and only new ones are encoded.
+    A fragment is a blank or a line feed and the word after it. Distinct words of a batch are looked up by hashes, and only new ones are
+    encoded. Each word's bytes are compared with those of the word whose ids it gets; where they differ, the text is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -69,6 +56,9 @@ class FragmentEncoder:
         self.known: dict[int, int] = {}
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
         self.starts, self.sizes = np.empty(1 << 14, "i8"), np.empty(1 << 14, "i4")
+        # the bytes of known words, behind one another
+        self.bytes, self.filled = np.zeros(1 << 20, "u1"), 0
+        self.begins, self.lengths = np.empty(1 << 14, "i8"), np.empty(1 << 14, "i8")
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -90,12 +80,26 @@ class FragmentEncoder:
         while len(self.pool) < self.used + len(ids):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while len(self.starts) < n + m:
-            self.starts, self.sizes = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.sizes, np.empty_like(self.sizes)])
+            for name in ("starts", "sizes", "begins", "lengths"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.empty_like(getattr(self, name))]))
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n : n + m], self.sizes[n : n + m] = starts + self.used, ends - starts
         self.used += len(ids)
+        self.lengths[n : n + m] = np.fromiter(map(len, words), "i8", m)
+        ends = self.filled + np.cumsum(self.lengths[n : n + m])
+        while len(self.bytes) < ends[-1] + 16:
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.filled : ends[-1]] = np.frombuffer(b"".join(words), "u1")
+        self.begins[n : n + m], self.filled = ends - self.lengths[n : n + m], int(ends[-1])
         self.known.update(zip(hashes.tolist(), range(n, n + m)))
 
+    def _same(self, blocks: hashing.Blocks, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether the parts of a buffer are, byte by byte, the known words."""
+        same = self.lengths[word] == ends - starts
+        some = np.flatnonzero(same)
+        same[some] = hashing.equal(blocks, starts[some], hashing.Blocks(self.bytes), self.begins[word[some]], ends[some] - starts[some])
+        return same
+
     def _fragments(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts that are regular: words, single blanks and line feeds between them."""
         buf = b"\n".join(parts)
@@ -105,15 +109,9 @@ class FragmentEncoder:
         gaps = np.flatnonzero(_BLANK[a])
         starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(a)]])
         first = np.concatenate([[True], a[gaps] == 10])
-        up, up_far, down, down_far = _powers()
-        with np.errstate(over="ignore"):
-            at = np.arange(len(a))
-            power = up[: len(a)] if len(a) <= _STEP else up[at & (_STEP - 1)] * up_far[at >> 20]
-            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((a.astype("u8") + np.uint64(1)) * power, dtype="u8")])
-            h = (sums[ends] - sums[starts]) * (down[starts & (_STEP - 1)] * down_far[starts >> 20])
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
-            h ^= first  # the lowest bit tells what stands before
+        blocks = hashing.Blocks(buf)
+        h = hashing.hashes(buf, blocks, starts, ends) | np.uint64(1)
+        h ^= first  # the lowest bit tells what stands before
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._forget()
@@ -134,7 +132,11 @@ class FragmentEncoder:
         head = np.searchsorted(starts, begins)
         a0 = (stop - size)[head] + len(self.feed)
         a1 = np.concatenate([(stop - size)[head[1:]], stop[-1:]])
-        return [ids[p:q] for p, q in zip(a0.tolist(), a1.tolist())]
+        out = [ids[p:q] for p, q in zip(a0.tolist(), a1.tolist())]
+        other = np.flatnonzero(~self._same(blocks, starts, ends, word))
+        for k in np.unique(np.searchsorted(begins, starts[other], side="right") - 1).tolist():
+            out[k] = self._library(parts[k].decode())
+        return out
 
     def _regular(self, part: bytes) -> bool:
         if not part or b"  " in part or b"\n\n" in part or b" \n" in part or b"\n " in part or part[0] in b" \n" or part[-1] in b" \n":
