@@ -5,7 +5,7 @@ order and whether that stays or not, has the same set or one of Jaccard similari
 an order of work. Lines without words stay.
 
 Lines of equal bytes (a 128-bit BLAKE2 digest) are one. Others meet by set_join: prefixes of rarest tokens, length and positional filters, parity bounds.
-Proposals are verified on the words themselves; lines whose proposals all fail ask the lists that had more for the next ones, eight times as
+Proposals are verified on the words themselves; lines whose proposals all fail ask the lists that had more for the next ones, sixteen times as
 many, until none is left. So large groups of near copies give a few pairs per line.
 """
 
@@ -53,7 +53,7 @@ def lines_of(docs: DataFrame, cells: str) -> DataFrame:
                             seen[x[0]] = x[1:]
                         else:
                             fresh[k] = False
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     t = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                     cols = {"d": pa.array(d), "line": pa.array(number.astype("i4")), "n": pa.array(n.astype("i4")), "t": pa.array(t[:, 0].copy()), "t2": pa.array(t[:, 1].copy())}
@@ -90,25 +90,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, tmp: storage.Tables) -> DataFrame:
     """xd, xl of the pairs whose sets are similar enough."""
-    pairs = pairs.select("xd", "xl", "yd", "yl")
-    ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("line")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("line"))).distinct()
-    sets = tmp.stored(_sets(docs, ends), "line-sets")
-    x = sets.select(F.col("d").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xt"))
-    y = sets.select(F.col("d").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yt"))
-    both = F.size(F.array_intersect("xt", "yt"))
-    p, q = set_join.SIMILARITY
-    met = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    return tmp.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select("xd", "xl").distinct(), "similar")
-
-
-def _answered(docs: DataFrame, found: DataFrame, tmp: storage.Tables) -> DataFrame:
-    """xd, xl of the lines with a proposal that holds: the one that most lists make first, the others only where it fails."""
     with storage.tables(docs.sparkSession) as inner:
-        pairs = found.filter("yl >= 0").groupBy("xd", "xl", "yd", "yl").agg(F.count("*").alias("lists"))
-        best = inner.stored(pairs.groupBy("xd", "xl").agg(F.max_by(F.struct("yd", "yl"), F.struct("lists", "yd", "yl")).alias("y")).select("xd", "xl", "y.*"), "best")
-        held = _verified(docs, best, inner)
-        rest = inner.stored(pairs.join(held, ["xd", "xl"], "left_anti").join(best, ["xd", "xl", "yd", "yl"], "left_anti"), "others")
-        return tmp.stored(held.unionByName(_verified(docs, rest, inner)) if rest.limit(1).count() else held, "answered")
+        pairs = inner.stored(pairs, "pairs")
+        ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("line")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("line"))).distinct()
+        sets = inner.stored(_sets(docs, ends), "line-sets")
+        x = sets.select(F.col("d").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xt"))
+        y = sets.select(F.col("d").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yt"))
+        both = F.size(F.array_intersect("xt", "yt"))
+        p, q = set_join.SIMILARITY
+        met = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
+        return tmp.stored(met.filter(both * q >= (F.size("xt") + F.size("yt") - both) * p).select("xd", "xl").distinct(), "similar")
 
 
 def similar_sets(docs: DataFrame, lines: DataFrame, tmp: storage.Tables) -> DataFrame:
@@ -116,13 +107,13 @@ def similar_sets(docs: DataFrame, lines: DataFrame, tmp: storage.Tables) -> Data
     lists, matched, wanted, skip, take = set_join.Lists(lines, tmp), None, None, 0, set_join.PROPOSALS
     while True:
         found = tmp.stored(lists.first(take) if wanted is None else lists.again(wanted, tmp, skip, take), "proposals")
-        now = _answered(docs, found, tmp)
+        now = _verified(docs, found.filter("yl >= 0").select("xd", "xl", "yd", "yl").distinct(), tmp)
         matched = now if matched is None else matched.unionByName(now)
         more = found.filter("yl < 0").select("token", F.col("xd").alias("d"), F.col("xl").alias("line")).distinct()
         wanted = tmp.stored(more.join(small(matched.select(F.col("xd").alias("d"), F.col("xl").alias("line"))), ["d", "line"], "left_anti"), "asking")
         if not wanted.limit(1).count():
             return matched.select(F.col("xd").alias("d"), F.col("xl").alias("line"))
-        skip, take = skip + take, 8 * take
+        skip, take = skip + take, 16 * take
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

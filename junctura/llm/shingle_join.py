@@ -115,7 +115,7 @@ def later_copies(docs: DataFrame, size: int) -> DataFrame:
         twins = tmp.stored(sets.select("d", "t", "t2").join(small(tmp.stored(equal, "equal"), 3), ["t", "t2"]).filter("d <> node").select("d", "node"), "twins")
         reps = sets.join(small(twins.select("d"), 1), "d", "left_anti")
         classes = tmp.stored(reps.filter("n > 0").groupBy("fingerprint").agg(F.min("d").alias("node")), "classes")
-        near = links(classes.select("node", "fingerprint"), tmp).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        near = tmp.stored(links(classes.select("node", "fingerprint"), tmp).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), "near")
         # proposals of copies are those of their first
         lists = set_join.Lists(reps.drop("fingerprint"), tmp)
         found = tmp.stored(lists.first(), "proposals")
