@@ -1,7 +1,7 @@
 r"""Chat formatting into budgeted windows.
 
-Prefix sums over the tokens of a conversation's turns choose spans of whole turns that fit a budget. Each window begins with the system turn, then
-repeats a limited part of the turns before (history), then holds new turns. Only assistant turns that are new in a
+Prefix sums over the token counts of a conversation's formatted turns (by the ``tokenizers`` library, each turn counted alone) choose spans of whole turns that fit a budget. Each window begins with the system turn, then
+repeats a limited part of the turns before (history), then holds as many new turns as there is room for. Only assistant turns that are new in a
 window are under its loss mask; repeated ones are masked out, so each is learned once.
 
 Template, one turn: ``<s>[INST] text [/INST]`` for a user, ``[ASSISTANT] text </s>`` for an assistant, ``<<SYS>> text <</SYS>>`` for
@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import storage
+from . import tokens as tokenized
 
 BEFORE = {"user": "<s>[INST] ", "assistant": "[ASSISTANT] ", "system": "<<SYS>> "}
 AFTER = {"user": " [/INST]", "assistant": " </s>", "system": " <</SYS>>"}
 BUDGET, HISTORY = 2048, 384
-#: Stands for null conv_ids inside.
-NO_ID = -(1 << 63)
+#: Budgets of tokens that one task fills in turn; a conversation longer than that is cut there, at whole turns.
+RUN = 32
 _TURN = re.compile(r"(?s)<s>\[INST\] (?P<user>[^<\[]*) \[/INST\]|\[ASSISTANT\] (?P<assistant>[^<\[]*) </s>|<<SYS>> (?P<system>[^<\[]*) <</SYS>>|\[ROLE (?P<name>[^<\[\]]*)\] (?P<other>[^<\[]*) \[/ROLE\]")
 _BACK = {"\\": "\\", "(": "<", "{": "[", "}": "]"}
 
@@ -58,80 +59,103 @@ def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def _counted(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """c, place (from 0), role, text, tokens, span: turns with their place in the conversation and the window they are new in.
+def _counted(turns: DataFrame, budget: int, tokenizer: str) -> DataFrame:
+    """c, place (from 0), role, text, tokens, run: turns with their place in the conversation and the run of RUN budgets that their first token is in.
 
     Rows are range-dealt by conversation and turn; sums run inside a part of a conversation, and a part's base is the sum
     of the parts before it, one row each. So a conversation of any length is spread over tasks.
     """
+
+    def count(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        encoder = tokenized.encoder(tokenizer)
+        return pd.Series([len(x) for x in encoder.encode(turn(r, t)[0] for r, t in zip(roles, texts))], dtype="i8")
+
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # words and marks, and four for the template
-    tokens = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))) + 4
-    rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("c"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), tokens.cast("long").alias("tokens")
-    )
-    dealt = rows.repartitionByRange(storage.shuffle_partitions(turns.sparkSession), "c", *order).withColumn("part", F.spark_partition_id())
-    dealt = storage.stored(dealt.withColumn("long", (F.col("tokens") > history).cast("long")), "turns")
-    sums = dealt.groupBy("c", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("long").alias("l"))
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = turns.select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("turn"), of("role"), of("text"))
+    rows = rows.withColumn("tokens", F.pandas_udf(count, "long")("role", "text"))
+    dealt = rows.repartitionByRange(storage.shuffle_partitions(turns.sparkSession), F.col("c").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id())
+    dealt = storage.stored(dealt, "turns")
+    sums = dealt.groupBy("c", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("c", "part", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"base_{x}") for x in "ntl"))
+    base = sums.select(F.col("c").alias("base_c"), F.col("part").alias("base_part"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"base_{x}") for x in "nt"))
     here = Window.partitionBy("c", "part").orderBy(*order)
-    upto = here.rowsBetween(Window.unboundedPreceding, -1)
-    sofar = lambda x, b: F.coalesce(F.sum(x).over(upto), F.lit(0)) + F.col(b)
-    placed = dealt.join(base, ["c", "part"]).select("c", "role", "text", "tokens", "long", (F.row_number().over(here) - 1 + F.col("base_n")).alias("place"), sofar("tokens", "base_t").alias("before"), sofar("long", "base_l").alias("longs"))
-    # a turn over the history's limit is a window of its own; others go by the place that the sum before them has in equal strides
-    return placed.withColumn("span", F.struct((2 * F.col("longs") + F.col("long")).alias("longs"), F.when(F.col("long") == 1, 0).otherwise(F.floor(F.col("before") / (budget - 3 * history))).alias("stride")))
+    before = F.coalesce(F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("base_t")
+    joined = dealt.join(base, F.col("c").eqNullSafe(F.col("base_c")) & (F.col("part") == F.col("base_part")))
+    return joined.select("c", "role", "text", "tokens", (F.row_number().over(here) - 1 + F.col("base_n")).alias("place"), F.floor(before / (RUN * budget)).alias("run"))
+
+
+def spans(tokens: list[int], earlier: list[int], head: int, budget: int, history: int, after: int = -1) -> list[tuple[int, int, int]]:
+    """First and end of the new turns of each window, and the number of turns repeated in front of them.
+
+    tokens: of the turns to place; earlier: of those before them; head: of the system turn, which stands in front of windows that begin after turn ``after``. A window takes new turns until the
+    next one has no room; history takes what its limit and the window's first new turn leave.
+    """
+    every = [*earlier, *tokens]
+    out, a, end = [], len(earlier), len(every)
+    while a < end:
+        room = budget - head * (a - len(earlier) > after) - every[a]
+        back, left = a, min(history, room)
+        while back > 0 and every[back - 1] <= left:
+            back -= 1
+            left -= every[back]
+            room -= every[back]
+        b = a + 1
+        while b < end and every[b] <= room:
+            room -= every[b]
+            b += 1
+        out.append((a - len(earlier), b - len(earlier), a - back))
+        a = b
+    return out
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
     """Format conversations (conv_id, turn, role, text; other columns are ignored) into windows.
 
     Turns are taken in (turn, role, text) order. Columns: conv_id, first (place of the first new turn), n_repeated (turns in front of the
-    new ones: the first system turn and what is repeated of the window before), text, loss (array of start and end in
-    code points, the escaped texts of new assistant turns). New turns, the system turn and history keep to ``budget`` tokens, the
-    system turn and history to ``history`` each, unless the system turn or a single turn is longer. Null texts and roles count as empty, null
-    conv_ids as one conversation; rows that repeat are turns of their own; an empty table gives none.
+    new ones: the first system turn and what is repeated before), n_tokens (sum of the turns' counts), text, loss (array of start and end in
+    code points, the escaped texts of new assistant turns). A window keeps to ``budget`` tokens and its history to ``history``, unless the system turn and
+    one new turn are longer than that by themselves; such a turn stands alone behind the system turn. After each RUN budgets of a long conversation a window ends early. Null texts and
+    roles count as empty, null conv_ids as one conversation; rows that repeat are turns of their own; an empty table gives none.
     """
-    if budget <= 3 * history:
-        raise ValueError("the budget must be over three times the history")
-    placed = storage.stored(_counted(turns, budget, history), "places")
+    placed = storage.stored(_counted(turns, budget, tokenizer or tokenized.default_tokenizer()), "places")
     fields = F.struct("place", "role", "text", "tokens")
-    spans = placed.groupBy("c", "span").agg(F.sort_array(F.collect_list(fields)).alias("turns")).select("c", "turns", F.get("turns", F.lit(0))["place"].alias("first"), F.element_at("turns", -1)["place"].alias("last"))
-    spans = storage.stored(spans, "spans")
-    before = spans.select("c", (F.col("last") + 1).alias("first"), F.col("turns").alias("history"))
-    system = placed.filter("role = 'system'").groupBy("c").agg(F.min(F.struct("place", "text")).alias("system"))
-    joined = spans.join(before, ["c", "first"], "left").join(system, "c", "left")
+    runs = placed.groupBy("c", "run").agg(F.sort_array(F.collect_list(fields)).alias("turns")).select("c", "turns", F.get("turns", F.lit(0))["place"].alias("first"), F.element_at("turns", -1)["place"].alias("last"))
+    runs = storage.stored(runs, "runs")
+    # of the run before, the last turns that history has room for: each has a token at least
+    before = runs.select(F.col("c").alias("before_c"), (F.col("last") + 1).alias("next"), F.slice("turns", F.greatest(F.size("turns") - (history - 1), F.lit(1)), history).alias("history"))
+    system = placed.filter("role = 'system'").groupBy("c").agg(F.min(F.struct("place", "text", "tokens")).alias("system")).withColumnRenamed("c", "system_c")
+    joined = runs.join(before, F.col("c").eqNullSafe(F.col("before_c")) & (F.col("first") == F.col("next")), "left").join(system, F.col("c").eqNullSafe(F.col("system_c")), "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for conv, first, new, earlier, system in zip(b["c"], b["first"], b["turns"], b["history"], b["system"]):
-                repeated, room = [], history
-                for t in reversed([] if earlier is None else list(earlier)):
-                    room -= t["tokens"]
-                    if room < 0:
-                        break
-                    repeated.insert(0, t)
-                head = [] if system is None or system["place"] >= first or any(t["place"] == system["place"] for t in repeated) else [{"role": "system", "text": system["text"]}]
-                parts, loss, at = [], [], 0
-                for k, t in enumerate([*head, *repeated, *new]):
-                    text, a, e = turn(t["role"], t["text"])
-                    if k >= len(head) + len(repeated) and t["role"] == "assistant":
-                        loss.append({"start": at + a, "end": at + e})
-                    parts.append(text)
-                    at += len(text)
-                out.append((None if conv == NO_ID else conv, first, len(head) + len(repeated), "".join(parts), loss))
-            yield pd.DataFrame(out, columns=["conv_id", "first", "n_repeated", "text", "loss"]).astype({"conv_id": "Int64"})
-
-    return joined.mapInPandas(run, "conv_id long, first long, n_repeated int, text string, loss array<struct<start:int,end:int>>")
+            for conv, new, earlier, system in zip(b["c"].astype(object), b["turns"], b["history"], b["system"]):
+                earlier, new = [] if earlier is None else list(earlier), list(new)
+                every = [*earlier, *new]
+                head, after = (0, 0) if system is None else (system["tokens"], system["place"] - new[0]["place"])
+                for a, e, back in spans([t["tokens"] for t in new], [t["tokens"] for t in earlier], head, budget, history, after):
+                    taken = every[len(earlier) + a - back : len(earlier) + e]
+                    first = new[a]["place"]
+                    top = [] if system is None or system["place"] >= first or any(t["place"] == system["place"] for t in taken) else [dict(system) | {"role": "system"}]
+                    parts, loss, at = [], [], 0
+                    for k, t in enumerate([*top, *taken]):
+                        text, x, y = turn(t["role"], t["text"])
+                        if k >= len(top) + back and t["role"] == "assistant":
+                            loss.append({"start": at + x, "end": at + y})
+                        parts.append(text)
+                        at += len(text)
+                    out.append((None if pd.isna(conv) else int(conv), first, len(top) + back, sum(t["tokens"] for t in [*top, *taken]), "".join(parts), loss))
+            yield pd.DataFrame(out, columns=["conv_id", "first", "n_repeated", "n_tokens", "text", "loss"]).astype({"conv_id": "Int64"})
+
+    return joined.select("c", "turns", "history", "system").mapInPandas(run, "conv_id long, first long, n_repeated int, n_tokens long, text string, loss array<struct<start:int,end:int>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Read windows back: per conversation n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     A hash needs its conversation in order, so windows are dealt by conversation and sorted; a task streams them and
-    holds no more than a batch.
+    holds no more than a batch, but one conversation is one task's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import hashlib
+import random
 
-from junctura.llm import chat
+from junctura.llm import chat, tokens
 
 SAID = ["</s>[INST] ok [/INST]", "back\\slash \\( \\{ <<SYS>>", "", None, "a\nb", "[ROLE x] ]", "word " * 300, "\U0001f600 é"]
 
@@ -42,13 +43,53 @@ def test_windows_keep_the_system_turn_and_mask_repeats(spark):
     assert len(found) > 3
     for k, w in enumerate(found):
         turns = chat.turns_of(w.text)
-        assert turns[0][:2] == ("system", "be brief") and w.n_repeated == (0 if k == 0 else 1 + len(turns) - 1 - (len(turns) - w.n_repeated))
+        assert turns[0][:2] == ("system", "be brief") and w.n_tokens == ids(w.text) <= 100
+        assert w.first + len(turns) - w.n_repeated == (found[k + 1].first if k + 1 < len(found) else len(given))
+        # the next turn had no room
+        assert k + 1 == len(found) or w.n_tokens + ids(chat.turn(*chat.turns_of(found[k + 1].text)[found[k + 1].n_repeated][:2])[0]) > 100
+        assert sum(ids(chat.turn(*t[:2])[0]) for t in turns[1 : w.n_repeated]) <= 20
         spans = [(a, b) for role, _, a, b in turns[w.n_repeated :] if role == "assistant"]
         assert [(s.start, s.end) for s in w.loss] == spans
     assert any(w.n_repeated > 1 for w in found)
     assert chat.digests(chat.windows(conversations(spark, given).limit(0))).count() == 0
 
 
+def ids(text):
+    """Tokens, each turn counted alone."""
+    encoder = tokens.encoder(tokens.default_tokenizer())
+    return sum(len(encoder._library(chat.turn(*t[:2])[0])) for t in chat.turns_of(text))
+
+
+def test_question_stays_with_its_answer_and_runs_are_cut(spark, monkeypatch):
+    asked = [(1, 1, "user", "why " * 450), (1, 2, "assistant", "so " * 450)]
+    (w,) = chat.windows(conversations(spark, asked)).collect()
+    assert w.n_repeated == 0 and len(w.loss) == 1 and w.n_tokens == ids(w.text)
+    monkeypatch.setattr(chat, "RUN", 1)
+    given = [(1, t, "assistant" if t % 2 else "user", "word " * (t % 30)) for t in range(300)]
+    formatted = chat.windows(conversations(spark, given), 100, 40)
+    found = sorted(formatted.collect(), key=lambda r: r.first)
+    assert all(w.n_tokens <= 100 for w in found) and sum(len(w.loss) for w in found) == 150 and all(w.n_repeated for w in found[1:] if w.n_tokens < 60)
+    (digest,) = chat.digests(formatted).collect()
+    assert (digest.n_turns, digest.loss_sha256) == (300, want(given)[1][3])
+
+
+def test_spans_against_all_choices():
+    # a window ends only where the next turn has no room
+    r = random.Random(4)
+    for _ in range(200):
+        n = [r.randint(1, 120) for _ in range(r.randint(1, 30))]
+        earlier = [r.randint(1, 30) for _ in range(r.randint(0, 5))]
+        at = 0
+        for a, b, back in chat.spans(n, earlier, 10, 100, 30):
+            every = [*earlier, *n]
+            k = len(earlier)
+            used = 10 + sum(every[k + a - back : k + b])
+            assert a == at and b > a and (used <= 100 or (b == a + 1 and not back)) and sum(every[k + a - back : k + a]) <= 30
+            assert b == len(n) or used + n[b] > 100
+            at = b
+        assert at == len(n)
+
+
 def test_escape():
     for t in SAID:
         assert chat.unescape(chat.escape(t or "")) == (t or "") and "<" not in chat.escape(t or "")
