@@ -9,6 +9,7 @@ for the next valid member or version line, whichever comes first and whatever th
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import storage
 
 LEAST_REVISIT = 100
+#: Digests (64 characters each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 START = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
@@ -53,7 +56,9 @@ def decided(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     big = F.octet_length("html") >= LEAST_REVISIT
     firsts = rows.filter(big).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    joined = rows.join(firsts, "digest", "left")
+    # where few digests repeat, pages are not shuffled
+    few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     # what revisits needs no text; its length stays
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
@@ -103,6 +108,16 @@ class Bad(Exception):
 Read = Callable[[int, int], bytes]
 
 
+def _wrong(told: str, data: bytes) -> bool:
+    """Whether a digest, in hex or base 32, is not that of the data; one of an unknown kind says nothing."""
+    kind, _, value = told.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return False
+    made = hashlib.new(kind, data).digest()
+    return value.strip().lower() != made.hex() and value.strip().upper().rstrip("=") != base64.b32encode(made).decode().rstrip("=")
+
+
 def parse(read: Read, at: int, size: int) -> tuple[dict, bytes, int]:
     """Header fields (lower case), payload and end of the record at ``at``, all checks passed."""
     n = _CHUNK
@@ -113,6 +128,9 @@ def parse(read: Read, at: int, size: int) -> tuple[dict, bytes, int]:
     if not head.startswith(VERSION):
         raise Bad("no version line")
     lines = head[:stop].decode(errors="replace").split("\r\n")[1:]
+    for k in range(len(lines) - 1, 0, -1):  # a line that begins with white space goes on with the one before
+        if lines[k][:1] in (" ", "\t"):
+            lines[k - 1 : k + 1] = [f"{lines[k - 1]} {lines[k].strip()}"]
     if any(":" not in x for x in lines):
         raise Bad("a header line without a colon")
     fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
@@ -130,8 +148,10 @@ def parse(read: Read, at: int, size: int) -> tuple[dict, bytes, int]:
     if http:
         top, _, payload = block.partition(b"\r\n\r\n")
         fields |= {"http-" + k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in top.decode(errors="replace").split("\r\n")[1:] if ":" in x)}
-    digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") != "revisit" and digest.startswith("sha256:") and hashlib.sha256(payload).hexdigest() != digest[7:]:
+    if _wrong(fields.get("warc-block-digest", ""), block):
+        raise Bad("block digest")
+    # a revisit has no payload, and a segment is not all of it
+    if fields.get("warc-type") not in ("revisit", "continuation") and "warc-segment-number" not in fields and _wrong(fields.get("warc-payload-digest", ""), payload):
         raise Bad("payload digest")
     return fields, payload, b + 4
 
@@ -209,7 +229,7 @@ def read(spark: SparkSession, uri: str, files: list[str] | None = None, with_pay
     """Records and gaps of the archives under ``uri`` (``files``: names; otherwise those that write() listed).
 
     kind (record or gap), file, start, end, reason (of gaps), and of records: type, record_id, refers_to, uri, payload_bytes,
-    payload_digest (of the full payload, also for revisits), payload if asked for.
+    payload_digest (of the full payload, also for revisits), payload if asked for. payload_bytes of a foreign revisit that does not tell its length is null.
     """
     fs, at = storage.filesystem(uri)
     if files is None:
@@ -234,7 +254,8 @@ def read(spark: SparkSession, uri: str, files: list[str] | None = None, with_pay
                         kind = fields.get("warc-type")
                         length, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         if kind == "revisit":
-                            length, digest = int(fields.get("http-content-length", 0)), fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                            told = fields.get("http-content-length", "")
+                            length, digest = int(told) if told.isdecimal() else None, fields.get("warc-payload-digest", "").removeprefix("sha256:")
                         out.append(("record", name, start, end, None, kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), length, digest, payload if with_payload else None))
                         held += len(payload) if with_payload else 0
                         if len(out) >= 2000 or held > 1 << 25:
@@ -246,6 +267,12 @@ def read(spark: SparkSession, uri: str, files: list[str] | None = None, with_pay
     return listed.mapInPandas(run, schema)
 
 
+def quarantine(records: DataFrame, uri: str) -> str:
+    """Log the gaps of read()'s records as a table under ``uri``: file, start, end, reason, bytes; returns ``uri``."""
+    records.filter("kind = 'gap'").select("file", "start", "end", "reason", (F.col("end") - F.col("start")).alias("bytes")).write.parquet(uri)
+    return uri
+
+
 def page_records(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of write()'s records."""
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)

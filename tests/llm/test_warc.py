@@ -1,3 +1,6 @@
+import random
+import hashlib
+import base64
 import gzip
 
 from junctura import storage
@@ -75,3 +78,33 @@ def test_long_header():
     digest = __import__("hashlib").sha256(b"p").hexdigest()
     long = warc._record(1, "\x01" * 500_000, b"p", digest, None, "d")
     assert found(gzip.compress(long)) == (["<urn:page:1>"], []) and found(long + records(1)[0])[0] == ["<urn:page:1>", "<urn:page:0>"]
+
+
+def record(payload, head=""):
+    block = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + payload
+    return f"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def found_in(data):
+    return [x[0] for x in warc.salvage(lambda a, n: data[a : a + n], len(data))]
+
+
+def test_plain_archive_with_a_compressed_payload_first():
+    data = record(gzip.compress(b"one" * 100)) + record(b"two") + record(b"three")
+    assert found_in(data) == ["record"] * 3
+
+
+def test_first_64_kb_destroyed():
+    noise = random.Random(1).randbytes(200_000).hex().encode()
+    data = bytearray(b"".join(gzip.compress(record(x)) for x in (noise, b"two", b"three")))
+    data[: 1 << 16] = bytes(1 << 16)
+    assert found_in(bytes(data)) == ["gap", "record", "record"]
+
+
+def test_folded_headers_and_other_digests():
+    payload = b"some payload"
+    sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    assert found_in(record(payload, "X-Note: begins\r\n  and goes on\r\n")) == ["record"]
+    assert found_in(record(payload, f"WARC-Payload-Digest: sha1:{sha1}\r\n")) == ["record"]
+    assert found_in(record(b"Some payload", f"WARC-Payload-Digest: sha1:{sha1}\r\n") + record(b"x")) == ["gap", "record"]
+    assert found_in(record(payload, f"WARC-Block-Digest: md5:{'0' * 32}\r\n")) == ["gap"]
