@@ -92,12 +92,13 @@ def spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
 
-def pieces(texts: pa.Array, step: int = STEP) -> Iterator[tuple[bytes, int, np.ndarray, int]]:
+def pieces(texts: pa.Array, step: int | None = None) -> Iterator[tuple[bytes, int, np.ndarray, int]]:
     """Buffers of about ``step`` bytes that hold all texts (no nulls) of an array, a line feed between two texts.
 
     Gives the buffer, the row of its first text, the places where its texts begin, and the number of lines of that first text
     that earlier buffers held: a longer text is cut at line feeds, so only a single line is never divided.
     """
+    step = step or STEP
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
     a = 0

@@ -4,7 +4,7 @@ Items are dealt evenly to partitions. Each partition packs its items best-fit de
 count with a lower bound from dual-feasible functions; where both agree, the count is certified as least possible. Partitions
 with a gap give the items of their unfilled bins to a pool, every other partition those of its emptiest bin. The pool
 is dealt anew, to fewer partitions, and packed again, until the whole meets the bound over all lengths or a
-round saves nothing. A round is kept only if it saves bins.
+round saves nothing (there is no other limit). A round is kept only if it saves bins.
 """
 
 from __future__ import annotations
@@ -91,11 +91,11 @@ def _packed(items: DataFrame, capacity: int, partitions: int, base: int) -> Data
     return dealt.groupBy("g").applyInPandas(run, "uid long, length long, sequence_id long, offset long, fill long, certified boolean, weakest boolean")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 3) -> tuple[DataFrame, dict]:
+def pack(items: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, dict]:
     """Pack items (uid long, unique; length 1 to capacity) into as few sequences as it can.
 
-    Returns uid, sequence_id, offset and a report: bins, the lower bound over all lengths, whether that certifies the
-    count. Offsets within a sequence are gapless from 0. An empty table packs into nothing.
+    Returns uid, sequence_id, offset, certified (whether the partition that the sequence is from has the fewest bins that its items can have) and
+    a report: bins, the lower bound over all lengths, whether that certifies the count, passes over the pool. Offsets within a sequence are gapless from 0. An empty table packs into nothing.
     """
     spark = items.sparkSession
     lengths = items.groupBy("length").count().collect()  # at most ``capacity`` rows
@@ -106,7 +106,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 3) -> tuple[D
     while True:
         bins = sum(_bins(d) for d in [*settled, now])
         report["rounds"] += 1
-        if bins <= report["bound"] or report["rounds"] > rounds:
+        if bins <= report["bound"]:
             break
         gives = (~F.col("certified") & (F.col("fill") < capacity)) | (F.col("weakest") & (F.col("fill") < capacity))
         given = now.filter(gives)
@@ -123,7 +123,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 3) -> tuple[D
     for d in settled:
         out = out.unionByName(d)
     report |= {"bins": bins, "certified": bins == report["bound"]}
-    return out.select("uid", "sequence_id", "offset"), report
+    return out.select("uid", "sequence_id", "offset", "certified"), report
 
 
 def _bins(packed: DataFrame) -> int:
@@ -160,11 +160,11 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int | None = tokens.END_ID, keep_ids: bool = False) -> tuple[DataFrame, dict]:
-    """Pieces of all documents with sequence_id and offset, and pack()'s report; full pieces are sequences of their own."""
+    """Pieces of all documents with sequence_id, offset and certified, and pack()'s report; full pieces are sequences of their own."""
     pieces = storage.stored(cut(docs, tokenizer, capacity, end_id, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     placed, report = pack(pieces.filter(F.col("length") < capacity).select("uid", "length"), capacity)
     full = pieces.filter(F.col("length") == capacity)
-    whole = full.select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = full.select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = pieces.filter(F.col("length") < capacity).join(placed, "uid")
     return rest.unionByName(whole).drop("uid"), report | {"full": full.count()}
 
@@ -178,5 +178,3 @@ def sequences(packed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"sequence_id": b["sequence_id"], "ids": [np.frombuffer(b"".join(p["ids"] for p in ps), "<u4").astype("i8") for ps in b["parts"]]})
 
     return parts.mapInPandas(run, "sequence_id long, ids array<long>")
-
-

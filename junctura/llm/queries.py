@@ -14,8 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into sequences of at most 1024 tokens; rows are pieces."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))[0]
+    """Documents packed into sequences of at most 1024 tokens; rows are pieces. n_bins and bins_bound: how many sequences of more than a full piece there are, and are needed at least."""
+    packed, report = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packed.select("*", F.lit(report["bins"]).cast("long").alias("n_bins"), F.lit(report["bound"]).cast("long").alias("bins_bound"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by the salvage reader."""
     uri = warc.write(_table(spark, sf_dir, "pages"), storage.new_dir(spark, "warc"))
-    return warc.page_records(warc.read(spark, uri))
+    # read once, as records and gaps together, for both the log and the result
+    records = storage.stored(warc.read(spark, uri), "warc-records")
+    warc.quarantine(records, storage.new_dir(spark, "warc-gaps"))
+    return warc.page_records(records)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

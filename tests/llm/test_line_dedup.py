@@ -1,4 +1,6 @@
-from junctura.llm import line_dedup, set_join
+import pyarrow as pa
+
+from junctura.llm import hashing, line_dedup, set_join
 
 from .fixtures import documents, odd_texts, texts
 
@@ -56,3 +58,16 @@ def test_equal_tokens_of_a_line(spark, monkeypatch):
     rows = [(0, " ".join(words)), (1, " ".join(words[:30])), *((2 + i, t) for i, t in enumerate(texts(40, seed=7)))]
     got = result(line_dedup.dedup_lines(documents(spark, rows)))
     assert got == brute(rows) and got[:2] == [t for _, t in rows[:2]]
+
+
+def test_words_of_equal_polynomial_hashes(spark):
+    a = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    rows = [(0, f"one {a} two"), (1, f"one {a.translate({97: 98, 98: 97})} two"), (2, f"{a}\n{a.translate({97: 98, 98: 97})}")]
+    assert result(line_dedup.dedup_lines(documents(spark, rows))) == brute(rows) == [t for _, t in rows]
+
+
+def test_long_texts_are_cut_at_line_feeds(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "STEP", 40)
+    rows = list(enumerate(["\n".join(texts(30, seed=9)), "x " * 100, *texts(30, seed=9)[5:9]]))
+    assert [len(p[0]) for p in hashing.pieces(pa.array([rows[0][1]]))][5] <= 200
+    assert result(line_dedup.dedup_lines(documents(spark, rows))) == brute(rows)

@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from junctura import storage
-from junctura.llm import packing, token_files, tokens
+from junctura.llm import hashing, packing, token_files, tokens
 
 from .fixtures import documents, odd_texts, texts
 
@@ -85,3 +85,51 @@ def test_packing(spark, monkeypatch, items):
     assert len(seqs) == report["bins"] + report["full"] and report["bins"] >= report["bound"]
     assert packing.sequences(packed).count() == len(seqs)
     assert packing.pack_documents(documents(spark))[0].count() == 0
+
+
+def least_bins(x, capacity):
+    """Fewest bins, by trying all."""
+    best = len(x)
+
+    def place(k, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if k == len(x):
+            best = len(gaps)
+            return
+        for i in range(len(gaps)):
+            if gaps[i] >= x[k] and gaps[i] not in gaps[:i]:
+                place(k + 1, [*gaps[:i], gaps[i] - x[k], *gaps[i + 1 :]])
+        place(k + 1, [*gaps, capacity - x[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bound_and_certificate_against_the_optimum():
+    r = np.random.default_rng(3)
+    certified = 0
+    for _ in range(60):
+        x = r.integers(1, 101, r.integers(1, 9))
+        bound, found, best = packing.lower_bound(*np.unique(x, return_counts=True), 100), packing.best_fit_decreasing(x, 100)[2], least_bins(sorted(x.tolist(), reverse=True), 100)
+        assert bound <= best <= found <= best + 1
+        certified += found == bound
+    assert certified > 50
+
+
+def test_words_of_equal_polynomial_hashes():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2 ** 64 for any odd base."""
+    encoder = tokens.FragmentEncoder(tokens.default_tokenizer())
+    for n in (1024, 2048, 4096):
+        a = "".join("ab"[k.bit_count() & 1] for k in range(n))
+        b = a.translate({97: 98, 98: 97})
+        given = [f"x {a} y {b} z", f"{b} {a}", a, b]
+        assert [x.tolist() for x in encoder.encode(given)] == [whole(t)[:-1] for t in given]
+
+
+def test_colliding_words_get_their_own_ids(monkeypatch):
+    true = hashing.hashes
+    monkeypatch.setattr(hashing, "hashes", lambda *a: true(*a) & np.uint64(0xFF))
+    given = [t for t in texts(60) if t]
+    assert [x.tolist() for x in tokens.FragmentEncoder(tokens.default_tokenizer()).encode(given)] == [whole(t)[:-1] for t in given]
