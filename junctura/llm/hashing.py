@@ -18,7 +18,7 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 #: Bytes of text that are looked at at once.
-STEP = 1 << 21
+STEP = 1 << 19
 #: Bytes from which on a word is hashed by the library, one by one.
 LONG = 256
 

@@ -25,7 +25,7 @@ CELL_BITS = 21
 #: Members of a token's list that one task holds; longer lists are cut into chunks, and pairs of chunks are tasks.
 LIST = 50_000
 #: Postings of a bucket, and of one that a task holds while it packs.
-BUCKET, PACKED = 60_000, 250_000
+BUCKET, PACKED = 60_000, 120_000
 #: Partners that an item proposes from one list in the first round.
 PROPOSALS = 4
 #: What a join broadcasts at most, in numbers of eight bytes or less.

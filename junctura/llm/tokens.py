@@ -41,7 +41,7 @@ class FragmentEncoder:
     encoded. Each word's bytes are compared with those of the word whose ids it gets; where they differ, the text is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
