@@ -70,12 +70,18 @@ class Tables:
 
 
 @contextmanager
-def tables(spark: SparkSession) -> Iterator[Tables]:
-    """Tables that only one computation needs: they are removed at its end, so what it returns must be stored() by other means."""
-    held = Tables(spark)
+def tables(spark: SparkSession, batch_rows: int = 2000) -> Iterator[Tables]:
+    """Tables that only one computation needs: they are removed at its end, so what it returns must be stored() by other means.
+
+    Meanwhile Arrow batches have at most ``batch_rows`` rows, as rows hold whole texts.
+    """
+    held, key = Tables(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
     try:
         yield held
     finally:
+        spark.conf.set(key, before)
         held.drop()
         spark._jvm.System.gc()  # Spark frees the files of shuffles that nothing refers to any more
 
