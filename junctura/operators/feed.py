@@ -26,21 +26,26 @@ def tier_routes(routes: DataFrame, tiers: list[str]) -> DataFrame:
     return routes.withColumn("tier", tier).filter(F.col("tier").isin(*tiers))
 
 
-def active_services(calendar: DataFrame, exceptions: DataFrame, day: Column) -> DataFrame:
-    """Services that run on a day: weekday and range, then the last exception of the day (FN26). exceptions: service_id, date, type, seq."""
+def _active(calendar: DataFrame, exceptions: DataFrame, days: Column, by: list[str]) -> DataFrame:
+    """by, service_id, day: services that run on one of an array of days: weekday and range, then the last exception of the day."""
     names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
-    runs = F.lit(False)
-    for k, n in enumerate(names, 1):
-        runs = runs | ((F.dayofweek(day) == k) & (F.col(n) == 1))
-    base = calendar.filter(runs & day.between(F.col("start_date"), F.col("end_date"))).select("service_id")
-    last = exceptions.filter(F.col("date") == day).groupBy("service_id").agg(F.max_by("type", "seq").alias("type"))
-    return base.join(last.filter("type = 2"), "service_id", "left_anti").union(last.filter("type = 1").select("service_id")).distinct()
-
-
-def active_date(calendar: DataFrame, today: Column, ahead: int = 20) -> DataFrame:
-    """The first day from today on with a running service, else the earliest start (FN27); one row."""
-    days = calendar.select("service_id", "start_date", "end_date", F.explode(F.sequence(today, F.date_add(today, ahead))).alias("day"))
-    return days.agg(F.coalesce(F.min(F.when(F.col("day").between(F.col("start_date"), F.col("end_date")), F.col("day"))), F.min("start_date")).alias("day"))
+    runs = F.element_at(F.array(*(F.col(n) == 1 for n in names)), F.dayofweek("day"))
+    keys = [*by, "service_id", "day"]
+    base = calendar.withColumn("day", F.explode(days)).filter(F.col("day").between(F.col("start_date"), F.col("end_date")) & runs).select(*keys)
+    last = exceptions.withColumn("day", F.col("date")).filter(F.array_contains(days, F.col("day"))).groupBy(*keys).agg(F.max_by("type", "seq").alias("type"))
+    return base.join(last.filter("type = 2"), keys, "left_anti").union(last.filter("type = 1").select(*keys)).distinct()
+
+
+def active_services(calendar: DataFrame, exceptions: DataFrame, day: Column) -> DataFrame:
+    """Services that run on a day (FN26). exceptions: service_id, date, type (1: runs, 2: does not), seq."""
+    return _active(calendar, exceptions, F.array(day), []).select("service_id")
+
+
+def active_date(calendar: DataFrame, exceptions: DataFrame, today: Column, ahead: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first day from today on with a service that runs, else the earliest start (FN27); one row, or one for each feed (columns ``by``)."""
+    found = _active(calendar, exceptions, F.sequence(today, F.date_add(today, ahead)), list(by)).select(*by, "day", F.lit(None).cast("date").alias("start"))
+    starts = calendar.select(*by, F.lit(None).cast("date").alias("day"), F.col("start_date").alias("start"))
+    return found.unionByName(starts).groupBy(*by).agg(F.coalesce(F.min("day"), F.min("start")).alias("day"))
 
 
 def test_queries(stop_times: DataFrame, n: int = 6) -> DataFrame:

@@ -20,11 +20,24 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.withColumns({"loose": loose, "normalized": normal, "words": _words(loose), "loose_grams": text.trigrams(loose), "grams": text.trigrams(normal)})
 
 
+def _columns():
+    """Columns of the band ``cy``: none is narrower than a cell at the equator."""
+    widest = F.least(F.lit(90.0), (F.greatest(F.abs("cy"), F.abs(F.col("cy") + 1))) * CELL)
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(widest)) / CELL)).cast("int")
+
+
+def _columns_near():
+    """Columns of the band ``cy`` that have longitudes within reach of the station; the first column follows the last."""
+    narrow = F.greatest(F.lit(1e-4), F.cos(F.radians(F.least(F.lit(90.0), F.abs("s_lat") + 2 * CELL))))
+    reach = F.least(F.lit(180.0), 1.01 * F.degrees(F.lit(REACH_M / 6371008.8)) / narrow)
+    at = lambda d: F.floor((F.col("s_lon") + 180 + d) / (360 / _columns())).cast("int")
+    return F.array_distinct(F.transform(F.sequence(at(-reach), at(reach)), lambda k: F.pmod(k, _columns())))
+
+
 def candidates(stations: DataFrame, references: DataFrame) -> DataFrame:
     """Station and reference of one country within reach, or without coordinates on a side and like in name (JON12).
 
-    Rows with coordinates meet in cells and their neighbours (longitudes by the cell's own latitude are narrower, so five columns
-    are looked at up to 66 degrees); rows without meet by a shared word or an equal name, since a similarity of 0.72 of two names needs shared trigrams of words.
+    Rows with coordinates meet in cells and their neighbours: bands of latitude, each cut into columns that are as wide as its latitude asks for, around the globe; rows without meet by a shared word or an equal name, since a similarity of 0.72 of two names needs shared trigrams of words.
     """
     s = prepared(stations).select(*(F.col(c).alias(f"s_{c}") for c in ("id", "country", "lat", "lon", "loose", "normalized", "words", "loose_grams", "grams")))
     r = prepared(references).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "country", "lat", "lon", "loose", "normalized", "words", "loose_grams", "grams")), F.col("source_id"), F.col("category"))
@@ -32,15 +45,15 @@ def candidates(stations: DataFrame, references: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / CELL).cast("int")
     same = F.col("s_country").eqNullSafe(F.col("r_country"))
     distance = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("r_lat"), F.col("r_lon"))
-    a = s.filter(there("s")).withColumn("cy", F.explode(F.array(*(cell("s_lat") + d for d in (-1, 0, 1))))).withColumn("cx", F.explode(F.array(*(cell("s_lon") + d for d in (-2, -1, 0, 1, 2)))))
-    b = r.filter(there("r")).withColumns({"cy": cell("r_lat"), "cx": cell("r_lon")})
+    a = s.filter(there("s")).withColumn("cy", F.explode(F.array(*(cell("s_lat") + d for d in (-1, 0, 1))))).withColumn("cx", F.explode(_columns_near()))
+    b = r.filter(there("r")).withColumn("cy", cell("r_lat")).withColumn("cx", F.floor((F.col("r_lon") + 180) / (360 / _columns())).cast("int") % _columns())
     near = a.join(b, ["cy", "cx"]).filter(same & (distance <= REACH_M)).drop("cy", "cx").withColumn("distance", distance)
     similar = lambda: F.greatest(text.set_similarity(F.col("s_loose_grams"), F.col("r_loose_grams")), text.set_similarity(F.col("s_grams"), F.col("r_grams")))
-    alike = (F.col("s_normalized") == F.col("r_normalized")) | (F.col("s_loose") == F.col("r_loose")) | (similar() >= 0.72)
-    by_gram = lambda df, p: df.withColumn("gram", F.explode(F.array_union(f"{p}_loose_grams", f"{p}_grams")))
+    alike = (F.col("s_normalized") == F.col("r_normalized")) | (F.col("s_loose") == F.col("r_loose")) | (text.set_similarity(F.col("s_loose_grams"), F.col("r_loose_grams")) >= 0.72)
+    by_gram = lambda df, p: df.withColumn("gram", F.explode(F.array_union(f"{p}_loose_grams", f"{p}_grams"))).withColumn("land", F.coalesce(f"{p}_country", F.lit("")))
     lost = []
     for left, right in ((s.filter(~there("s")), r), (s.filter(there("s")), r.filter(~there("r")))):
-        keys = by_gram(left, "s").select("s_id", "s_country", "gram").join(by_gram(right, "r").select("r_id", F.col("r_country").alias("rc"), "gram"), "gram").filter(F.col("s_country").eqNullSafe(F.col("rc"))).select("s_id", "r_id").distinct()
+        keys = by_gram(left, "s").select("s_id", "land", "gram").join(by_gram(right, "r").select("r_id", "land", "gram"), ["land", "gram"]).select("s_id", "r_id").distinct()
         lost.append(keys.join(left, "s_id").join(right, "r_id").filter(same & alike).withColumn("distance", F.lit(None).cast("double")))
     return near.unionByName(lost[0]).unionByName(lost[1]).withColumn("similarity", F.round(similar(), 6))
 

@@ -213,21 +213,19 @@ def agg_ranks(t):
     return t("events").groupBy("event_type").agg(evaluation.nearest_rank(v, 0.95).alias("nearest"), evaluation.floor_rank(v, 0.95).alias("floored"), evaluation.rounded_rank(v, 0.5).alias("rounded"), F.median("value").alias("middle"))
 
 
-@query("select doc_id, substr(text, 1, 40) as head, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}]+', ' ', 'g')) as normal from documents")
+@query("select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) as normal from documents")
 def fn_normalize(t):
     """FN01."""
-    head = F.substring("text", 1, 40)
-    return t("documents").select("doc_id", head.alias("head"), text.normalize_name(head).alias("normal"))
+    return t("documents").select("doc_id", text.normalize_name(F.col("text")).alias("normal"))
 
 
-_FOLDED = f"replace(replace(replace(replace(translate(lower(substr(text, 1, 60)), '{text.ACCENTED}', '{text.FOLDED}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
+_FOLDED = f"replace(replace(replace(replace(translate(lower(text), '{text.ACCENTED}', '{text.FOLDED}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
 
 
 @query(f"select doc_id, trim({_FOLDED}) as folded, trim(regexp_replace(regexp_replace(regexp_replace(trim({_FOLDED}), '\\bbf\\b|\\bbhf\\b', ' bahnhof ', 'g'), '\\bstr\\b', ' strasse ', 'g'), '[^a-z0-9]+', ' ', 'g')) as loose from documents")
 def fn_loose_name(t):
     """FN02, FN03, FN05, FN33."""
-    head = F.substring("text", 1, 60)
-    return t("documents").select("doc_id", text.fold(head).alias("folded"), text.loose_name(head).alias("loose"))
+    return t("documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.loose_name(F.col("text")).alias("loose"))
 
 
 @query(f"with n as (select distinct p_name as name from part), g as (select name, {s.grams('name')} as g from n) select a.name as a, b.name as b, round({s.similarity('a.g', 'b.g')}, 6) as similarity from g a join g b on a.name < b.name and substr(a.name, 1, 1) = substr(b.name, 1, 1)")

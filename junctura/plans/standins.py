@@ -19,11 +19,11 @@ def stations(t) -> DataFrame:
     """id, name, country, lat, lon, sources (sorted, of ten)."""
     sources = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 10)).alias("sources"))
     p = t("part").join(sources, "p_partkey", "left")
-    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.substring("p_brand", 7, 9).alias("country"), _e(LAT, "p_partkey").alias("lat"), _e(LON, "p_partkey").alias("lon"), F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.when(F.col("p_partkey") % 13 != 0, F.substring("p_brand", 7, 9)).alias("country"), _e(LAT, "p_partkey").alias("lat"), _e(LON, "p_partkey").alias("lon"), F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
 
 
 STATIONS = f"""src as (select l_partkey as id, list_sort(list(distinct l_suppkey % 10)) as sources from lineitem group by 1),
-stations as (select p_partkey as id, p_name || ' ' || p_brand as name, substr(p_brand, 7) as country, cast({LAT.format(k="p_partkey")} as double) as lat, cast({LON.format(k="p_partkey")} as double) as lon, coalesce(sources, []) as sources from part left join src on id = p_partkey)"""
+stations as (select p_partkey as id, p_name || ' ' || p_brand as name, case when p_partkey % 13 <> 0 then substr(p_brand, 7) end as country, cast({LAT.format(k="p_partkey")} as double) as lat, cast({LON.format(k="p_partkey")} as double) as lon, coalesce(sources, []) as sources from part left join src on id = p_partkey)"""
 
 
 def places(t) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Feature codes of stations in a gazetteer, as fixed values.
-STATION_CODES = ("RSTN", "RSTP", "MTRO", "BUSTN", "BUSTP", "STNM", "TRANT", "FY", "FYT")
+STATION_CODES = ("RSTN", "RSTP", "RSTNQ", "STNF", "BUSTN", "MTRST", "MTRO", "RSTNB", "HSTS", "AIRP", "FY")
 GAZETTEER = "geonameid long, name string, asciiname string, alternatenames string, latitude double, longitude double, feature_class string, feature_code string, country_code string"
 
 

@@ -37,5 +37,19 @@ def test_against_sql(spark, duck, name):
     assert rows(tuple(r) for r in got.select(*(f"`{n}`" for n in names)).collect()) == rows(cur.fetchall())
 
 
+def test_components_of_orders_and_parts(spark, duck):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, part in duck.execute("select distinct l_orderkey, l_partkey from lineitem").fetchall():
+        a, b = root(2 * order), root(2 * part + 1)
+        parent[max(a, b)] = min(a, b)
+    assert {(r.id, r.component) for r in QUERIES["graph_components"](spark, DATA).collect()} == {(x, root(x)) for x in parent}
+
+
 def test_queries_without_sql_are_few():
-    assert set(QUERIES) - set(SQL) == {"fn_sequence_ratio"}
+    assert set(QUERIES) - set(SQL) == {"fn_sequence_ratio", "graph_components"}
