@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-#: Accented letters and what they fold to, as fixed values; each letter of the first string folds to the one under it.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿčďěňřšťůžąćęłńśźżőűăâîșțğış"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyycdenrstuzacelnszzouaaistgis"
+
+
+def _bases() -> tuple[str, str]:
+    """Letters with marks, by Unicode's canonical decompositions, and their bases; Hangul syllables stay whole."""
+    found = {}
+    for k in (*range(0xC0, 0xAC00), *range(0xF900, 0xFB50)):
+        base, *marks = unicodedata.normalize("NFD", chr(k))
+        if base != chr(k) and all(map(unicodedata.combining, marks)):
+            found[chr(k)] = base
+    return "".join(found), "".join(found.values())
+
+
+MARKED, BASES = _bases()
+#: Combining marks and the characters of their own that count as diacritics, as fixed values.
+MARKS, DIACRITICS = "".join(map(chr, range(0x300, 0x370))), "^`¨¯´·¸"
 #: Letters that fold to two, as fixed values.
 LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o"}
 #: Abbreviations and what they stand for, as fixed values.
@@ -24,21 +37,32 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+def _bare(c: Column, dropped: str = MARKS) -> Column:
+    """Lower case, letters without their marks."""
+    return F.lower(F.translate(F.coalesce(c, F.lit("")), MARKED + dropped, BASES))
+
+
 def fold(c: Column) -> Column:
-    """Lower case without accents (FN33)."""
-    out = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, FOLDED)
+    """Lower case without diacritics, trimmed (FN33); letters of their own, such as the sharp s, stay."""
+    return F.trim(_bare(c, MARKS + DIACRITICS))
+
+
+def unaccented(c: Column) -> Column:
+    """Lower case without accents, ligatures written out."""
+    out = _bare(c)
     for letter, two in LIGATURES.items():
         out = F.replace(out, F.lit(letter), F.lit(two))
-    return F.trim(out)
+    return out
 
 
 def loose_name(c: Column, expand: bool = True) -> Column:
-    """Folded name with abbreviations written out (FN03); ``expand=False`` keeps them (FN02)."""
-    out = fold(c)
-    if expand:
-        for short, full in ABBREVIATIONS.items():
-            out = F.regexp_replace(out, rf"\b{short}\b", f" {full} ")
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9]+" if expand else r"[^\p{L}\p{N}]+", " "))
+    """Without accents, abbreviations written out, ASCII letters and digits only (FN03); with ``expand=False`` ligatures are written out, not abbreviations, and all letters and digits stay (FN02)."""
+    if not expand:
+        return F.trim(F.regexp_replace(unaccented(c), r"[^\p{L}\p{N}]+", " "))
+    out = _bare(c)
+    for short, full in ABBREVIATIONS.items():
+        out = F.regexp_replace(out, rf"\b{short}\b", f" {full} ")
+    return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
 def ascii_name(c: Column) -> Column:

@@ -219,13 +219,18 @@ def fn_normalize(t):
     return t("documents").select("doc_id", text.normalize_name(F.col("text")).alias("normal"))
 
 
-_FOLDED = f"replace(replace(replace(replace(translate(lower(text), '{text.ACCENTED}', '{text.FOLDED}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
+_BARE = "lower(strip_accents(text))"
+_LIGATURES = f"replace(replace(replace(replace({_BARE}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
 
 
-@query(f"select doc_id, trim({_FOLDED}) as folded, trim(regexp_replace(regexp_replace(regexp_replace(trim({_FOLDED}), '\\bbf\\b|\\bbhf\\b', ' bahnhof ', 'g'), '\\bstr\\b', ' strasse ', 'g'), '[^a-z0-9]+', ' ', 'g')) as loose from documents")
+@query(
+    f"""select doc_id, trim(regexp_replace({_BARE}, '[\\^`¨¯´·¸]', '', 'g')) as folded, trim(regexp_replace({_LIGATURES}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as plain,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_BARE}, '\\babzw\\b', ' abzweig ', 'g'), '\\bbh?f\\b', ' bahnhof ', 'g'), '\\bhbf\\b', ' hauptbahnhof ', 'g'), '\\bstr\\b', ' strasse ', 'g'), '[^a-z0-9]+', ' ', 'g')) as loose from documents"""
+)
 def fn_loose_name(t):
     """FN02, FN03, FN05, FN33."""
-    return t("documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.loose_name(F.col("text")).alias("loose"))
+    c = F.col("text")
+    return t("documents").select("doc_id", text.fold(c).alias("folded"), text.loose_name(c, expand=False).alias("plain"), text.loose_name(c).alias("loose"))
 
 
 @query(f"with n as (select distinct p_name as name from part), g as (select name, {s.grams('name')} as g from n) select a.name as a, b.name as b, round({s.similarity('a.g', 'b.g')}, 6) as similarity from g a join g b on a.name < b.name and substr(a.name, 1, 1) = substr(b.name, 1, 1)")
