@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from .select import latest, top_per_group
@@ -86,3 +86,95 @@ def rail_items(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     rest = candidates.join(absorbed, ["cluster_key", "id"], "left_anti").select("cluster_key", F.col("id").alias("item"), F.lit(2).alias("section"), F.col("rank").cast("int").alias("rank"))
     w = Window.partitionBy("cluster_key").orderBy("section", "rank", "item")
     return heads.unionByName(rest).withColumn("place", F.row_number().over(w))
+
+
+def without_member(merges: DataFrame, removed: DataFrame) -> DataFrame:
+    """merges: cluster_key, entity_id, member; removed: the same columns. Members that stay, of merges that keep two (WSP06)."""
+    keys = ["cluster_key", "entity_id", "member"]
+    rest = merges.join(removed.select(*keys).distinct(), keys, "left_anti")
+    large = rest.groupBy("cluster_key", "entity_id").agg(F.count_distinct("member").alias("n")).filter("n >= 2")
+    return rest.join(large, ["cluster_key", "entity_id"], "left_semi")
+
+
+def edited_composites(composites: DataFrame, edits: DataFrame) -> DataFrame:
+    """composites: cluster_key, kind, entity_id, display_name; edits: cluster_key, kind, entity_id, seq, action (split, rename), value. A split composite goes, a renamed one has its last name (WSP03)."""
+    keys = ["cluster_key", "kind", "entity_id"]
+    found = edits.groupBy(*keys).agg(F.max(F.col("action") == "split").alias("split"), F.max(F.when(F.col("action") == "rename", F.struct("seq", "value"))).alias("name"))
+    joined = composites.join(found, keys, "left").filter(~F.coalesce("split", F.lit(False)))
+    return joined.select(*keys, F.when(F.col("name").isNotNull(), F.col("name.value")).otherwise(F.col("display_name")).alias("display_name"))
+
+
+def kept_apart(selected: DataFrame) -> DataFrame:
+    """selected: cluster_key, set_id, ref. Sets of two distinct refs at least, sorted (WSP07)."""
+    return selected.groupBy("cluster_key", "set_id").agg(F.array_sort(F.collect_set("ref")).alias("refs")).filter("size(refs) >= 2")
+
+
+def summary_counts(df: DataFrame, by: str, of: str) -> DataFrame:
+    """Values of a column per group with their counts and places, most first, ties by value; nulls have no count (WSP10)."""
+    counts = df.filter(F.col(of).isNotNull()).groupBy(by, of).agg(F.count("*").alias("count"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("count"), of)))
+
+
+#: Kinds of evidence whose values are shown as per cent or as counts, as fixed values.
+PERCENT_KINDS = ("name_loose_similarity", "token_overlap")
+COUNT_KINDS = ("shared_provider_sources", "shared_route_context", "shared_adjacent_stations", "coordinate_quality", "generic_name_penalty", "external_reference_coverage")
+STATUS_LABELS = {
+    "supporting": "Supporting", "warning": "Warning", "missing": "Missing", "informational": "Context", "same_location": "Same Loc", "nearby": "Nearby",
+    "far_apart": "Far", "too_far": "Too Far", "missing_coordinates": "No Coords", "coordinates_present": "Coords",
+}
+METRE_KINDS = ("external_reference_nearby_alignment", "external_reference_conflict")
+
+
+def status_label(status: Column) -> Column:
+    """A status as shown: its label, else its words, else Unknown."""
+    labels = F.create_map(*(F.lit(x) for kv in STATUS_LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(labels, status), F.initcap(F.replace(F.coalesce(F.nullif(status, F.lit("")), F.lit("unknown")), F.lit("_"), F.lit(" "))))
+
+
+def evidence_value(kind: Column, raw: Column, score: Column, same_country: Column, distance_status: Column) -> Column:
+    """How a row of evidence is shown: metres, per cent, count, Same, Cross or ? (WSP11). raw: double."""
+    whole = lambda x: F.floor(x + 0.5).cast("string")  # noqa: E731  halves go up
+    there = raw.isNotNull() & ~F.isnan(raw)
+    count = F.when(raw == F.floor(raw), raw.cast("long").cast("string")).otherwise(raw.cast("string"))
+    return (
+        F.when(kind == "geographic_distance", F.when(there, F.concat(whole(raw), F.lit("m"))).otherwise(status_label(distance_status)))
+        .when(kind.isin(*METRE_KINDS) & there & (raw > 1), F.concat(whole(raw), F.lit("m")))
+        .when(kind.isin(*PERCENT_KINDS) & there, F.concat(whole(raw * 100), F.lit("%")))
+        .when(kind.isin(*COUNT_KINDS) & there, count)
+        .when(kind == "country_relation", F.when(same_country, "Same").when(~same_country, "Cross").otherwise("?"))
+        .when(score.isNotNull() & ~F.isnan(score), F.concat(whole(score * 100), F.lit("%")))
+        .otherwise("\u2014")
+    )
+
+
+def composite_places(members: DataFrame) -> DataFrame:
+    """members: entity_id, lat, lon. Mean place of the members that have one, else null (FN43), and its key of seven decimals (FN44)."""
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    mean = members.groupBy("entity_id").agg(F.avg(F.when(there, F.col("lat"))).alias("lat"), F.avg(F.when(there, F.col("lon"))).alias("lon"))
+    return mean.withColumn("bucket", F.concat_ws(",", F.format_string("%.7f", "lat"), F.format_string("%.7f", "lon")))
+
+
+def coverage(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b, left, right (arrays of sources, null: none). Shared sources and those of one side, sorted, and their score; pairs without sources have no row (AGG18)."""
+    none = F.array().cast("array<string>")
+    left, right = (F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, none)))) for c in ("left", "right"))
+    p = pairs.select("a", "b", left.alias("l"), right.alias("r")).filter("size(l) + size(r) > 0")
+    shared = F.array_intersect("l", "r")
+    return p.select("a", "b", shared.alias("shared"), F.array_except("l", "r").alias("left_only"), F.array_except("r", "l").alias("right_only"), (F.size(shared) / F.size(F.array_union("l", "r"))).alias("score"))
+
+
+def source_labels(sources: DataFrame) -> DataFrame:
+    """id, label of sources: provider and dataset, whichever is there, else the id (PIP22). sources: id, provider, dataset."""
+    text = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    return sources.select("id", F.coalesce(F.nullif(F.concat_ws(" - ", text("provider"), text("dataset")), F.lit("")), F.trim("id")).alias("label"))
+
+
+def labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """ids: key, id. Distinct labels per key, sorted; an id that the catalogue lacks stands for itself, blank ones drop out."""
+    known = ids.withColumn("id", F.trim("id")).filter("id <> ''").join(labels, "id", "left")
+    return known.groupBy("key").agg(F.array_sort(F.collect_set(F.coalesce("label", "id"))).alias("labels"))
+
+
+def best_reference(refs: DataFrame, by: list[str]) -> DataFrame:
+    """The reference of each group: primary first, then confidence (missing last), then the smallest (SRT11). refs: ..., ref, is_primary, confidence."""
+    return top_per_group(refs, by, [F.desc("is_primary"), F.desc_nulls_last("confidence"), F.col("ref")])

@@ -99,9 +99,24 @@ def resolved(evidence: DataFrame) -> DataFrame:
     return signals.withColumn("confidence", confidence)
 
 
+#: Warning codes of the sources that stand in for a place's own coordinates, as fixed values.
+USED = {"parent": "used_parent_geom", "points": "used_child_stop_points", "siblings": "used_sibling_centroid", "topo": "used_topographic_place_centroid"}
+
+
 def warnings(df: DataFrame) -> Column:
-    """Flags that apply, others left out (AGG13)."""
-    return F.array_compact(F.array(F.when(F.col("confidence") == "unresolved", "no_coordinates"), F.when(F.col("confidence") == "low", "low_confidence"), F.when(F.col("conflicts") > 0, "conflicting_sources")))
+    """Codes that apply to rows of resolved(), in a fixed order (FN19, AGG13)."""
+    source = F.col("coord_source")
+    others = sum((F.when((source != p) & F.col(f"{p}_lat").isNotNull() & F.col(f"{p}_lon").isNotNull(), 1).otherwise(0) for p in SOURCES), F.lit(0))
+    alone = F.col("rlat").isNotNull() & (F.col("supports") == 0)
+    codes = [
+        (F.col("lat").isNull() | F.col("lon").isNull(), "missing_self_geom"),
+        *((source == p, code) for p, code in USED.items()),
+        (F.col("max_signal_m") > FAR_M, "signal_conflict_gt_1000m"),
+        (alone, "no_supporting_signal"),
+        (alone & (others <= 1), "single_weak_signal"),
+        (source == "missing", "unresolved_missing_all_sources"),
+    ]
+    return F.array_compact(F.array(*(F.when(test, code) for test, code in codes)))
 
 
 def grouped(places: DataFrame, eps: float = 500.0) -> DataFrame:

@@ -18,11 +18,11 @@ def graph_components(t):
     return graph.components(e).withColumnRenamed("node", "id")
 
 
-@query("with recursive tree as (select p_partkey as child, p_partkey // 3 as parent from part where p_partkey % 50 <> 1 and p_partkey > 0), walk(id) as (select p_partkey from part where p_partkey % 400 = 7 union select case when c.child = w.id then c.parent else c.child end from walk w join tree c on c.child = w.id or c.parent = w.id) select distinct id from walk")
+@query("with recursive tree as (select p_partkey as child, p_partkey // 3 as parent from part where p_size > 1), walk(id) as (select p_partkey from part where p_size = 50 union select case when c.child = w.id then c.parent else c.child end from walk w join tree c on c.child = w.id or c.parent = w.id) select distinct id from walk")
 def graph_closure(t):
     """GRF02."""
-    tree = t("part").filter("p_partkey % 50 <> 1 and p_partkey > 0").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).cast("long").alias("parent"))
-    return graph.closure(t("part").filter("p_partkey % 400 = 7").select(F.col("p_partkey").alias("id")), tree)
+    tree = t("part").filter("p_size > 1").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).cast("long").alias("parent"))
+    return graph.closure(t("part").filter("p_size = 50").select(F.col("p_partkey").alias("id")), tree)
 
 
 _XY = "select p_partkey as id, p_name || (p_size % 3) as name, (p_partkey * 7919 % 30011) * 1.0 as x, (p_partkey * 104729 % 5003) * 1.0 as y from part"

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from junctura.plans import basic, domain  # noqa: F401
+from junctura.plans import basic, curate, domain  # noqa: F401
 from junctura.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
