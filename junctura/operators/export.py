@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import csv
 import io
-import zipfile
+import shutil
+import struct
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import storage
 from ..functions import rules
 
+#: Rows that one task renders and deflates at once; archives of other sizes of it differ in bytes.
+BLOCK_ROWS = 1 << 16
+#: The last block of a deflate stream, an empty one.
+END = b"\3\0"
+
 #: The export's calendar, as fixed values.
 CALENDAR = {"monday": "1", "tuesday": "1", "wednesday": "1", "thursday": "1", "friday": "1", "saturday": "1", "sunday": "1", "start_date": "20240101", "end_date": "20351231"}
 #: Columns that each table of an export must have, as fixed values.
@@ -83,20 +92,92 @@ def missing_columns(tables: dict[str, DataFrame]) -> list[str]:
     return [f"{t}.{c}" for t, cols in REQUIRED.items() for c in cols if t not in tables or c not in tables[t].columns]
 
 
+def _product(a: int, b: int) -> int:
+    """Of two polynomials of CRC-32, lowest power in the highest bit."""
+    out = 0
+    for k in range(31, -1, -1):
+        out ^= b if a >> k & 1 else 0
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, length: int) -> int:
+    """CRC-32 of two texts in a row from those of each and the second one's length."""
+    power, square = 1 << 31, 1 << 23
+    while length:
+        power, square, length = _product(square, power) if length & 1 else power, _product(square, square), length >> 1
+    return _product(power, first) ^ second
+
+
+def _csv(rows) -> bytes:
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    return text.getvalue().encode()
+
+
+def _deflated(raw: bytes) -> bytes:
+    """A run of raw deflate that ends on a byte and is not the last."""
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return z.compress(raw) + z.flush(zlib.Z_SYNC_FLUSH)
+
+
+def compressed_blocks(df: DataFrame, keys: list[str], where: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Writes a table's CSV lines, sorted by keys and then all columns, as deflated blocks to files of a shared folder: block, crc, raw, packed (bytes).
+
+    Blocks hold a fixed number of rows, numbered from prefix sums over sorted partitions, so they are equal for equal tables however Spark deals them. A task that runs again
+    writes the same file.
+    """
+    spark, cols = df.sparkSession, df.columns
+    order = [*(F.col(k).asc_nulls_first() for k in keys), *(F.col(c).cast("string").asc_nulls_first() for c in cols if c not in keys)]
+    ranged = df.repartitionByRange(storage.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    line = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+    placed = storage.stored(ranged.select(line.alias("line"), F.monotonically_increasing_id().alias("at")), "export").withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("base"))  # one row for each partition
+    blocks = placed.join(F.broadcast(bases), "part").select("line", (F.col("base") + F.col("at")).alias("at")).withColumn("block", F.floor(F.col("at") / rows))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        raw = _csv(group.sort_values("at")["line"])
+        packed, block = _deflated(raw), int(group["block"].iloc[0])
+        fs, folder = storage.filesystem(where)
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/{block:012d}") as f:
+            f.write(packed)
+        return pd.DataFrame({"block": [block], "crc": [zlib.crc32(raw)], "raw": [len(raw)], "packed": [len(packed)]})
+
+    return blocks.groupBy("block").applyInPandas(pack, "block long, crc long, raw long, packed long")
+
+
 def write_archive(tables: dict[str, DataFrame], order: dict[str, list[str]], out: io.IOBase, date: tuple = (2024, 1, 1, 0, 0, 0)) -> None:
-    """A ZIP of CSV files, equal for equal tables (SNK01, SNK02).
+    """A ZIP of CSV files, equal for equal tables (SNK01, SNK02). Rows without values but one column of theirs are blank lines in quotes, as CSV has them.
 
-    Spark sorts; rows come to the driver one partition at a time and stream into the archive, never a whole table.
+    Tasks sort, render and deflate blocks of rows; the writer of the one file only joins these, with lengths and CRCs that follow from theirs.
     """
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
-        for name, keys in order.items():
-            info = zipfile.ZipInfo(f"{name}.txt", date)
-            info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, 0o644 << 16
-            with z.open(info, "w", force_zip64=True) as raw:
-                text = io.TextIOWrapper(raw, "utf-8", newline="", write_through=True)
-                w = csv.writer(text, lineterminator="\n")
-                w.writerow(tables[name].columns)
-                for r in tables[name].orderBy(*keys).toLocalIterator():
-                    w.writerow(["" if v is None else v for v in r])
-                text.flush()
-                text.detach()
+    stamp = ((date[0] - 1980) << 9 | date[1] << 5 | date[2]) << 16 | date[3] << 11 | date[4] << 5 | date[5] // 2
+    central, at = [], 0
+    for name, keys in order.items():
+        spark = tables[name].sparkSession
+        head = _csv([tables[name].columns])
+        where = storage.new_dir(spark, f"export-{name}")
+        found = storage.stored(compressed_blocks(tables[name], keys, where), "export-blocks").orderBy("block")
+        crc, raw, start = zlib.crc32(head), len(head), _deflated(head)
+        packed = len(start) + len(END)
+        for b in found.toLocalIterator():  # a row for each block
+            crc, raw, packed = joined_crc(crc, b.crc, b.raw), raw + b.raw, packed + b.packed
+        file = f"{name}.txt".encode()
+        sizes = struct.pack("<HHQQ", 1, 16, raw, packed)
+        local = struct.pack("<4sHHHIIIIHH", b"PK\3\4", 45, 0x800, 8, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(sizes)) + file + sizes
+        out.write(local + start)
+        fs, folder = storage.filesystem(where)
+        for b in found.select("block").toLocalIterator():
+            with fs.open_input_stream(f"{folder}/{b.block:012d}") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+        out.write(END)
+        extra = struct.pack("<HHQQQ", 1, 24, raw, packed, at)
+        central.append(struct.pack("<4sHHHHIIIIHHHHHII", b"PK\1\2", 3 << 8 | 45, 45, 0x800, 8, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(extra), 0, 0, 0, 0o100644 << 16, 0xFFFFFFFF) + file + extra)
+        at += len(local) + packed
+        storage.drop(spark, where)
+    listing = b"".join(central)
+    n = len(central)
+    out.write(listing + struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(listing), at) + struct.pack("<4sIQI", b"PK\6\7", 0, at + len(listing), 1))
+    out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, min(len(listing), 0xFFFFFFFF), 0xFFFFFFFF, 0))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curation, lookup, stations as st
+from .. import storage
+from ..operators import curation, export, lookup, stations as st
+from ..sources import tables as sources
 from . import standins as s
 from .domain import _AWAY, _RESOLVED
 from .registry import query
@@ -167,3 +169,19 @@ def best_references(t):
     ref = F.concat_ws("-", "l_orderkey", "l_linenumber")
     r = t("lineitem").select("l_partkey", "l_suppkey", ref.alias("ref"), (F.col("l_returnflag") == "A").alias("is_primary"), F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("confidence"))
     return curation.best_reference(r, ["l_partkey", "l_suppkey"]).select("l_partkey", "l_suppkey", "ref")
+
+
+@query(
+    """select row_number() over (order by l_orderkey, l_linenumber, l_partkey || '', l_shipmode) - 1 as line, l_orderkey || '' as trip_id, l_linenumber || '' as stop_sequence, l_partkey || '' as stop_id, l_shipmode as note from (select *, case when l_suppkey % 3 = 0 then '' else l_returnflag || ', "' || l_linestatus || '"' end as l_shipmode from lineitem)"""
+)
+def export_archive(t):
+    """SNK01, SNK02, SRC24: stop times written as an archive and read back."""
+    note = F.when(F.col("l_suppkey") % 3 != 0, F.concat("l_returnflag", F.lit(', "'), "l_linestatus", F.lit('"')))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"), F.col("l_partkey").alias("stop_id"), note.alias("note"))
+    spark = rows.sparkSession
+    where = f"{storage.new_dir(spark, 'archive')}/gtfs.zip"
+    fs, at = storage.filesystem(where)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        export.write_archive({"stop_times": rows}, {"stop_times": ["trip_id", "stop_sequence"]}, out)
+    return sources.gtfs_table(spark, where, "stop_times").select("line", *(F.col("fields")[c].alias(c) for c in ("trip_id", "stop_sequence", "stop_id", "note")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -10,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import storage
+
 #: Feature codes of stations in a gazetteer, as fixed values.
 STATION_CODES = ("RSTN", "RSTP", "RSTNQ", "STNF", "BUSTN", "MTRST", "MTRO", "RSTNB", "HSTS", "AIRP", "FY")
 GAZETTEER = "geonameid long, name string, asciiname string, alternatenames string, latitude double, longitude double, feature_class string, feature_code string, country_code string"
@@ -79,21 +83,17 @@ def csv_table(spark: SparkSession, path: str, required: tuple[str, ...]) -> Data
 
 
 def gtfs_table(spark: SparkSession, archives: str, table: str) -> DataFrame:
-    """archive, line number and fields (map) of one table of GTFS archives (SRC24); rows stream out of each archive."""
-    import csv
+    """archive, line number and fields (map) of one table of GTFS archives (SRC24). Spark lists the archives; each is opened in place by a task and its rows stream out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    if f"{table}.txt" not in z.namelist():
-                        continue
-                    rows = []
-                    for k, r in enumerate(csv.DictReader(io.TextIOWrapper(z.open(f"{table}.txt"), "utf-8-sig", newline=""))):
-                        rows.append((path, k, {c: v for c, v in r.items() if c and v is not None}))
-                        if len(rows) == 5000:
-                            yield pd.DataFrame(rows, columns=["archive", "line", "fields"])
-                            rows = []
-                    yield pd.DataFrame(rows, columns=["archive", "line", "fields"])
-
-    return spark.read.format("binaryFile").load(archives).select("path", "content").mapInPandas(run, "archive string, line long, fields map<string,string>")
+        for path in (p for b in batches for p in b["path"]):
+            fs, at = storage.filesystem(path)
+            with fs.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                if f"{table}.txt" not in z.namelist():
+                    continue
+                with z.open(f"{table}.txt") as raw:
+                    rows = enumerate(csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline="")))
+                    while some := [(path, k, {c: v for c, v in r.items() if c and v is not None}) for k, r in itertools.islice(rows, 5000)]:
+                        yield pd.DataFrame(some, columns=["archive", "line", "fields"])
+
+    return spark.read.format("binaryFile").load(archives).select("path").mapInPandas(run, "archive string, line long, fields map<string,string>")

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -76,6 +77,16 @@ def test_archives_are_equal(spark):
     assert "agency.agency_id" in export.missing_columns(t) and "stops.stop_lon" in export.missing_columns(t)
 
 
+def test_blocks_of_an_archive(spark):
+    assert export.joined_crc(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh") and export.joined_crc(zlib.crc32(b"abc"), 0, 0) == zlib.crc32(b"abc")
+    df = spark.range(50).select(F.col("id") % 5, F.concat(F.lit("x,"), F.col("id").cast("string")).alias("x")).toDF("k", "x")
+    where = storage.new_dir(spark, "test-blocks")
+    found = export.compressed_blocks(df.repartition(3), ["k"], where, rows=7).orderBy("block").collect()
+    fs, folder = storage.filesystem(where)
+    packed = b"".join(fs.open_input_stream(f"{folder}/{b.block:012d}").read() for b in found) + export.END
+    assert len(found) == 8 and zlib.decompress(packed, -15).decode() == "".join(f'{k},"{x}"\n' for k, x in sorted((i % 5, f"x,{i}") for i in range(50)))
+
+
 XML = """<Publication xmlns="http://www.netex.org.uk/netex"><StopPlace id="SP1"><Name>Test Station</Name><Centroid><Location><Longitude>13.40</Longitude><Latitude>52.52</Latitude></Location></Centroid>
 <keyList><KeyValue><Key>uic</Key><Value>8011160</Value></KeyValue></keyList><quays><Quay id="Q1"><Name>Platform 1</Name><PublicCode>1</PublicCode></Quay></quays></StopPlace><StopPlace id="SP1"><Name>Later</Name></StopPlace>
 <ServiceJourney id="J1"><calls><Call order="2"><ScheduledStopPointRef ref="B"/><Arrival><Time>10:05:00</Time></Arrival></Call><Call order="1"><ScheduledStopPointRef ref="A"/><Departure><Time>10:00:00</Time></Departure></Call></calls></ServiceJourney></Publication>"""
