@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..operators import curation, export, lookup, stations as st
-from ..sources import tables as sources
+from ..sources import netex, tables as sources
 from . import standins as s
 from .domain import _AWAY, _RESOLVED
 from .registry import query
@@ -185,3 +188,26 @@ def export_archive(t):
     with fs.open_output_stream(at) as out:
         export.write_archive({"stop_times": rows}, {"stop_times": ["trip_id", "stop_sequence"]}, out)
     return sources.gtfs_table(spark, where, "stop_times").select("line", *(F.col("fields")[c].alias(c) for c in ("trip_id", "stop_sequence", "stop_id", "note")))
+
+
+@query("select 'S' || p_partkey as scheduled, case when p_partkey % 3 > 0 then 'Q' || p_partkey end as quay, case when p_partkey % 3 = 1 or p_partkey % 3 = 2 then 'P' || (p_partkey // 10) when p_size > 5 then 'X' || p_size end as place from part where p_partkey % 3 > 0 or p_size > 5")
+def netex_references(t):
+    """SRC01, SRC03: parts as quays and scheduled points of archives that tasks write, read back."""
+    k = F.col("p_partkey")
+    quay = F.concat(F.lit('<StopPlace id="P'), F.floor(k / 10), F.lit('"><quays><Quay id="Q'), k, F.lit('"/></quays></StopPlace>'))
+    to_quay, to_place = F.concat(F.lit('<QuayRef ref="Q'), k, F.lit('"/>')), F.concat(F.lit('<StopPlaceRef ref="X'), F.col("p_size"), F.lit('"/>'))
+    told = F.when(k % 3 > 0, to_quay).when(F.col("p_size") > 5, to_place)
+    assigned = F.concat(F.lit('<PassengerStopAssignment id="A'), k, F.lit('"><ScheduledStopPointRef ref="S'), k, F.lit('"/>'), told, F.lit("</PassengerStopAssignment>"))
+    rows = t("part").select(F.floor(k / 5000).alias("block"), k.alias("k"), F.concat(F.coalesce(assigned, F.lit("")), quay).alias("xml"))
+    where = storage.new_dir(rows.sparkSession, "netex")
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        fs, folder = storage.filesystem(where)
+        fs.create_dir(folder, recursive=True)
+        block = int(group["block"].iloc[0])
+        with fs.open_output_stream(f"{folder}/{block}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("site.xml", f"<Publication>{''.join(group.sort_values('k')['xml'])}</Publication>")
+        return pd.DataFrame({"block": [block]})
+
+    rows.groupBy("block").applyInPandas(write, "block long").count()  # at most 5000 parts a group
+    return netex.reference_maps(netex.elements(rows.sparkSession, f"{where}/*.zip", netex.PLACES))

@@ -1,4 +1,4 @@
-"""NeTEx archives as tables (SRC01-SRC10): XML elements become rows in tasks, everything else is joins and windows."""
+"""NeTEx archives as tables (SRC01-SRC07; attributes of trips and patterns, SRC08 and SRC09, are not read): XML elements become rows in tasks, everything else is joins and windows."""
 
 from __future__ import annotations
 
@@ -123,6 +123,27 @@ def stop_places(found: DataFrame, country: str) -> DataFrame:
     return first.withColumns({"country": F.lit(country), "grid_id": geo.grid_id(F.col("lat"), F.col("lon"), F.lit(country))})
 
 
+def reference_maps(found: DataFrame) -> DataFrame:
+    """scheduled, quay, place: what assignments tell of each scheduled point, the last one that tells it (SRC03).
+
+    A place named outright counts, else that of the assignment's quay: the place around it, or that it refers to. Quays of any entry are known to all.
+    """
+    d = found.filter("kind in ('Quay', 'PassengerStopAssignment')").select("kind", "parent_id", F.struct("file", "entry", "event").alias("at"), F.from_json("doc", _DOC).alias("d"))
+    ref = lambda k: F.nullif(F.try_element_at(F.col("d.ref"), F.lit(k)), F.lit(""))
+    quays = d.filter("kind = 'Quay' and d.id is not null").withColumn("place", F.coalesce("parent_id", ref("StopPlaceRef"), ref("ParentSiteRef"))).filter("place is not null")
+    place_of = quays.groupBy(F.col("d.id").alias("quay")).agg(F.max_by("place", "at").alias("quay_place"))
+    told = d.filter("kind = 'PassengerStopAssignment'").select("at", ref("ScheduledStopPointRef").alias("scheduled"), ref("QuayRef").alias("quay"), ref("StopPlaceRef").alias("named")).filter("scheduled is not null")
+    placed = told.join(place_of, "quay", "left").withColumn("place", F.coalesce("named", "quay_place"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c].alias(c)
+    return placed.groupBy("scheduled").agg(last("quay"), last("place"))
+
+
+def at_places(times: DataFrame, maps: DataFrame) -> DataFrame:
+    """stop_times() with ``place_ref``: the place of the scheduled point that a time refers to, else what it refers to itself."""
+    known = maps.filter("place is not null").select(F.col("scheduled").alias("stop_ref"), "place")
+    return times.join(known, "stop_ref", "left").withColumn("place_ref", F.coalesce("place", "stop_ref")).drop("place")
+
+
 def with_synthetic_points(places: DataFrame, points: DataFrame) -> DataFrame:
     """Points, and ``ref::sp`` for places that have none (PIP01). points: ref, place_ref, lat, lon."""
     bare = places.join(points.select(F.col("place_ref").alias("ref")), "ref", "left_anti")
