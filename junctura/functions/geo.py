@@ -42,7 +42,7 @@ def tile(metres: Column, size: float = 2000.0) -> Column:
 def grid_id(lat: Column, lon: Column, country: Column) -> Column:
     """One-degree cell, or ``zzz`` and the country without coordinates (SRC06)."""
     cell = F.format_string("g%03d_%03d", F.floor(lat + 90).cast("int"), F.floor(lon + 180).cast("int"))
-    return F.when(valid(lat, lon), cell).otherwise(F.concat(F.lit("zzz"), F.lower(F.coalesce(country, F.lit("")))))
+    return F.when(valid(lat, lon), cell).otherwise(F.concat(F.lit("zzz"), F.lower(F.trim(F.coalesce(country, F.lit(""))))))
 
 
 def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:

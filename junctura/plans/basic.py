@@ -244,7 +244,7 @@ def fn_trigram(t):
 
 @query(
     f"""with {s.STATIONS} select a.id, round({s.haversine("a.lat", "a.lon", "b.lat", "b.lon")}, 4) as metres, round(sqrt(pow(6378137 * radians(b.lon - a.lon), 2) + pow(6378137 * (ln(tan(pi() / 4 + radians(b.lat) / 2)) - ln(tan(pi() / 4 + radians(a.lat) / 2))), 2)), 3) as planar,
-cast(floor(6378137 * radians(a.lon) / 2000) as bigint) as tile_x, case when a.lat is not null then printf('g%03d_%03d', cast(floor(a.lat + 90) as int), cast(floor(a.lon + 180) as int)) else 'zzz' || a.country end as grid from stations a join stations b on b.id = a.id + 1"""
+cast(floor(6378137 * radians(a.lon) / 2000) as bigint) as tile_x, case when a.lat is not null then printf('g%03d_%03d', cast(floor(a.lat + 90) as int), cast(floor(a.lon + 180) as int)) else 'zzz' || lower(coalesce(a.country, '')) end as grid from stations a join stations b on b.id = a.id + 1"""
 )
 def fn_distances(t):
     """FN10-FN12, SRC06."""
