@@ -6,6 +6,7 @@ machine, is a folder of our own made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,11 @@ class Tables:
             drop(self.spark, where)
         self.held = self.held[max(0, last) :]
 
+    def free(self) -> None:
+        """Have Spark free the files of shuffles that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 @contextmanager
 def tables(spark: SparkSession, batch_rows: int = 2000) -> Iterator[Tables]:
@@ -83,7 +89,7 @@ def tables(spark: SparkSession, batch_rows: int = 2000) -> Iterator[Tables]:
     finally:
         spark.conf.set(key, before)
         held.drop()
-        spark._jvm.System.gc()  # Spark frees the files of shuffles that nothing refers to any more
+        held.free()
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
