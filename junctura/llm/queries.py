@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import deploy, storage
-from . import chat, decontamination, line_dedup, packing, pii, quality, secrets, simhash, token_files, warc
+from . import chat, decontamination, line_dedup, packing, pii, quality, repeats, secrets, simhash, token_files, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that an earlier document has."""
+    found = repeats.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings projected on the first 16 eigenvectors of their exact covariance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
-    ops = (op1_packing, op2_pii, op3_token_files, op4_warc, op5_secrets, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules, op10_chat)
+    ops = (op1_packing, op2_pii, op3_token_files, op4_warc, op5_secrets, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules, op10_chat, op11_repeats, op13_whitening)
     return {f.__name__: f for f in ops}
