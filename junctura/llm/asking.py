@@ -67,7 +67,7 @@ class Corpus:
         packed = rows.mapInArrow(lambda b: _packed(b, size), CHUNKS)
         packed.write.bucketBy(storage.shuffle_partitions(self.spark), "chunk").format("parquet").option("compression", "zstd").option("path", held.dir("chunks")).saveAsTable(self.name)
         self.chunks = self.spark.table(self.name)
-        self.buckets = max(1, self.chunks.select("chunk").count())
+        self.buckets = max(1, 4 * self.chunks.select("chunk").count())
         self.answers: DataFrame | None = None
 
     def close(self) -> None:
@@ -189,6 +189,13 @@ def groups(*sorted_keys: np.ndarray) -> np.ndarray:
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A name of pairs of names."""
     with np.errstate(over="ignore"):
-        x = (a ^ (a >> np.uint64(29))) * _P + b
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(31))
+        x = a >> np.uint64(29)
+        x ^= a
+        x *= _P
+        x += b
+        y = x >> np.uint64(32)
+        x ^= y
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        np.right_shift(x, np.uint64(31), out=y)
+        x ^= y
+    return x

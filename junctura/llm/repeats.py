@@ -12,7 +12,7 @@ are 64-bit names, so that a rank needs no sort of all positions:
 3. For the rest, pairs of the names at p and at p + length - half: the name of the whole string at p. The earliest document that has it keeps it.
 
 Each round is a shuffle of names by ranges, sorted in tasks (asking.py); texts are not shuffled. The result is exact but for equal hashes of
-different strings: of 64 bits for the second halves of strings whose first halves are equal.
+different strings: of 64 bits for halves, two or three of which must be equal at once.
 
 A null text is empty. Rows with equal doc_id don't make each other's bytes go; a null doc_id is smaller than all others. Texts under
 ``length`` bytes stay whole.
@@ -33,7 +33,7 @@ from .hashing import Blocks
 
 LENGTH = 50
 #: Positions that are looked at at once.
-STEP = 1 << 20
+STEP = 1 << 17
 _PLACES = np.uint64((1 << 22) - 1)
 OUT = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string"
 
@@ -79,22 +79,19 @@ class Positions:
             new[1:] &= ~sound[:-1] | (place[1:] != place[:-1])
             starts = np.flatnonzero(new)
             over = sound & np.concatenate([new[1:] | ~sound[1:], [True]])
-            found.append((names[place[starts]], starts + at, np.flatnonzero(over) + at))
-        parts = list(zip(*found, strict=True)) or [[np.zeros(0, t)] for t in ("u8", "i8", "i8")]
-        self.names, self.first, self.last = (np.concatenate(p) for p in parts)
+            ends = np.flatnonzero(over)
+            found.append((names[place[starts]], names[starts], names[starts + length // 2], names[ends + length // 2], starts + at, ends + at))
+        parts = list(zip(*found, strict=True)) or [[np.zeros(0, t)] for t in ("u8", "u8", "u8", "u8", "i8", "i8")]
+        self.names, *self.parts, self.first, self.last = (np.concatenate(p) for p in parts)
         self.row = np.searchsorted(c.starts, self.first, side="right") - 1
         self.doc = c.keys()[self.row] if len(self.row) else np.zeros(0, "i8")
         self.blocks = Blocks(c.data + bytes(16))
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names, in 128 bits, of all that the strings of a position cover, and of where it stands in it."""
-        size = self.last - self.first + self.length
-        a = mixed(size.astype("u8"), self.names)
-        b = mixed(self.names, size.astype("u8"))
-        for k in range(0, int(size.max(initial=0)), 8):
-            word = self.blocks.at(self.first + np.minimum(k, size - 8))
-            a, b = mixed(a, word), mixed(b, ~word)
-        return a, b
+    def whole(self, some: np.ndarray, salt: int) -> np.ndarray:
+        """Names of all that the strings of a position cover, of the names of the three halves that do, and of where it stands in it."""
+        a, b, c = (p[some] for p in self.parts)
+        size = (self.last[some] - self.first[some]).astype("u8")
+        return mixed(mixed(mixed(a ^ np.uint64(salt), b), c), mixed(self.names[some], size))
 
     def strings(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the strings of some positions: starts, and pairs of names of their halves."""
@@ -142,9 +139,8 @@ class State:
         names, doc = p.names[self.order], p.doc[self.order]
         starts = groups(names)
         self.names = names[starts]
-        a, self.b = p.whole()
-        self.a = a | np.uint64(1)
-        around = self.a[self.order]
+        wide = p.whole(np.arange(len(p.names)), 0) | np.uint64(1)
+        around = wide[self.order]
         many = np.zeros(len(starts), bool)
         if len(starts):
             several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
@@ -162,7 +158,7 @@ class State:
         of = np.empty(len(self.order), "i8")
         of[self.order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(self.order))))
         self.second = np.flatnonzero(asked[of])
-        self.wide = _Distinct(self.a[self.second], self.b[self.second], p.doc[self.second])
+        self.wide = _Distinct(wide[self.second], p.whole(self.second, 1 << 32), p.doc[self.second])
         if upto == 1:
             return
         self.covered = self.wide.gone(p.doc[self.second], answers.get(1))

@@ -46,10 +46,10 @@ def planted(seed):
     return list(zip(ids, out, strict=True))
 
 
-@pytest.mark.parametrize(("length", "chunk", "step"), [(50, None, 1 << 20), (50, 2000, 700), (16, 1000, 1 << 20), (33, 500, 64)])
+@pytest.mark.parametrize(("length", "chunk", "step"), [(50, None, 1 << 17), (50, 2000, 700), (16, 1000, 1 << 17), (33, 500, 64)])
 def test_repeats(spark, monkeypatch, length, chunk, step):
     rows = planted(length) + [(1000 + k, t) for k, t in enumerate(odd_texts() + texts(40))]
-    if step != 1 << 20:
+    if step != 1 << 17:
         monkeypatch.setattr(repeats, "STEP", step)  # seen by the driver's check only where tasks share its process
     assert found(repeats.repeats(documents(spark, rows, extra=True), length, chunk)) == brute(rows, length)
 
@@ -64,7 +64,7 @@ def test_positions_in_steps(monkeypatch):
     starts = np.cumsum([0] + [len(t) + 1 for t in texts_])
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([list(range(len(texts_)))]), pa.array([["en"] * len(texts_)]), pa.array([starts.astype("i8").tobytes()]), pa.array([b"\n".join(texts_)])], ["chunk", "ids", "langs", "offsets", "data"])
     strings = []
-    for step in (1 << 20, 777, 64):
+    for step in (1 << 17, 777, 64):
         monkeypatch.setattr(repeats, "STEP", step)
         p = repeats.Positions(Chunk(batch, 0), 50)
         at, _, _ = p.strings(np.arange(len(p.first)))
