@@ -51,5 +51,35 @@ select page_id, payload_bytes, payload_digest, case when first is null or page_i
 """
 
 
+REPEATS = """
+with t as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (select r, coalesce(doc_id, -9223372036854775808) as d, i, substr(h, 2 * i + 1, 100) as s from t, unnest(range(0, len(h) // 2 - 49)) as u(i)),
+hits as (select r, i from windows qualify min(d) over (partition by s) < d),
+bytes as (select distinct r, i + k as b from hits, unnest(range(0, 50)) as v(k)),
+runs as (select r, b, b - row_number() over (partition by r order by b) as run from bytes),
+spans as (select r, min(b) as b, max(b) + 1 as e, row_number() over (partition by r order by min(b)) as k from runs group by r, run),
+edges as (select r, k, b, e, lag(e, 1, 0) over (partition by r order by b) as after from spans),
+cut as (select r, string_agg(substr(h, 2 * after + 1, 2 * (b - after)), '' order by b) as head, max(e) as e, sum(e - b) as n_removed, count(*) as n_spans from edges join t using (r) group by r)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) as kept_sha256
+from t left join cut using (r)
+"""
+
+PHRASES = r"""
+with low as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from low),
+words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+counts as (select lang, k, array_to_string(w[i + 1 : i + k], ' ') as phrase, count(*) as f from words, unnest(range(1, 5)) as v(k), unnest(range(0, len(w) - k + 1)) as u(i) group by all having count(*) >= 30),
+cand as (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from counts where k > 1),
+cuts as (select c.lang, c.phrase, a, j, l.f as l, r.f as r, cast((2000000::hugeint * a) // (l.f + r.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from cand) c join counts l on l.lang = c.lang and l.phrase = array_to_string(w[1:j], ' ') join counts r on r.lang = c.lang and r.phrase = array_to_string(w[j + 1 : c.k], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from cand)) group by all),
+ranked as (select best.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best left join inside using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * a)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC, "op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}
+    return {"op4_warc": WARC, "op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY, "op11_repeats": REPEATS, "op12_phrases": PHRASES}

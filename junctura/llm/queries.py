@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import deploy, storage
-from . import chat, decontamination, line_dedup, packing, pii, quality, repeats, secrets, simhash, token_files, warc, whitening
+from . import chat, decontamination, line_dedup, packing, phrases, pii, quality, repeats, secrets, simhash, token_files, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +82,16 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two to four words."""
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings projected on the first 16 eigenvectors of their exact covariance."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
 def queries() -> dict:
-    ops = (op1_packing, op2_pii, op3_token_files, op4_warc, op5_secrets, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules, op10_chat, op11_repeats, op13_whitening)
+    ops = (op1_packing, op2_pii, op3_token_files, op4_warc, op5_secrets, op6_line_dedup, op7_simhash, op8_decontamination, op9_quality_rules, op10_chat, op11_repeats, op12_phrases, op13_whitening)
     return {f.__name__: f for f in ops}
