@@ -98,14 +98,14 @@ class Corpus:
     def ask(self, asks: Callable, answer: Callable) -> None:
         """A round: asks(chunk, answers) gives deal()'s batches, answer(sorted asks of a bucket) the places to tell; see Heard."""
         k = 0 if self.answers is None else self.rounds
-        asked = self.visit(asks, ASKS)
 
         def heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from answer(Heard(list(batches)), k)
 
-        now = self.held.stored(asked.groupBy("bucket").applyInArrow(heard, ANSWERS), f"answers-{k}")
+        now = self.held.stored(self.visit(asks, ASKS).groupBy("bucket").applyInArrow(heard, ANSWERS), f"answers-{k}")
         self.answers = now if self.answers is None else self.answers.unionByName(now)
         self.rounds = k + 1
+        # nothing refers to the round's plan any more
         self.held.free()
 
 

@@ -2,8 +2,8 @@
 
 Words are counted within pieces (texts cut at ``.,;:!?`` and line ends), per language. First pass: each chunk of documents sends its
 counts of names of words and pairs, dealt by hash into partitions; a partition merges them into a Misra-Gries summary of a capacity of
-over twice its mass divided by the threshold, so what the summary has lost of a name stays under half the threshold, and every name that is
-frequent is still there. Phrases of three and four words are asked only where all their pairs are left. Second pass: what is left is counted
+six times its mass divided by the threshold, so what the summary has lost of a name stays under a sixth of the threshold, and every name that
+is frequent is still there. Phrases of three and four words are asked only where all their pairs are left. Second pass: what is left is counted
 by its words, exactly, and grouped by Spark. Names are 64-bit hashes; equal names of different words only let more through to the exact count.
 
 A null text is empty, a null language ``und``. Repeated rows count each. Without documents there are no rows.
@@ -28,6 +28,8 @@ _BREAK = np.isin(np.arange(256), [10, 11, 12, 13, *b".,;:!?"])
 _GAP = _BREAK | np.isin(np.arange(256), [9, 32])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 COUNTS = "lang string, phrase string, words int, f long"
+#: A summary's capacity is so many times its mass divided by the threshold: over 1, every frequent name is kept; the more, the fewer others.
+ROOM = 6
 #: Parts of a language that are ranked on their own before all are.
 SALT = 64
 
@@ -115,7 +117,7 @@ class Summary:
 def _summarised(count: int):
     def answer(asked: Heard, k: int) -> Iterator[pa.RecordBatch]:
         names, counts = asked.column("a", "<u8"), asked.column("b", "<u4").astype("i8")
-        summary = Summary(2 * int(counts.sum()) // count + 1)
+        summary = Summary(ROOM * int(counts.sum()) // count + 1)
         at, held = 0, 0
         for _, _, n in asked.rows(8):  # as many chunks at a time as the summary has room for
             held += n
