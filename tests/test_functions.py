@@ -96,10 +96,10 @@ XML = """<Publication xmlns="http://www.netex.org.uk/netex"><StopPlace id="SP1">
 def test_netex(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("site.xml", XML)
-    found = netex.elements(spark, str(tmp_path / "x.zip"), netex.PLACES + netex.JOURNEYS)
+    found = netex.elements(spark, str(tmp_path), netex.PLACES + netex.JOURNEYS)
     places = {r.ref: r for r in netex.stop_places(found, "DE").collect()}
-    sp, q = places["SP1"], places["Q1"]
-    assert (sp.name, sp.lat, sp.lon, sp.hard_id, sp.grid_id) == ("Test Station", 52.52, 13.4, "8011160", "g142_193") and (q.parent_ref, q.hard_id) == ("SP1", "1")
+    sp, q = places["SP1"], netex.stop_points(found, "DE").first()
+    assert (sp.name, sp.lat, sp.lon, sp.hard_id, sp.grid_id) == ("Test Station", 52.52, 13.4, "8011160", "g142_193") and (q.ref, q.place_ref, q.hard_id) == ("Q1", "SP1", "1")
     times = sorted((r.trip_id, r.stop_sequence, r.stop_ref, r.arrival_time, r.departure_time) for r in netex.stop_times(found).collect())
     assert times == [("J1", 1, "A", "10:00:00", "10:00:00"), ("J1", 2, "B", "10:05:00", "10:05:00")]
 
