@@ -18,12 +18,68 @@ def published(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
     return latest_decisions(decisions).join(clusters.select("cluster_key"), "cluster_key", "left_semi")
 
 
-def workspace_state(events: DataFrame) -> DataFrame:
-    """The current version of each workspace (PIP12): the newest event that is not undone; a reset starts anew. events: cluster_key, version, action, payload."""
-    undone = events.filter("action = 'undo'").groupBy("cluster_key").agg(F.count("*").alias("undos"))
-    w = Window.partitionBy("cluster_key").orderBy(F.desc("version"))
-    saves = events.filter("action <> 'undo'").withColumn("back", F.row_number().over(w)).join(undone, "cluster_key", "left")
-    return saves.filter(F.col("back") == F.coalesce("undos", F.lit(0)) + 1).select("cluster_key", "version", "action", F.when(F.col("action") != "reset", F.col("payload")).alias("payload"))
+#: What can happen to a workspace, and the states of its cluster.
+ACTIONS = ("save", "undo", "reset", "reopen", "resolve", "dismiss", "dismiss_clear")
+STATUSES = ("open", "in_review", "resolved", "dismissed")
+#: Events of a cluster that are summarised at once.
+LOG_BLOCK = 1024
+
+
+def _after(x: Column, e: Column) -> Column:
+    """A workspace's state after an event. n: versions so far, 2 at most; w: whether there is a workspace; s: status; last, prev, cur: the events that made the last two versions and the workspace; total, curv: numbers of versions."""
+    n, w, s, last, prev, cur, total = (x[k] for k in ("n", "w", "s", "last", "prev", "cur", "total"))
+    is_ = lambda a: e["action"] == a
+    back, kept = is_("undo") & (n >= 2), is_("resolve") | is_("dismiss")
+    clears = w & (is_("reset") | (is_("undo") & (n == 1)))
+    put = is_("save") | back | (kept & w)  # a version is made, and is the workspace
+    value = F.when(is_("save"), e["id"]).when(back, prev).otherwise(cur)
+    twice = is_("dismiss_clear") & w  # the workspace is kept once more, then an empty version follows
+    opened = F.when(s == 0, 1).otherwise(s)
+    status = F.when(is_("save") | back, opened).when(is_("reset") | (is_("undo") & (n == 1)), 0).when(is_("reopen") & (s >= 2), w.cast("int")).when(is_("resolve") & w, 2).when(is_("dismiss") | is_("dismiss_clear"), 3).otherwise(s)
+    return F.struct(
+        F.when(put | clears, F.least(n + 1, F.lit(2))).when(twice, 2).otherwise(n).alias("n"),
+        F.when(put, True).when(clears | twice, False).otherwise(w).alias("w"),
+        status.alias("s"),
+        F.when(put, value).when(clears | twice, F.lit("$empty")).otherwise(last).alias("last"),
+        F.when(put | clears, last).when(twice, cur).otherwise(prev).alias("prev"),
+        F.when(put, value).when(clears | twice, F.lit("$none")).otherwise(cur).alias("cur"),
+        (total + F.when(put | clears, 1).when(twice, 2).otherwise(0)).alias("total"),
+        F.when(put, total + 1).otherwise(x["curv"]).alias("curv"),
+    )
+
+
+def _start(n, w, s, last: str, prev: str, cur: str) -> Column:
+    as_ = lambda v, kind, name: (v if isinstance(v, Column) else F.lit(v)).cast(kind).alias(name)
+    return F.struct(as_(n, "int", "n"), as_(w, "boolean", "w"), as_(s, "int", "s"), as_(last, "string", "last"), as_(prev, "string", "prev"), as_(cur, "string", "cur"), as_(0, "long", "total"), as_(None, "long", "curv"))
+
+
+def _led(x: Column, table: Column) -> Column:
+    """The state after a block of events: what the block makes of a state like this one, with this one's versions put in."""
+    t = F.element_at(table, x["n"] * 8 + x["w"].cast("int") * 4 + x["s"] + 1)
+    put = lambda c: F.when(c == "$last", x["last"]).when(c == "$prev", x["prev"]).when(c == "$cur", x["cur"]).otherwise(c)
+    return F.struct(t["n"].alias("n"), t["w"].alias("w"), t["s"].alias("s"), put(t["last"]).alias("last"), put(t["prev"]).alias("prev"), put(t["cur"]).alias("cur"), (x["total"] + t["total"]).alias("total"), F.coalesce(x["total"] + t["curv"], x["curv"]).alias("curv"))
+
+
+def workspace_state(events: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """cluster_key, status, has_workspace, version, versions, payload after all events of each cluster (PIP12). events: cluster_key, version (their order), action, payload.
+
+    An undo makes the version before the last a new version, so a second undo comes back; with one version it clears the workspace. A reset clears it and opens
+    the cluster; resolving needs a workspace and keeps it as a version; reopening needs a resolved or dismissed cluster. What isn't allowed changes nothing.
+    payload is null for a cleared workspace's empty version.
+
+    What a block of events does is a small table, one row for each kind of state before it, so blocks are summarised apart and their tables composed.
+    """
+    w = Window.partitionBy("cluster_key").orderBy("version")
+    placed = events.withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
+    log = placed.groupBy("cluster_key", "block").agg(F.array_sort(F.collect_list(F.struct("version", F.col("version").cast("string").alias("id"), "action"))).alias("log"))
+    before = F.sequence(F.lit(0), F.lit(23))
+    table = F.transform(before, lambda c: F.aggregate("log", _start(F.floor(c / 8), F.floor(c / 4) % 2 == 1, c % 4, "$last", "$prev", "$cur"), _after))
+    tables = log.select("cluster_key", "block", table.alias("table")).groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "table"))), lambda x: x["table"]).alias("tables"))
+    last = tables.select("cluster_key", F.aggregate("tables", _start(0, False, 0, "$empty", "$empty", "$none"), _led).alias("x"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), F.col("x.s") + 1)
+    found = last.select("cluster_key", status.alias("status"), F.col("x.w").alias("has_workspace"), F.when(F.col("x.w"), F.col("x.curv")).otherwise(0).alias("version"), F.col("x.total").alias("versions"), F.when(F.col("x.w"), F.col("x.cur")).alias("_made"))
+    made = events.select("cluster_key", F.col("version").cast("string").alias("_made"), "payload")
+    return found.join(made, ["cluster_key", "_made"], "left").drop("_made")
 
 
 def previous_version(events: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from ..functions import geo, rules, text
 
 #: Degrees of a cell; 0.02 degrees of latitude are over 2,200 m, more than the search distance.
 CELL, REACH_M = 0.02, 1500.0
+#: Similarity from which names stand in for coordinates; fixed value.
+ALIKE = 0.72
 
 
 def _words(c):
@@ -16,7 +18,7 @@ def _words(c):
 
 def prepared(df: DataFrame) -> DataFrame:
     """df: id, name, country, lat, lon, ... Adds normal forms."""
-    loose, normal = text.loose_name(F.col("name")), text.normalize_name(F.col("name"))
+    loose, normal = text.loose_name(F.col("name"), expand=False), text.normalize_name(F.col("name"))
     return df.withColumns({"loose": loose, "normalized": normal, "words": _words(loose), "loose_grams": text.trigrams(loose), "grams": text.trigrams(normal)})
 
 
@@ -37,7 +39,9 @@ def _columns_near():
 def candidates(stations: DataFrame, references: DataFrame) -> DataFrame:
     """Station and reference of one country within reach, or without coordinates on a side and like in name (JON12).
 
-    Rows with coordinates meet in cells and their neighbours: bands of latitude, each cut into columns that are as wide as its latitude asks for, around the globe; rows without meet by a shared word or an equal name, since a similarity of 0.72 of two names needs shared trigrams of words.
+    Rows with coordinates meet in cells and their neighbours: bands of latitude, each cut into columns that are as wide as its latitude asks for, around the globe. Rows
+    without meet by an equal name, or by one of the first n - ceil(0.72 n) + 1 of a name's n trigrams in one fixed order, of which two names share one if their similarity
+    is 0.72. Two names without letters and digits are equal too, but get no status, so they are not paired.
     """
     s = prepared(stations).select(*(F.col(c).alias(f"s_{c}") for c in ("id", "country", "lat", "lon", "loose", "normalized", "words", "loose_grams", "grams")))
     r = prepared(references).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "country", "lat", "lon", "loose", "normalized", "words", "loose_grams", "grams")), F.col("source_id"), F.col("category"))
@@ -49,11 +53,17 @@ def candidates(stations: DataFrame, references: DataFrame) -> DataFrame:
     b = r.filter(there("r")).withColumn("cy", cell("r_lat")).withColumn("cx", F.floor((F.col("r_lon") + 180) / (360 / _columns())).cast("int") % _columns())
     near = a.join(b, ["cy", "cx"]).filter(same & (distance <= REACH_M)).drop("cy", "cx").withColumn("distance", distance)
     similar = lambda: F.greatest(text.set_similarity(F.col("s_loose_grams"), F.col("r_loose_grams")), text.set_similarity(F.col("s_grams"), F.col("r_grams")))
-    alike = (F.col("s_normalized") == F.col("r_normalized")) | (F.col("s_loose") == F.col("r_loose")) | (text.set_similarity(F.col("s_loose_grams"), F.col("r_loose_grams")) >= 0.72)
-    by_gram = lambda df, p: df.withColumn("gram", F.explode(F.array_union(f"{p}_loose_grams", f"{p}_grams"))).withColumn("land", F.coalesce(f"{p}_country", F.lit("")))
+    alike = (F.col("s_normalized") == F.col("r_normalized")) | (F.col("s_loose") == F.col("r_loose")) | (text.set_similarity(F.col("s_loose_grams"), F.col("r_loose_grams")) >= ALIKE)
+    def by_key(df: DataFrame, p: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.transform(f"{p}_loose_grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: F.concat(F.lit("g"), x["g"]))
+        n = F.size(f"{p}_loose_grams")
+        named = F.filter(F.array(F.concat(F.lit("l"), F.col(f"{p}_loose")), F.concat(F.lit("n"), F.col(f"{p}_normalized"))), lambda x: F.length(x) > 1)
+        keys = F.concat(F.slice(ordered, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * ALIKE - 1e-9).cast("int") + 1)), named)
+        return df.select(f"{p}_id", F.explode(keys).alias("key"), F.coalesce(f"{p}_country", F.lit("")).alias("land"))
+
     lost = []
     for left, right in ((s.filter(~there("s")), r), (s.filter(there("s")), r.filter(~there("r")))):
-        keys = by_gram(left, "s").select("s_id", "land", "gram").join(by_gram(right, "r").select("r_id", "land", "gram"), ["land", "gram"]).select("s_id", "r_id").distinct()
+        keys = by_key(left, "s").join(by_key(right, "r"), ["land", "key"]).select("s_id", "r_id").distinct()
         lost.append(keys.join(left, "s_id").join(right, "r_id").filter(same & alike).withColumn("distance", F.lit(None).cast("double")))
     return near.unionByName(lost[0]).unionByName(lost[1]).withColumn("similarity", F.round(similar(), 6))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import curation, evaluation, export, feed, graph, merge_queue, network, references, stations as st
+from ..operators import curation, decisions, evaluation, export, feed, graph, merge_queue, network, references, stations as st
 from . import standins as s
 from .registry import query
 
@@ -164,21 +164,35 @@ def evidence_summary(t):
     return merge_queue.evidence_summary(merge_queue.build(s.stations(t))["evidence"]).drop("mean_score")
 
 
+#: Beginnings of names in other scripts, with marks, ligatures and abbreviations, for stations and references.
+_SPELLED = ("", "Αθήνα ", "Київ-", "Straße Bf ", "Éire: ")
+
+
+def _spelled(k, name):
+    return F.concat(F.element_at(F.array(*map(F.lit, _SPELLED)), (k % 5 + 1).cast("int")), name)
+
+
 def _references(t):
-    k = F.col("s_suppkey")
-    stations = s.stations(t).drop("sources")
-    refs = t("supplier").select(k.alias("k"), (k * 20 % 2000).alias("id"))
-    named = refs.join(stations, "id")
-    return stations, named.select((F.col("k") + 100000).alias("id"), "name", "country", F.when(F.col("k") % 5 != 0, F.col("lat") + F.col("k") % 7 / 1000.0).alias("lat"), F.when(F.col("k") % 5 != 0, F.col("lon")).alias("lon"), (F.col("k") % 2).alias("source_id"), F.when(F.col("k") % 3 == 0, "shop").otherwise("station").alias("category"))
+    """All parts as stations, and all of them again as references some way off, a seventh under another spelling, a fifth without coordinates."""
+    k = F.col("id")
+    rows = s.stations(t).drop("sources")
+    refs = rows.select(
+        (k + 10_000_000_000).alias("id"), _spelled(k + F.when(k % 7 == 0, 1).otherwise(0), F.col("name")).alias("name"), "country", F.when(k % 5 != 0, F.col("lat") + k % 7 / 1000.0).alias("lat"), F.when(k % 5 != 0, F.col("lon")).alias("lon"),
+        (k % 2).alias("source_id"), F.when(k % 3 == 0, "shop").otherwise("station").alias("category"),
+    )
+    return rows.withColumn("name", _spelled(k, F.col("name"))), refs
 
 
 _NEARNESS = s.haversine("a.lat", "a.lon", "b.lat", "b.lon")
-_RSIM = f"round(greatest({s.similarity('a.g', 'b.g')}, {s.similarity('a.g', 'b.g')}), 6)"
-_MATCHES = f"""{s.STATIONS}, sp as (select *, {s.loose("name")} as loose, {s.grams(s.loose("name"))} as g, list_distinct(string_split({s.loose("name")}, ' ')) as w from stations),
-refs as (select s_suppkey + 100000 as id, name, country, case when s_suppkey % 5 <> 0 then lat + (s_suppkey % 7) / 1000.0 end as lat, case when s_suppkey % 5 <> 0 then lon end as lon, s_suppkey % 2 as source_id, case when s_suppkey % 3 = 0 then 'shop' else 'station' end as category from supplier join stations on stations.id = s_suppkey * 20 % 2000),
-rp as (select *, {s.loose("name")} as loose, {s.grams(s.loose("name"))} as g, list_distinct(string_split({s.loose("name")}, ' ')) as w from refs),
-cand as (select a.id as station, b.id as reference, b.source_id, {_NEARNESS} as distance, {_RSIM} as similarity, len(list_intersect(a.w, b.w)) as overlap, a.loose = b.loose as eq, case when category = 'shop' then 0.7 else 1.0 end as cat
-  from sp a join rp b on a.country is not distinct from b.country where {_NEARNESS} <= 1500 or ({_NEARNESS} is null and (a.loose = b.loose or {_RSIM} >= 0.72))),
+_LIST = "[" + ", ".join(f"'{x}'" for x in _SPELLED) + "]"
+# names by letters and digits of any script; loosely also without accents and ligatures; nothing is abbreviated or written out
+_PLAIN, _LOOSE = (f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))" for x in ("lower(name)", "replace(strip_accents(lower(name)), 'ß', 'ss')"))
+_FORMS = f"{_LOOSE} as loose, {_PLAIN} as plain, {s.grams(_LOOSE)} as g, {s.grams(_PLAIN)} as gp, list_distinct(list_filter(string_split({_LOOSE}, ' '), lambda x: x <> '')) as w"
+_RSIM = f"round(greatest({s.similarity('a.g', 'b.g')}, {s.similarity('a.gp', 'b.gp')}), 6)"
+_MATCHES = f"""{s.STATIONS}, sp as (select *, {_FORMS} from (select * replace ({_LIST}[id % 5 + 1] || name as name) from stations)),
+rp as (select *, {_FORMS} from (select id + 10000000000 as id, {_LIST}[(id + case when id % 7 = 0 then 1 else 0 end) % 5 + 1] || name as name, country, case when id % 5 <> 0 then lat + (id % 7) / 1000.0 end as lat, case when id % 5 <> 0 then lon end as lon, id % 2 as source_id, case when id % 3 = 0 then 'shop' else 'station' end as category from stations)),
+cand as (select a.id as station, b.id as reference, b.source_id, {_NEARNESS} as distance, {_RSIM} as similarity, len(list_intersect(a.w, b.w)) as overlap, a.plain = b.plain as eq, case when category = 'shop' then 0.7 else 1.0 end as cat
+  from sp a join rp b on a.country is not distinct from b.country where {_NEARNESS} <= 1500 or ({_NEARNESS} is null and (a.loose = b.loose or a.plain = b.plain or {s.similarity('a.g', 'b.g')} >= 0.72))),
 scored as (select *, round(least(greatest(similarity, 0), 1) * 0.55::double + least(overlap / 4, 1) * 0.15::double + case when distance is null and eq then 0.20 when distance is null then 0.08 when distance <= 50 then 0.20 when distance <= 250 then 0.18 when distance <= 500 then 0.14 when distance <= 1000 then 0.09 when distance <= 1500 then 0.04 else 0 end::double + cat::double * 0.10::double, 4) as confidence,
   case when (eq and distance <= 250) or (similarity >= 0.97 and coalesce(distance, 0) <= 100) then 'strong' when (similarity >= 0.87 and distance <= 500) or (distance is null and (eq or similarity >= 0.92) and overlap >= 1) then 'probable' when (overlap >= 1 and distance <= 1000) or (distance is null and similarity >= 0.80 and overlap >= 1) then 'weak' end as status from cand),
 matches as (select * from (select *, row_number() over (partition by station, source_id order by confidence desc, coalesce(distance, 1e12), similarity desc, reference) as rank from scored where status is not null) where rank <= 3)"""
@@ -315,14 +329,58 @@ def edit_history(t):
     return curation.history(v, _decisions(t))
 
 
-@query(
-    """with e as (select user_id as cluster_key, event_id as version, case when event_type = 'error' then 'undo' when event_type = 'signup' then 'reset' else 'save' end as action, props from events), u as (select cluster_key, count(*) as n from e where action = 'undo' group by 1),
-s as (select *, row_number() over (partition by cluster_key order by version desc) as back from e where action <> 'undo') select cluster_key, version, action, case when action <> 'reset' then props end as payload from s left join u using (cluster_key) where back = coalesce(n, 0) + 1"""
-)
+EFFECTS_SQL = """
+with recursive steps as (select o_custkey as k, o_orderkey as id, o_totalprice as price, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as other, case when o_orderpriority like '1%' then o_orderstatus || o_custkey end as name from orders),
+log as (select cast(round(price * 100) as bigint) * 10000000000 + id as moment, id as target, other as source, name from steps where other is not null),
+walk as (select o_orderkey as id, o_orderkey as pos, 0::bigint as moment from orders
+  union all select walk.id, arg_min(log.target, log.moment), min(log.moment) from walk join log on log.source = walk.pos and log.moment > walk.moment group by walk.id),
+final as (select id, arg_max(pos, moment) as pos from walk group by id)
+select o_orderkey as station_id, pos as final_id, coalesce(arg_max(l.target = o_orderkey, l.moment) , true) as is_active, arg_max(case when l.source = o_orderkey then l.target end, case when l.source = o_orderkey then l.moment end) as merged_into,
+  coalesce(arg_max(case when l.target = o_orderkey then l.name end, case when l.target = o_orderkey and l.name is not null then l.moment end), o_orderstatus) as display_name
+from orders join final on id = o_orderkey left join log l on l.target = o_orderkey or l.source = o_orderkey group by o_orderkey, pos, o_orderstatus
+"""
+
+
+@query(EFFECTS_SQL)
+def decision_effects(t):
+    """PIP11: each order takes in its customer's next one, in order of price, so some merges move what earlier ones brought."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    steps = t("orders").withColumn("other", F.lead("o_orderkey").over(w)).filter("other is not null")
+    at = F.round(F.col("o_totalprice") * 100).cast("long") * 10_000_000_000 + F.col("o_orderkey")
+    log = steps.select(at.alias("at"), F.inline(F.array(F.struct(F.lit(0).alias("pos"), F.col("o_orderkey").alias("station_id")), F.struct(F.lit(1).alias("pos"), F.col("other").alias("station_id")))), F.when(F.col("o_orderpriority").startswith("1"), F.concat("o_orderstatus", "o_custkey")).alias("rename_to"))
+    stations = t("orders").select(F.col("o_orderkey").alias("station_id"), F.col("o_orderstatus").alias("display_name"), F.lit("").alias("country"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(True).alias("is_active"))
+    after = decisions.decided_stations(log, stations).select("station_id", "is_active", "merged_into", "display_name")
+    ends = decisions.moved(stations.select("station_id", F.col("station_id").alias("ref"), "is_active"), decisions.redirects(log)).select(F.col("ref").alias("station_id"), F.col("station_id").alias("final_id"))
+    return after.join(ends, "station_id")
+
+
+STATE_SQL = """
+with recursive e as (select user_id as k, event_id as id, props, case event_type when 'click' then case when value < 15 then 'reopen' else 'save' end when 'view' then 'undo' when 'purchase' then 'resolve' when 'signup' then 'reset' when 'error' then case when value > 50 then 'dismiss_clear' else 'dismiss' end else 'reopen' end as a,
+  row_number() over (partition by user_id order by event_id) as i from events),
+walk as (
+  select distinct k, 0 as i, 0 as n, false as w, 'open' as s, null::bigint as last, null::bigint as prev, null::bigint as cur, 0 as version from e
+  union all
+  select walk.k, e.i,
+    n + case when a = 'save' or (a = 'undo' and n >= 2) or (a in ('resolve', 'dismiss') and w) or (w and (a = 'reset' or (a = 'undo' and n = 1))) then 1 when a = 'dismiss_clear' and w then 2 else 0 end,
+    case when a = 'save' or (a = 'undo' and n >= 2) then true when a in ('reset', 'dismiss_clear') or (a = 'undo' and n = 1) then false else w end,
+    case when a = 'save' or (a = 'undo' and n >= 2) then case s when 'open' then 'in_review' else s end when a = 'reset' or (a = 'undo' and n = 1) then 'open' when a = 'reopen' and s in ('resolved', 'dismissed') then case when w then 'in_review' else 'open' end
+      when a = 'resolve' and w then 'resolved' when a in ('dismiss', 'dismiss_clear') then 'dismissed' else s end,
+    case when a = 'save' then id when a = 'undo' and n >= 2 then prev when a in ('resolve', 'dismiss') and w then cur when w and (a in ('reset', 'dismiss_clear') or (a = 'undo' and n = 1)) then null else last end,
+    case when a = 'save' or (a = 'undo' and n >= 2) or (a in ('resolve', 'dismiss') and w) or (w and (a = 'reset' or (a = 'undo' and n = 1))) then last when a = 'dismiss_clear' and w then cur else prev end,
+    case when a = 'save' then id when a = 'undo' and n >= 2 then prev when a in ('reset', 'dismiss_clear') or (a = 'undo' and n = 1) then null else cur end,
+    case when a = 'save' or (a = 'undo' and n >= 2) or (a in ('resolve', 'dismiss') and w) then n + 1 else version end
+  from walk join e on e.k = walk.k and e.i = walk.i + 1)
+select walk.k as cluster_key, s as status, w as has_workspace, case when w then version else 0 end as version, n as versions, case when w then props end as payload from walk left join e on e.k = walk.k and e.id = cur qualify row_number() over (partition by walk.k order by walk.i desc) = 1
+"""
+
+
+@query(STATE_SQL)
 def workspace_state(t):
-    """PIP12, WIN15."""
-    a = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "reset").otherwise("save")
-    return curation.workspace_state(t("events").select(F.col("user_id").alias("cluster_key"), F.col("event_id").alias("version"), a.alias("action"), F.col("props").alias("payload")))
+    """PIP12, WIN15: events of users as what happens to workspaces."""
+    kind = F.col("event_type")
+    a = F.when(kind == "click", F.when(F.col("value") < 15, "reopen").otherwise("save")).when(kind == "view", "undo").when(kind == "purchase", "resolve").when(kind == "signup", "reset").when(kind == "error", F.when(F.col("value") > 50, "dismiss_clear").otherwise("dismiss")).otherwise("reopen")
+    found = curation.workspace_state(t("events").select(F.col("user_id").alias("cluster_key"), F.col("event_id").alias("version"), a.alias("action"), F.col("props").alias("payload")))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("version", "versions")})
 
 
 @query(
