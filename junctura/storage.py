@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +16,9 @@ from contextlib import contextmanager
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Seconds for which free() waits, twice.
+FREE_S = 0.4
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
@@ -71,8 +75,10 @@ class Tables:
 
     def free(self) -> None:
         """Have Spark free the files of shuffles that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # Python's references go first, and Spark hears of them a little later
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(FREE_S)
 
 
 @contextmanager
