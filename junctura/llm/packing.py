@@ -101,24 +101,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, dict]:
     lengths = items.groupBy("length").count().collect()  # at most ``capacity`` rows
     report = {"items": sum(r["count"] for r in lengths), "bound": lower_bound(np.array([r["length"] for r in lengths]), np.array([r["count"] for r in lengths]), capacity), "rounds": 0}
     settled: list[DataFrame] = []
-    pool, base, n, bins = items, 0, report["items"], 0
-    now = storage.stored(_packed(pool, capacity, max(1, -(-n // ITEMS)), base), "packing")
+    n_settled, base, n = 0, 0, report["items"]
+    now = storage.stored(_packed(items, capacity, max(1, -(-n // ITEMS)), base), "packing")
+    live = _bins(now)
     while True:
-        bins = sum(_bins(d) for d in [*settled, now])
         report["rounds"] += 1
-        if bins <= report["bound"]:
+        if n_settled + live <= report["bound"]:
             break
         gives = (~F.col("certified") & (F.col("fill") < capacity)) | (F.col("weakest") & (F.col("fill") < capacity))
-        given = now.filter(gives)
-        m, before = given.count(), _bins(given)
+        m, before = now.filter(gives).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if before < 2:
             break
         base += 1 << 48
-        again = storage.stored(_packed(given.select("uid", "length"), capacity, max(1, -(-m // ITEMS)), base), "packing")
-        if _bins(again) >= before:
+        again = storage.stored(_packed(now.filter(gives).select("uid", "length"), capacity, max(1, -(-m // ITEMS)), base), "packing")
+        after = _bins(again)
+        if after >= before:
             break
         settled.append(now.filter(~gives))
-        now = again
+        n_settled, now, live = n_settled + live - before, again, after
+    bins = n_settled + live
     out = now
     for d in settled:
         out = out.unionByName(d)
