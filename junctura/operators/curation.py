@@ -234,3 +234,30 @@ def labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
 def best_reference(refs: DataFrame, by: list[str]) -> DataFrame:
     """The reference of each group: primary first, then confidence (missing last), then the smallest (SRT11). refs: ..., ref, is_primary, confidence."""
     return top_per_group(refs, by, [F.desc("is_primary"), F.desc_nulls_last("confidence"), F.col("ref")])
+
+
+def approximate_places(items: DataFrame) -> DataFrame:
+    """items with lat, lon and ``approx``: one without coordinates gets the mean of its two nearest located items of the same name by rank (FN42).
+
+    items: cluster_key, ref, display_name, rank, lat, lon. Names are equal without case and outer blanks; a rank of 0 or null is 9999. Of equally near ranks the
+    lower comes first, then the smaller ref. Only two items of a rank can count, so each rank keeps two, and an item looks at its own rank and the two before and after.
+    """
+    name, place = F.lower(F.trim(F.coalesce("display_name", F.lit("")))), F.coalesce(F.nullif("rank", F.lit(0)), F.lit(9999)).cast("long")
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    rows = items.withColumns({"_name": name, "_rank": place, "approx": F.lit(False)})
+    by, near = ["cluster_key", "_name"], Window.partitionBy("cluster_key", "_name", "_rank").orderBy("ref")
+    two = rows.filter(located).withColumn("_k", F.row_number().over(near)).filter("_k <= 2").groupBy(*by, "_rank").agg(F.array_sort(F.collect_list(F.struct("_rank", "ref", "lat", "lon"))).alias("two"))
+    w = Window.partitionBy(*by).orderBy("_rank")
+    none = F.array().cast(two.schema["two"].dataType)
+    spots = two.withColumns({"back": F.concat(F.coalesce(F.lag("two").over(w), none), "two"), "on": F.concat("two", F.coalesce(F.lead("two").over(w), none))})
+    asked = rows.filter(~F.coalesce(located, F.lit(False)))
+    kind = asked.select(F.struct(*asked.columns)).schema[0].dataType
+    both = spots.select(*by, "_rank", "two", "back", "on", F.lit(None).cast(kind).alias("_row")).unionByName(asked.select(*by, "_rank", *(F.lit(None).cast(spots.schema[c].dataType).alias(c) for c in ("two", "back", "on")), F.struct(*asked.columns).alias("_row")))
+    seen = both.withColumns({
+        "_before": F.last("back", True).over(w.rangeBetween(Window.unboundedPreceding, -1)), "_here": F.first("two", True).over(w.rangeBetween(0, 0)), "_after": F.first("on", True).over(w.rangeBetween(1, Window.unboundedFollowing)),
+    }).filter("_row is not null")
+    all_ = F.concat(*(F.coalesce(c, none) for c in ("_here", "_before", "_after")))
+    peers = F.slice(F.array_sort(F.transform(all_, lambda p: F.struct(F.abs(p["_rank"] - F.col("_rank")).alias("d"), p["_rank"].alias("r"), p["ref"].alias("ref"), p["lat"].alias("lat"), p["lon"].alias("lon")))), 1, 2)
+    mean = lambda c: F.aggregate("_peers", F.lit(0.0), lambda t, p: t + p[c]) / F.size("_peers")
+    placed = seen.withColumn("_peers", peers).select("_row.*", "_peers").withColumn("approx", F.size("_peers") > 0).withColumns({c: F.when(F.col("approx"), mean(c)).otherwise(F.col(c)) for c in ("lat", "lon")})
+    return rows.filter(located).select(*items.columns, "approx").unionByName(placed.select(*items.columns, "approx"))
