@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import curation, stages, validation
+from ..operators import clusters as clusters_, curation, stages, validation
 from .registry import query
 
 WORKSPACES_SQL = """
@@ -82,3 +82,34 @@ def stage_rebuilt(t):
     stage.run(rows.filter("not (scope like '1%' and o_orderstatus = 'F') and scope not like '5%'"), summed)
     found = stage.run(rows.filter("scope not like '2%'"), summed)
     return found.join(stage.result(), "scope", "left")
+
+
+@query("""with c as (select c_custkey as k, case when c_acctbal > 7000 then 'high' when c_acctbal > 0 then 'medium' else 'low' end as severity, case when c_nationkey < 20 then 'open' else 'resolved' end as status, c_acctbal, c_nationkey from customer),
+w as (select o_custkey as k, max(o_orderkey) as version from orders where o_orderstatus = 'P' group by 1),
+first as (select c.*, w.k is not null as has, version from c left join w using (k) order by case severity when 'high' then 1 when 'medium' then 2 else 3 end, c_acctbal desc, k limit 300)
+select k as cluster_key, severity, case when has and status = 'open' then 'in_review' else status end as effective_status, has as has_workspace, version as workspace_version, coalesce((select string_agg(o_orderkey || '', ',' order by floor(o_totalprice / 10000), o_orderkey) from orders where o_custkey = k), '') as candidates from first""")
+def cluster_list(t):
+    """PIP17: customers as clusters, their orders as candidates; the first 300."""
+    balance = F.col("c_acctbal")
+    clusters = t("customer").select(F.col("c_custkey").alias("cluster_key"), F.when(F.col("c_nationkey") < 20, "open").otherwise("resolved").alias("status"), F.when(balance > 7000, "high").when(balance > 0, "medium").otherwise("low").alias("severity"), balance.alias("updated_at"))
+    workspaces = t("orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("cluster_key")).agg(F.max("o_orderkey").alias("version"))
+    found = clusters_.cluster_list(clusters, workspaces, _candidates(t), limit=300)
+    return found.select("cluster_key", "severity", "effective_status", "has_workspace", "workspace_version", F.array_join(F.transform("candidates", lambda x: x["station_id"].cast("string")), ",").alias("candidates"))
+
+
+def _candidates(t):
+    return t("orders").select(F.col("o_custkey").alias("cluster_key"), F.col("o_orderkey").alias("station_id"), F.floor(F.col("o_totalprice") / 10000).alias("rank"), F.col("o_orderpriority").alias("display_name"))
+
+
+@query("""with p as (select o_custkey as k, o_orderkey as id, floor(o_totalprice / 10000) as rank, coalesce((select string_agg(distinct l_suppkey || '', ',' order by l_suppkey || '') from lineitem where l_orderkey = o_orderkey and l_returnflag <> 'R'), '') as active, coalesce((select string_agg(distinct l_suppkey || '', ',' order by l_suppkey || '') from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'), '') as past from orders)
+select c_custkey as cluster_key, c_name as name, coalesce((select string_agg(id || ':' || active || ':' || past, ';' order by rank, id) from p where k = c_custkey), '') as candidates, (select count(*) from events where user_id = c_custkey) as n_events, coalesce((select string_agg(event_id || '', ',' order by ts, event_id) from events where user_id = c_custkey and event_type = 'purchase'), '') as purchases from customer""")
+def cluster_documents(t):
+    """PIP17, JON18: customers with their orders, each with what its lines say, and their events, in one aggregation."""
+    mappings = t("lineitem").select(F.col("l_orderkey").alias("station_id"), F.col("l_suppkey").cast("string").alias("source_id"), F.col("l_partkey").alias("ref"), (F.col("l_returnflag") != "R").alias("is_active"))
+    known = clusters_.provenance(_candidates(t), mappings)
+    events = t("events").select(F.col("user_id").alias("cluster_key"), "ts", "event_id", "event_type")
+    found = clusters_.cluster_documents(t("customer").select(F.col("c_custkey").alias("cluster_key"), "c_name"), candidates=(known, ["rank", "station_id"]), events=(events, ["ts", "event_id"]))
+    joined = lambda c: F.array_join(c, ",")
+    told = F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["station_id"].cast("string"), joined(x["active_source_ids"]), joined(x["historical_source_ids"]))), ";")
+    bought = joined(F.transform(F.filter("events", lambda x: x["event_type"] == "purchase"), lambda x: x["event_id"].cast("string")))
+    return found.select("cluster_key", F.col("c_name").alias("name"), told.alias("candidates"), F.size("events").cast("long").alias("n_events"), bought.alias("purchases"))
