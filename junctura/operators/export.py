@@ -6,6 +6,8 @@ import csv
 import io
 import shutil
 import struct
+import uuid
+import zipfile
 import zlib
 
 import pandas as pd
@@ -148,36 +150,98 @@ def compressed_blocks(df: DataFrame, keys: list[str], where: str, rows: int = BL
     return blocks.groupBy("block").applyInPandas(pack, "block long, crc long, raw long, packed long")
 
 
-def write_archive(tables: dict[str, DataFrame], order: dict[str, list[str]], out: io.IOBase, date: tuple = (2024, 1, 1, 0, 0, 0)) -> None:
-    """A ZIP of CSV files, equal for equal tables (SNK01, SNK02). Rows without values but one column of theirs are blank lines in quotes, as CSV has them.
+class Archive:
+    """A ZIP that is written from front to back: tables that tasks render, and members that are copied as they lie in another archive."""
 
-    Tasks sort, render and deflate blocks of rows; the writer of the one file only joins these, with lengths and CRCs that follow from theirs.
-    """
-    stamp = ((date[0] - 1980) << 9 | date[1] << 5 | date[2]) << 16 | date[3] << 11 | date[4] << 5 | date[5] // 2
-    central, at = [], 0
-    for name, keys in order.items():
-        spark = tables[name].sparkSession
-        head = _csv([tables[name].columns])
-        where = storage.new_dir(spark, f"export-{name}")
-        found = storage.stored(compressed_blocks(tables[name], keys, where), "export-blocks").orderBy("block")
+    def __init__(self, out: io.IOBase, date: tuple = (2024, 1, 1, 0, 0, 0)):
+        self.out, self.date, self.central, self.at = out, date, [], 0
+
+    def _member(self, name: str, date: tuple, method: int, flags: int, crc: int, raw: int, packed: int) -> None:
+        """The local header; what follows has ``packed`` bytes."""
+        file = name.encode()
+        stamp = ((date[0] - 1980) << 9 | date[1] << 5 | date[2]) << 16 | date[3] << 11 | date[4] << 5 | date[5] // 2
+        sizes = struct.pack("<HHQQ", 1, 16, raw, packed)
+        local = struct.pack("<4sHHHIIIIHH", b"PK\3\4", 45, flags, method, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(sizes)) + file + sizes
+        self.out.write(local)
+        extra = struct.pack("<HHQQQ", 1, 24, raw, packed, self.at)
+        self.central.append(struct.pack("<4sHHHHIIIIHHHHHII", b"PK\1\2", 3 << 8 | 45, 45, flags, method, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(extra), 0, 0, 0, 0o100644 << 16, 0xFFFFFFFF) + file + extra)
+        self.at += len(local) + packed
+
+    def table(self, name: str, df: DataFrame, keys: list[str]) -> None:
+        """A CSV file of a table, sorted by keys and then all columns."""
+        spark, head = df.sparkSession, _csv([df.columns])
+        where = storage.new_dir(spark, "export")
+        found = storage.stored(compressed_blocks(df, keys, where), "export-blocks").orderBy("block")
         crc, raw, start = zlib.crc32(head), len(head), _deflated(head)
         packed = len(start) + len(END)
         for b in found.toLocalIterator():  # a row for each block
             crc, raw, packed = joined_crc(crc, b.crc, b.raw), raw + b.raw, packed + b.packed
-        file = f"{name}.txt".encode()
-        sizes = struct.pack("<HHQQ", 1, 16, raw, packed)
-        local = struct.pack("<4sHHHIIIIHH", b"PK\3\4", 45, 0x800, 8, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(sizes)) + file + sizes
-        out.write(local + start)
+        self._member(name, self.date, 8, 0x800, crc, raw, packed)
+        self.out.write(start)
         fs, folder = storage.filesystem(where)
         for b in found.select("block").toLocalIterator():
             with fs.open_input_stream(f"{folder}/{b.block:012d}") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-        out.write(END)
-        extra = struct.pack("<HHQQQ", 1, 24, raw, packed, at)
-        central.append(struct.pack("<4sHHHHIIIIHHHHHII", b"PK\1\2", 3 << 8 | 45, 45, 0x800, 8, stamp, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(file), len(extra), 0, 0, 0, 0o100644 << 16, 0xFFFFFFFF) + file + extra)
-        at += len(local) + packed
+                shutil.copyfileobj(f, self.out, 1 << 20)
+        self.out.write(END)
         storage.drop(spark, where)
-    listing = b"".join(central)
-    n = len(central)
-    out.write(listing + struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(listing), at) + struct.pack("<4sIQI", b"PK\6\7", 0, at + len(listing), 1))
-    out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, min(len(listing), 0xFFFFFFFF), 0xFFFFFFFF, 0))
+
+    def copy(self, source, member: zipfile.ZipInfo) -> None:
+        """A member of another archive, byte by byte: nothing is inflated, lengths and CRC are those of its directory."""
+        source.seek(member.header_offset)
+        head = source.read(30)
+        if head[:4] != b"PK\3\4":
+            raise zipfile.BadZipFile(f"{member.filename}: no member where the directory has one")
+        source.seek(member.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+        # sizes stand before the member now, and names are UTF-8
+        self._member(member.filename, member.date_time, member.compress_type, member.flag_bits & ~0x8 | 0x800, member.CRC, member.file_size, member.compress_size)
+        left = member.compress_size
+        while left:
+            part = source.read(min(left, 1 << 20))
+            if not part:
+                raise zipfile.BadZipFile(f"{member.filename}: the archive ends too early")
+            self.out.write(part)
+            left -= len(part)
+
+    def close(self) -> None:
+        listing = b"".join(self.central)
+        n = len(self.central)
+        self.out.write(listing + struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(listing), self.at) + struct.pack("<4sIQI", b"PK\6\7", 0, self.at + len(listing), 1))
+        self.out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(len(listing), 0xFFFFFFFF), 0xFFFFFFFF, 0))
+
+
+def write_archive(tables: dict[str, DataFrame], order: dict[str, list[str]], out: io.IOBase, date: tuple = (2024, 1, 1, 0, 0, 0)) -> None:
+    """A ZIP of CSV files, equal for equal tables (SNK01, SNK02). Rows without values but one column of theirs are blank lines in quotes, as CSV has them.
+
+    Tasks sort, render and deflate blocks of rows; the writer of the one file only joins these, with lengths and CRCs that follow from theirs.
+    """
+    z = Archive(out, date)
+    for name, keys in order.items():
+        z.table(f"{name}.txt", tables[name], keys)
+    z.close()
+
+
+def rewrite_archive(source: str, target: str, tables: dict[str, DataFrame], order: dict[str, list[str]]) -> None:
+    """An archive with some tables replaced (SNK03): members that are not among them are copied as they lie, in their place and with their dates.
+
+    source and target are URIs. A table's member is found by its file name in any folder, without ``.txt``; tables that the source lacks follow at the end, in order. The target
+    appears when it is whole, by a rename.
+    """
+    (fs, at), (to_fs, to) = storage.filesystem(source), storage.filesystem(target)
+    made, seen = f"{to}.{uuid.uuid4().hex}", set()
+    to_fs.create_dir(to.rpartition("/")[0], recursive=True)
+    with fs.open_input_file(at) as f, to_fs.open_output_stream(made) as out:
+        z = Archive(out)
+        with zipfile.ZipFile(f) as listing:
+            members = listing.infolist()
+        for m in members:
+            name = m.filename.rpartition("/")[2].removesuffix(".txt")
+            if m.filename.endswith(".txt") and name in order:
+                z.table(m.filename, tables[name], order[name])
+                seen.add(name)
+            else:
+                z.copy(f, m)
+        for name in order:
+            if name not in seen:
+                z.table(f"{name}.txt", tables[name], order[name])
+        z.close()
+    to_fs.move(made, to)

@@ -185,3 +185,20 @@ def export_archive(t):
     with fs.open_output_stream(at) as out:
         export.write_archive({"stop_times": rows}, {"stop_times": ["trip_id", "stop_sequence"]}, out)
     return sources.gtfs_table(spark, where, "stop_times").select("line", *(F.col("fields")[c].alias(c) for c in ("trip_id", "stop_sequence", "stop_id", "note")))
+
+
+@query("select 'trips' as kind, o_orderkey as id, o_orderstatus as value from orders where o_orderstatus = 'F' union all select 'routes', c_custkey, c_name from customer union all select 'stops', p_partkey, p_brand from part")
+def archive_rewritten(t):
+    """SNK03: an archive of orders and customers, rewritten with some of the orders and with parts; customers are copied as they lie."""
+    spark = t("orders").sparkSession
+    trips = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value"))
+    routes = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
+    where = storage.new_dir(spark, "archive")
+    fs, at = storage.filesystem(f"{where}/first.zip")
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        export.write_archive({"trips": trips, "routes": routes}, {"trips": ["id"], "routes": ["id"]}, out)
+    stops = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
+    export.rewrite_archive(f"{where}/first.zip", f"{where}/second.zip", {"trips": trips.filter("value = 'F'"), "stops": stops}, {"trips": ["id"], "stops": ["id"]})
+    read = lambda name: sources.gtfs_table(spark, f"{where}/second.zip", name).select(F.lit(name).alias("kind"), F.col("fields")["id"].cast("long").alias("id"), F.col("fields")["value"].alias("value"))
+    return read("trips").unionByName(read("routes")).unionByName(read("stops"))

@@ -73,12 +73,12 @@ class Tables:
             drop(self.spark, where)
         self.held = self.held[max(0, last) :]
 
-    def free(self) -> None:
-        """Have Spark free the files of shuffles that nothing refers to any more."""
-        for _ in range(2):  # Python's references go first, and Spark hears of them a little later
+    def free(self, wait: bool = True) -> None:
+        """Have Spark free the files of shuffles that nothing refers to any more, and give it time for it."""
+        for _ in range(1 + wait):  # Python's references go first, and Spark hears of them a little later
             gc.collect()
             self.spark._jvm.System.gc()
-            time.sleep(FREE_S)
+            time.sleep(FREE_S * wait)
 
 
 @contextmanager
@@ -95,7 +95,7 @@ def tables(spark: SparkSession, batch_rows: int = 2000) -> Iterator[Tables]:
     finally:
         spark.conf.set(key, before)
         held.drop()
-        held.free()
+        held.free(wait=False)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

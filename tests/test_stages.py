@@ -65,3 +65,26 @@ def test_approximate_places(spark):
         peers = sorted((abs((p[3] or 9999) - (rank or 9999)), p[3] or 9999, p[1], p[4], p[5]) for p in items if p[0] == c and name(p[2]) == name(n) and p[4] is not None)[:2]
         want = (lat, lon) if lat is not None else tuple(sum(p[j] for p in peers) / len(peers) for j in (3, 4)) if peers else (None, None)
         assert x.approx == (lat is None and bool(peers)) and all(a == b or abs(a - b) < 1e-12 for a, b in zip((x.lat, x.lon), want, strict=True))
+
+
+def test_rewritten_archive(spark, tmp_path):
+    import zipfile
+
+    from junctura.operators import export
+
+    rows = spark.createDataFrame([(k, f"n{k % 3}") for k in range(20)], "id int, name string")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr(zipfile.ZipInfo("feed/notes.txt", (2020, 5, 6, 7, 8, 10)), "kept " * 999, zipfile.ZIP_DEFLATED)
+        z.writestr("feed/stops.txt", "id,name\n1,x\n")
+        z.writestr("übung.bin", bytes(range(256)) * 9, zipfile.ZIP_STORED)
+    paths = [f"file://{tmp_path}/{n}.zip" for n in "abc"]
+    for target in paths[1:]:
+        export.rewrite_archive(paths[0], target, {"stops": rows.repartition(3), "trips": rows.limit(0)}, {"stops": ["id"], "trips": ["id"]})
+    assert (tmp_path / "b.zip").read_bytes() == (tmp_path / "c.zip").read_bytes() and sorted(p.name for p in tmp_path.iterdir()) == ["a.zip", "b.zip", "c.zip"]
+    with zipfile.ZipFile(tmp_path / "a.zip") as a, zipfile.ZipFile(tmp_path / "b.zip") as b:
+        assert b.testzip() is None and b.namelist() == ["feed/notes.txt", "feed/stops.txt", "übung.bin", "trips.txt"]
+        for n in ("feed/notes.txt", "übung.bin"):
+            x, y = a.getinfo(n), b.getinfo(n)
+            assert a.read(n) == b.read(n) and (x.CRC, x.compress_size, x.compress_type, x.date_time) == (y.CRC, y.compress_size, y.compress_type, y.date_time)
+        assert b.read("feed/stops.txt").decode() == "id,name\n" + "".join(f"{k},n{k % 3}\n" for k in range(20)) and b.read("trips.txt") == b"id,name\n"
+        assert b.getinfo("feed/stops.txt").date_time == (2024, 1, 1, 0, 0, 0)
