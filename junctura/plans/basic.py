@@ -48,11 +48,12 @@ def win_top3(t):
 
 @query(
     """select l_orderkey, cast(seq as bigint) as stop_sequence, l_partkey, printf('%02d:%02d:00', 6 + ((seq - 1) * 5) // 60, ((seq - 1) * 5) % 60) as arrival_time
-from (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq from lineitem where l_partkey % 17 <> 0)"""
+from (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq from lineitem where l_partkey in (select p_partkey from part where p_size > 5))"""
 )
 def win_sequence_fallback(t):
     """WIN14, FN24."""
-    rows = select.ranked(t("lineitem").filter("l_partkey % 17 <> 0"), ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")], "seq")
+    stops = t("part").filter("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    rows = select.ranked(t("lineitem").join(stops, "l_partkey", "left_semi"), ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")], "seq")
     return rows.select("l_orderkey", F.col("seq").cast("long").alias("stop_sequence"), "l_partkey", rules.time_or_fallback(F.lit(None).cast("string"), F.col("seq")).alias("arrival_time"))
 
 
@@ -76,10 +77,10 @@ def srt_weighted_order(t):
     return t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(weight, F.desc("o_totalprice"), "o_orderkey").limit(300)
 
 
-@query('select * from (select o_orderkey as trip, first, last from (select o_orderkey, o_custkey % 50 as first, o_orderkey % 40 as last, row_number() over (partition by o_custkey % 50, o_orderkey % 40 order by o_orderkey) as k from orders) where k = 1) order by trip limit 6')
+@query('select * from (select o_orderkey as trip, first, last from (select o_orderkey, o_custkey as first, o_orderpriority as last, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as k from orders) where k = 1) order by trip limit 6')
 def srt_first_distinct(t):
     """SRT10."""
-    rows = t("orders").select(F.col("o_orderkey").alias("trip"), (F.col("o_custkey") % 50).alias("first"), (F.col("o_orderkey") % 40).alias("last"))
+    rows = t("orders").select(F.col("o_orderkey").alias("trip"), F.col("o_custkey").alias("first"), F.col("o_orderpriority").alias("last"))
     return select.first_distinct(rows, ["first", "last"], [F.col("trip")], 6)
 
 

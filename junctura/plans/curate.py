@@ -75,11 +75,11 @@ def country_codes(t):
 
 
 def _merges(t):
-    return t("lineitem").select((F.col("l_orderkey") % 10).alias("cluster_key"), F.col("l_orderkey").alias("entity_id"), F.col("l_partkey").alias("member"), "l_returnflag", "l_linenumber")
+    return t("lineitem").select(F.floor(F.col("l_orderkey") / 10).cast("long").alias("cluster_key"), F.col("l_orderkey").alias("entity_id"), F.col("l_partkey").alias("member"), "l_returnflag", "l_linenumber")
 
 
 @query(
-    """with m as (select l_orderkey % 10 as cluster_key, l_orderkey as entity_id, l_partkey as member, l_returnflag as f from lineitem), gone as (select distinct cluster_key, entity_id, member from m where f = 'R'), rest as (select * from m anti join gone using (cluster_key, entity_id, member))
+    """with m as (select l_orderkey // 10 as cluster_key, l_orderkey as entity_id, l_partkey as member, l_returnflag as f from lineitem), gone as (select distinct cluster_key, entity_id, member from m where f = 'R'), rest as (select * from m anti join gone using (cluster_key, entity_id, member))
 select cluster_key, entity_id, count(*) as members, cast(sum(member) as bigint) as total from rest group by 1, 2 having count(distinct member) >= 2"""
 )
 def workspace_removals(t):

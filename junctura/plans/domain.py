@@ -248,20 +248,20 @@ def export_routes(t):
 
 
 def _stop_times(t):
-    keep = F.col("l_partkey") % 6 != 0
     clock = F.when(F.col("l_linenumber") % 2 == 0, F.format_string("%02d:%02d:00", (F.col("l_quantity") / 2).cast("int"), F.col("l_linenumber")))
     seq = F.col("l_linenumber").cast("long") * 100000000 + F.col("l_quantity").cast("long") * 100000 + F.col("l_partkey")
-    return t("lineitem").filter(keep).select(F.col("l_orderkey").alias("trip_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("stop_id"), seq.alias("stop_sequence"), clock.alias("arrival_time"), F.lit(None).cast("string").alias("departure_time"))
+    return t("lineitem").select(F.col("l_orderkey").alias("trip_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("stop_id"), seq.alias("stop_sequence"), clock.alias("arrival_time"), F.lit(None).cast("string").alias("departure_time"))
 
 
 @query(
-    """with x as (select l_orderkey as trip_id, l_partkey || '-' || l_suppkey as stop_id, cast(l_linenumber as bigint) * 100000000 + cast(l_quantity as bigint) * 100000 + l_partkey as s, case when l_linenumber % 2 = 0 then printf('%02d:%02d:00', cast(floor(l_quantity / 2) as int), l_linenumber) end as t from lineitem where l_partkey % 6 <> 0 and l_suppkey % 4 <> 0),
+    """with x as (select l_orderkey as trip_id, l_partkey || '-' || l_suppkey as stop_id, cast(l_linenumber as bigint) * 100000000 + cast(l_quantity as bigint) * 100000 + l_partkey as s, case when l_linenumber % 2 = 0 then printf('%02d:%02d:00', cast(floor(l_quantity / 2) as int), l_linenumber) end as t from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)),
 y as (select *, row_number() over (partition by trip_id order by s, stop_id) as k, count(*) over (partition by trip_id) as n from x)
 select trip_id, cast(k as bigint) as stop_sequence, stop_id, coalesce(t, printf('%02d:%02d:00', 6 + ((k - 1) * 5) // 60, ((k - 1) * 5) % 60)) as arrival_time from y where n >= 2"""
 )
 def export_stop_times(t):
     """WIN14, FN24, JON20, SRT08."""
-    stops = t("lineitem").filter("l_suppkey % 4 <> 0").select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("stop_id"))
+    known = t("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    stops = t("lineitem").join(known, "l_suppkey", "left_semi").select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("stop_id"))
     return export.trip_rows(_stop_times(t), stops).select("trip_id", "stop_sequence", "stop_id", "arrival_time")
 
 
@@ -420,12 +420,12 @@ def eval_metrics(t):
 
 
 @query(
-    """with a as (select distinct l_orderkey % 300 as c, l_partkey % 20 as x, 20 + l_suppkey % 20 as y from lineitem where l_returnflag = 'A'), b as (select distinct l_orderkey % 300 as c, l_partkey % 20 as x, 20 + l_suppkey % 20 as y from lineitem where l_returnflag = 'N')
+    """with a as (select distinct l_suppkey as c, l_partkey as x, 1000000000000 + l_linenumber as y from lineitem where l_returnflag = 'A'), b as (select distinct l_suppkey as c, l_partkey as x, 1000000000000 + l_linenumber as y from lineitem where l_returnflag = 'N')
 select c as case_id, count(*) as pairs, round(avg(case when b.x is not null and a.x is not null and (a.x + a.y) % 2 = 0 then 1.0 else 0.0 end), 4) as agreement from a full join b using (c, x, y) group by 1"""
 )
 def eval_agreement(t):
     """PIP19."""
-    rel = lambda flag: t("lineitem").filter(F.col("l_returnflag") == flag).select((F.col("l_orderkey") % 300).alias("case_id"), (F.col("l_partkey") % 20).alias("b"), (20 + F.col("l_suppkey") % 20).alias("a")).distinct()
+    rel = lambda flag: t("lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("case_id"), F.col("l_partkey").alias("b"), (F.lit(1_000_000_000_000) + F.col("l_linenumber")).alias("a")).distinct()
     truth = rel("A").withColumn("relation", F.when((F.col("a") + F.col("b")) % 2 == 0, "merge").otherwise("separate"))
     return evaluation.pairwise_agreement(truth, rel("N").withColumn("relation", F.lit("merge")))
 

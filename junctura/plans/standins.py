@@ -56,10 +56,10 @@ POINTS = """points as (select p_partkey as place_ref, p_partkey * 2 + n as point
 
 def mappings(t) -> DataFrame:
     """source_id, ref, station_id, is_active: distinct suppliers of parts."""
-    return t("lineitem").select((F.col("l_suppkey") % 10).alias("source_id"), F.col("l_partkey").alias("ref")).distinct().select("source_id", "ref", (F.col("ref") % 500).alias("station_id"), ((F.col("ref") + F.col("source_id")) % 5 != 0).alias("is_active"))
+    return t("lineitem").select((F.col("l_suppkey") % 10).alias("source_id"), F.col("l_partkey").alias("ref")).distinct().select("source_id", "ref", F.floor(F.col("ref") / 4).cast("long").alias("station_id"), ((F.col("ref") + F.col("source_id")) % 5 != 0).alias("is_active"))
 
 
-MAPPINGS = "mappings as (select source_id, ref, ref % 500 as station_id, (ref + source_id) % 5 <> 0 as is_active from (select distinct l_suppkey % 10 as source_id, l_partkey as ref from lineitem))"
+MAPPINGS = "mappings as (select source_id, ref, ref // 4 as station_id, (ref + source_id) % 5 <> 0 as is_active from (select distinct l_suppkey % 10 as source_id, l_partkey as ref from lineitem))"
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
