@@ -2,9 +2,10 @@
 
 Detected entities get keyed surrogates of their own type: a surrogate follows from a keyed hash of the entity alone, so each
 mention of an entity gets the same one in all documents (coreference). It keeps the format: digits stay digits, letters letters of
-their script and case, marks stay; cards keep a valid check digit, addresses valid octets, names the gender of a known
-first name. A check over all distinct entities finds surrogates that two entities share or that are themselves
-entities of the corpus; all but the smallest such entity are keyed again, until every surrogate is distinct.
+their script and case, marks stay; cards keep a valid check digit, addresses valid octets, names the gender that a title or a known
+first name tells. First and family names are keyed apart, so "Mr John Smith" and "Mr Smith" share a family name. A check over all
+distinct entities, on the strings that are shown, finds surrogates that two entities share, that are themselves entities of the corpus (but for
+first names, which people share anyway) or that are the entity itself; all but the smallest of those that share are keyed again, until every surrogate is distinct.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ BROADCAST_ROWS = 200_000
 
 #: First names by script and gender, as fixed values.
 NAMES = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sophie Claire Camille Elena Lucia Carmen Isabel Sarah Emily Olivia Grace Hannah Katharina Greta Ingrid".split(),
-    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Martin Lukas Felix Jonas Pierre Louis Antoine Carlos Miguel Javier Diego Andreas".split(),
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sophie Claire Camille Elena Lucia Carmen Isabel Sarah Emily Olivia Grace Hannah Katharina Greta Ingrid Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Margaret Monika Petra Sabine Nathalie Marie Ana".split(),
+    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Martin Lukas Felix Jonas Pierre Louis Antoine Carlos Miguel Javier Diego Andreas William Richard Joseph Charles Daniel Matthew Anthony Steven George Edward Hans Klaus Wolfgang Jean Luis Pedro".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Владимир Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Δέσποινα".split(),
@@ -37,6 +38,10 @@ SYLLABLES = {
     "cyrillic": "бар вел гор дан жел зар кал лен мор нов пол рос сав тар фед хар шев юр".split(),
     "greek": "βαλ γερ δημ καλ λαμ μαν νικ παπ ραλ σαβ ταλ φωτ".split(),
 }
+#: Endings of first names that are made of syllables, by script and gender, as fixed values.
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ий", ("greek", "f"): "α", ("greek", "m"): "ος"}
+#: Attempts after which the local part of an address gets longer, as its format may have too few strings.
+LONGER_AFTER = 3
 _KNOWN = {n: (script, gender) for (script, gender), names in NAMES.items() for n in names}
 #: Titles and the gender that they tell, as fixed values.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": ""}
@@ -48,7 +53,7 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"),
-    "phone": re.compile(r"(?<![\w.+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9][\x20.-])(?=0[1-9](?:[\x20.-]?[0-9]){8,9}(?![\x20.-]?[0-9]))0[1-9][0-9]{0,3}(?:[\x20.-][0-9]{2,4}){2,4})(?![\w-])"),
 }
 _NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.?\x20)?(?P<first>[{_UP}][{_LOW}]+)\x20(?P<last>[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)(?!\w)")
 _TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for t in TITLES)})\.?\x20(?P<last>[{_UP}][{_LOW}]+)(?!\w)")
@@ -99,6 +104,15 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def parts(kind: str, norm: str) -> list[tuple[str, str]]:
+    """kind and norm of what is keyed for an entity: first and family name of a person apart, all else as a whole."""
+    if kind != "name":
+        return [(kind, norm)]
+    gender, _, name = norm.partition("|")
+    first, _, family = name.rpartition(" ")
+    return [("first", f"{gender}|{first}"), ("family", family)] if first else [("family", family)]
+
+
 class Stream:
     """Numbers that follow from a key and an entity."""
 
@@ -118,13 +132,14 @@ class Stream:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The surrogate's norm."""
+    """The surrogate of one of parts(), as it is shown but for marks and blanks."""
     s = Stream(key, kind, norm, attempt)
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
         at = Stream(key, "domain", domain, 0)  # addresses of one domain stay together
-        return f"{s.like(local)}@{'.'.join([*(at.like(x) for x in labels[:-1]), labels[-1]])}"
+        more = "".join(chr(97 + s.below(26)) for _ in range(attempt - LONGER_AFTER))
+        return f"{s.like(local)}{more}@{'.'.join([*(at.like(x) for x in labels[:-1]), labels[-1]])}"
     if kind == "card":
         body = norm[0] + s.like(norm[1:-1])
         return body + next(c for c in "0123456789" if luhn(body + c))
@@ -137,18 +152,21 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         return "".join(c if k < len(norm) - 7 and k < 3 and len(norm) > 10 else s.like(c) for k, c in enumerate(norm))
     if kind == "ssn":
         return f"{100 + s.below(565):03d}-{1 + s.below(99):02d}-{1 + s.below(9999):04d}"
-    gender, _, name = norm.partition("|")
-    script = script_of(name)
-    parts = name.split(" ")
-    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + attempt)).capitalize()  # the space grows until no names collide
-    if len(parts) == 1:
-        return f"{gender}|{family}"
-    first = NAMES[script, gender or "fm"[s.below(2)]]
-    return f"{gender}|{first[s.below(len(first))]} {family}"
+    if kind == "first":
+        gender, _, name = norm.partition("|")
+        script, gender = script_of(name), gender or "fm"[s.below(2)]
+        if attempt == 0:
+            return NAMES[script, gender][s.below(len(NAMES[script, gender]))]
+        return _made(s, script, 1 + attempt).capitalize() + ENDINGS[script, gender]
+    return _made(s, script_of(norm), 3 + attempt).capitalize()  # the space grows until no names collide
+
+
+def _made(s: Stream, script: str, syllables: int) -> str:
+    return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(syllables))
 
 
 def rendered(kind: str, mention: str, norm: str) -> str:
-    """A surrogate's norm in the format of the mention that it replaces."""
+    """A surrogate in the format of the mention that it replaces."""
     if kind in ("card", "phone"):
         digits = iter(norm)
         return re.sub(r"[0-9]", lambda m: next(digits), mention)
@@ -157,15 +175,15 @@ def rendered(kind: str, mention: str, norm: str) -> str:
         return "".join(c if c == " " else next(chars) for c in mention)
     if kind == "email":
         return norm.upper() if mention.isupper() else norm
-    return norm.partition("|")[2] if kind == "name" else norm
+    return norm
 
 
 def _distinct(docs: DataFrame, text: str) -> DataFrame:
-    """kind, norm of all entities, once each."""
+    """kind, norm of the parts of all entities, once each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame(sorted({(kind, norm) for t in b["t"] if t for _, _, kind, norm in entities(t)}), columns=["kind", "norm"])
+            yield pd.DataFrame(sorted({x for t in b["t"] if t for _, _, kind, norm in entities(t) for x in parts(kind, norm)}), columns=["kind", "norm"])
 
     return docs.select(F.col(text).cast("string").alias("t")).mapInPandas(run, "kind string, norm string").distinct()
 
@@ -179,18 +197,21 @@ def _keyed(found: DataFrame, key: bytes) -> DataFrame:
 
 
 def surrogates(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 40) -> DataFrame:
-    """kind, norm, attempt, surrogate of all entities of all documents; no two of a kind share a surrogate, and none is an entity."""
-    found = storage.stored(_distinct(docs, text), "entities")
-    now = storage.stored(_keyed(found.withColumn("attempt", F.lit(0)), key), "surrogates")
-    taken = found.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(rounds):
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
-        clashing = first.join(taken, ["kind", "surrogate"], "left").filter("n > 1 or real").select("kind", "surrogate", "real", F.col("first.norm").alias("keeps"))
-        again = storage.stored(now.join(clashing, ["kind", "surrogate"]).filter("real or norm <> keeps").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "again")
-        if not again.limit(1).count():
-            return now
-        rest = now.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti")
-        now = storage.stored(rest.unionByName(_keyed(again, key)), "surrogates")
+    """kind, norm, attempt, surrogate of the parts of all entities of all documents; no two of a kind share a surrogate, and none is an entity."""
+    own = F.substring_index("norm", "|", -1)  # a first name's gender is not shown
+    with storage.tables(docs.sparkSession) as held:
+        found = held.stored(_distinct(docs, text), "entities")
+        now = held.stored(_keyed(found.withColumn("attempt", F.lit(0)), key), "surrogates")
+        taken = found.filter("kind <> 'first'").select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
+        for _ in range(rounds):
+            first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"), F.max(F.col("surrogate") == own).alias("same"))
+            clashing = first.join(taken, ["kind", "surrogate"], "left").filter("n > 1 or real or same").select("kind", "surrogate", "real", F.col("first.norm").alias("keeps"))
+            moves = F.coalesce("real", F.lit(False)) | (F.col("norm") != F.col("keeps")) | (F.col("surrogate") == own)
+            again = held.stored(now.join(clashing, ["kind", "surrogate"]).filter(moves).select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "again")
+            if not again.limit(1).count():
+                return storage.stored(now, "surrogates")
+            rest = now.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti")
+            now = held.stored(rest.unionByName(_keyed(again, key)), "surrogates")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
@@ -210,8 +231,9 @@ def replace_pii(docs: DataFrame, key: bytes = b"junctura", text: str = "text") -
         if t is None:
             return None, []
         out, at, listed = [], 0, []
+        of = lambda x: known.get(x) or surrogate(key, *x)
         for a, b, kind, norm in entities(t):
-            new = rendered(kind, t[a:b], known.get((kind, norm)) or surrogate(key, kind, norm))
+            new = rendered(kind, t[a:b], " ".join(of(x) for x in parts(kind, norm)))
             out += [t[at:a], new]
             at = b
             listed.append({"kind": kind, "start": a, "end": b, "surrogate": new})
@@ -236,7 +258,7 @@ def _joined(rows: DataFrame, text: str, name: str, later: DataFrame, replaced, s
     numbered = storage.stored(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
 
     def mentions(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "norm": n} for k, n in sorted({(k, n) for _, _, k, n in entities(t or "")})] for t in texts])
+        return pd.Series([[{"kind": k, "norm": n} for k, n in sorted({x for _, _, kind, norm in entities(t or "") for x in parts(kind, norm)})] for t in texts])
 
     listed = numbered.select(row, F.explode(F.pandas_udf(mentions, "array<struct<kind:string,norm:string>>")(F.col(text).cast("string"))).alias("x")).select(row, "x.kind", "x.norm")
     of_row = listed.join(later, ["kind", "norm"]).groupBy(row).agg(F.collect_list(F.struct("kind", "norm", "surrogate")).alias("_later"))

@@ -49,3 +49,35 @@ def test_more_names_than_the_first_space_holds(spark, monkeypatch):
     rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}x called") for i in range(60)]
     got = [r.surrogate for r in pii.surrogates(documents(spark, rows), b"k", rounds=12).collect()]
     assert len(got) == len(set(got)) == 60
+
+
+def test_names_against_brute_force(spark, monkeypatch):
+    """Mentions and surrogates are one to one on what is shown; parts are shared as in the texts; repeated rows, null ids and both ways to look up."""
+    letters = "abcdefghij"
+    family = lambda i: f"{chr(65 + i % 26)}{letters[i % 10]}{letters[i // 10 % 10]}{letters[i // 100]}x"
+    rows = [(i, f"{('Mr', 'Mrs', 'Dr')[i % 3]} {family(i)} saw Mr {family(i + 1)} and Mrs {chr(65 + i % 26)}{letters[i % 7]}z {family(i // 2)}.") for i in range(900)]
+    rows += [(900, "Mr John Smith and Mr Smith; Mrs Smith, John Smith and James Smith, John Brown"), (None, "Mary Jones, William Brown, Jennifer Lopez"), *[(901, "Mr Smith, Mr Smith")] * 3]
+    results = []
+    for bound in (200_000, -1):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", bound)
+        got = pii.replace_pii(documents(spark, rows)).collect()
+        texts = {i: t for i, t in rows}
+        pairs = {(texts[r.doc_id][s.start : s.end], s.surrogate) for r in got for s in r.pii}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})  # one to one
+        of = dict(pairs)
+        last = {a.split()[-1]: b.split()[-1] for a, b in pairs}
+        assert all(b.split()[-1] == last[a.split()[-1]] for a, b in pairs) and not set(last) & set(last.values())
+        assert of["Smith"] == of["John Smith"].split()[1] == of["James Smith"].split()[1] and of["John Smith"].split()[0] == of["John Brown"].split()[0] != of["James Smith"].split()[0]
+        assert sum(r.doc_id is None and len(r.pii) == 3 for r in got) == 1 and len({r.text for r in got if r.doc_id == 901}) == 1
+        results.append(sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got))
+    assert results[0] == results[1]
+
+
+def test_formats_with_few_strings(spark):
+    rows = [(i, f"{chr(97 + i)}@mail.example") for i in range(26)]
+    got = [r.pii[0].surrogate for r in pii.replace_pii(documents(spark, rows)).collect()]
+    assert len(set(got)) == 26 and not set(got) & {t for _, t in rows}
+
+
+def test_numbers_of_other_countries():
+    assert [x[2:] for t in ("call 020 7946 0958 now", "06 12 34 56 78.", "on 01 02 2020", "0 12 34 56", "01-02-03-04-05-06-07-08") for x in pii.entities(t)] == [("phone", "02079460958"), ("phone", "0612345678")]
