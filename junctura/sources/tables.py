@@ -44,19 +44,6 @@ def gazetteer(spark: SparkSession, path: str, countries: list[str]) -> DataFrame
     return df.filter(F.col("country_code").isin(*countries) & (F.col("feature_code").isin(*STATION_CODES) | ((F.col("feature_class") == "S") & F.col("feature_code").contains("STN"))))
 
 
-def places(df: DataFrame, categories: list[str], country: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Places of a nested Parquet table by category, country and box (SRC16)."""
-    lat, lon = (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2, (F.col("bbox.xmin") + F.col("bbox.xmax")) / 2
-    there = F.exists("addresses", lambda a: F.upper(a["country"]) == country.upper())
-    kept = df.filter(F.col("categories.primary").isin(*categories) & F.coalesce(there, F.lit(False))).select(F.col("id").alias("external_id"), F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), lat.alias("lat"), lon.alias("lon"))
-    return kept.filter(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
-
-
-def boxes_meet(a: tuple[Column, Column, Column, Column], b: tuple[float, float, float, float]) -> Column:
-    """Whether boxes (west, south, east, north) share a point (SRC18)."""
-    return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
-
-
 def point_bindings(df: DataFrame) -> DataFrame:
     """seq, entity, label, point, subtype with texts of the form Point(lon lat): one row per entity, the first non-empty subtype (SRC19)."""
     number = lambda k: F.regexp_extract("point", r"Point\((-?[0-9.eE+-]+) (-?[0-9.eE+-]+)\)", k).try_cast("double")
