@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from junctura.plans import archives, basic, curate, domain, rules  # noqa: F401
+from junctura.plans import archives, basic, curate, domain, overlay, rules  # noqa: F401
 from junctura.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
