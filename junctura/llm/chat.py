@@ -24,7 +24,7 @@ from . import tokens as tokenized
 BEFORE = {"user": "<s>[INST] ", "assistant": "[ASSISTANT] ", "system": "<<SYS>> "}
 AFTER = {"user": " [/INST]", "assistant": " </s>", "system": " <</SYS>>"}
 BUDGET, HISTORY = 2048, 384
-#: Budgets of tokens that one task fills in turn; a conversation longer than that is cut there, at whole turns.
+#: Budgets of tokens in a block of a long conversation, two at least; windows do not depend on it.
 RUN = 32
 _TURN = re.compile(r"(?s)<s>\[INST\] (?P<user>[^<\[]*) \[/INST\]|\[ASSISTANT\] (?P<assistant>[^<\[]*) </s>|<<SYS>> (?P<system>[^<\[]*) <</SYS>>|\[ROLE (?P<name>[^<\[\]]*)\] (?P<other>[^<\[]*) \[/ROLE\]")
 _BACK = {"\\": "\\", "(": "<", "{": "[", "}": "]"}
@@ -60,7 +60,7 @@ def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def _counted(turns: DataFrame, budget: int, tokenizer: str) -> DataFrame:
-    """c, place (from 0), role, text, tokens, run: turns with their place in the conversation and the run of RUN budgets that their first token is in.
+    """c, place (from 0), role, text, tokens, run, early: turns with their place in the conversation, the run of RUN budgets that their first token is in, and whether it is in its first budget.
 
     Rows are range-dealt by conversation and turn; sums run inside a part of a conversation, and a part's base is the sum
     of the parts before it, one row each. So a conversation of any length is spread over tasks.
@@ -82,59 +82,123 @@ def _counted(turns: DataFrame, budget: int, tokenizer: str) -> DataFrame:
     here = Window.partitionBy("c", "part").orderBy(*order)
     before = F.coalesce(F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("base_t")
     joined = dealt.join(base, F.col("c").eqNullSafe(F.col("base_c")) & (F.col("part") == F.col("base_part")))
-    return joined.select("c", "role", "text", "tokens", (F.row_number().over(here) - 1 + F.col("base_n")).alias("place"), F.floor(before / (RUN * budget)).alias("run"))
+    return joined.select("c", "role", "text", "tokens", (F.row_number().over(here) - 1 + F.col("base_n")).alias("place"), F.floor(before / (RUN * budget)).alias("run"), (before % (RUN * budget) < budget).alias("early"))
 
 
-def spans(tokens: list[int], earlier: list[int], head: int, budget: int, history: int, after: int = -1) -> list[tuple[int, int, int]]:
+def _step(every: list[int], a: int, head: int, budget: int, history: int) -> tuple[int, int]:
+    """First repeated turn and end of the window whose first new turn is a: history takes what its limit and that turn leave, new turns what is left then."""
+    room = budget - head - every[a]
+    back, left = a, min(history, room)
+    while back > 0 and every[back - 1] <= left:
+        back -= 1
+        left -= every[back]
+        room -= every[back]
+    b = a + 1
+    while b < len(every) and every[b] <= room:
+        room -= every[b]
+        b += 1
+    return back, b
+
+
+def spans(tokens: list[int], earlier: list[int], head: int, budget: int, history: int, after: int = -1, ahead: list[int] = (), start: int = 0) -> list[tuple[int, int, int]]:
     """First and end of the new turns of each window, and the number of turns repeated in front of them.
 
-    tokens: of the turns to place; earlier: of those before them; head: of the system turn, which stands in front of windows that begin after turn ``after``. A window takes new turns until the
-    next one has no room; history takes what its limit and the window's first new turn leave.
+    tokens: of the turns of a block; earlier, ahead: of those before and behind it; head: of the system turn, which stands in front of windows that begin after turn ``after``; start: the
+    block's first turn that is new in it. The last window may end among those ahead.
     """
-    every = [*earlier, *tokens]
-    out, a, end = [], len(earlier), len(every)
-    while a < end:
-        room = budget - head * (a - len(earlier) > after) - every[a]
-        back, left = a, min(history, room)
-        while back > 0 and every[back - 1] <= left:
-            back -= 1
-            left -= every[back]
-            room -= every[back]
-        b = a + 1
-        while b < end and every[b] <= room:
-            room -= every[b]
-            b += 1
-        out.append((a - len(earlier), b - len(earlier), a - back))
+    every, n = [*earlier, *tokens, *ahead], len(earlier)
+    out, a = [], n + start
+    while a < n + len(tokens):
+        back, b = _step(every, a, head * (a - n > after), budget, history)
+        out.append((a - n, b - n, a - back))
         a = b
     return out
 
 
+def exits(tokens: list[int], earlier: list[int], head: int, budget: int, history: int, after: int, ahead: list[int], starts: list[int]) -> list[int]:
+    """For each turn that a block could start with, the first new turn behind the block."""
+    every, n, known = [*earlier, *tokens, *ahead], len(earlier), {}
+    for start in starts:
+        a, path = n + start, []
+        while a < n + len(tokens) and a not in known:
+            path.append(a)
+            a = _step(every, a, head * (a - n > after), budget, history)[1]
+        known |= dict.fromkeys(path, known.get(a, a))
+    return [known[n + x] - n for x in starts]
+
+
+def _entries(blocks: DataFrame, starts: DataFrame, budget: int, history: int) -> DataFrame | None:
+    """c, run, entry: the place at which each block's first window begins; None if no conversation has two blocks.
+
+    A block is a function from the turns it may begin with to the turn that the next one begins with. Following these from turn 0 takes as
+    many joins as the number of blocks has bits: steps double, and so do the blocks that are reached.
+    """
+    ends = blocks.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("c").alias("many"))
+    if not ends.limit(1).count():
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for conv, number, first, new, earlier, ahead, head, system, begin in zip(b["c"].astype(object), b["run"], b["first"], b["new"], b["earlier"], b["ahead"], b["head"], b["system"], b["begin"]):
+                begin = sorted(begin)
+                found = exits(list(new), list(earlier), int(head), budget, history, int(system - first), list(ahead), [x - first for x in begin])
+                out += [(None if pd.isna(conv) else int(conv), number, x, first + z) for x, z in zip(begin, found)]
+            yield pd.DataFrame(out, columns=["c", "run", "a", "z"]).astype({"c": "Int64"})
+
+    tokens = lambda c: F.coalesce(F.transform(c, lambda x: x["tokens"]), F.array().cast("array<long>"))
+    none = F.array().cast("array<long>")
+    known = starts.select(F.col("c").alias("start_c"), F.col("run").alias("start_run"), F.transform("ahead", lambda x: x["place"]).alias("begin"))
+    rows = blocks.join(ends, F.col("c").eqNullSafe(F.col("many"))).join(known, F.col("c").eqNullSafe(F.col("start_c")) & (F.col("run") == F.col("start_run")), "left")
+    rows = rows.select("c", "run", "first", tokens("turns").alias("new"), tokens("history").alias("earlier"), tokens("ahead").alias("ahead"), F.coalesce("system.tokens", F.lit(0)).alias("head"), F.coalesce("system.place", F.lit(-1)).alias("system"), F.array_union(F.coalesce("begin", none), F.array("first")).alias("begin"))
+    edges = storage.stored(rows.mapInPandas(run, "c long, run long, a long, z long"), "exits")
+    jump, reached = edges.select("c", "a", "z"), edges.filter("a = 0").select("c", "a")
+    pair = F.col("c").eqNullSafe(F.col("of"))
+    while True:
+        new = storage.stored(reached.join(jump.withColumnRenamed("c", "of").withColumnRenamed("a", "at"), pair & (F.col("a") == F.col("at"))).select("c", F.col("z").alias("a")), "reached")
+        if not new.limit(1).count():
+            break
+        reached = reached.unionByName(new)
+        further = jump.select(F.col("c").alias("of"), F.col("a").alias("at"), F.col("z").alias("to"))
+        jump = storage.stored(jump.join(further, pair & (F.col("z") == F.col("at"))).select("c", "a", F.col("to").alias("z")), "jumps")
+    at = reached.select(F.col("c").alias("of"), F.col("a").alias("at"))
+    return edges.join(at, pair & (F.col("a") == F.col("at"))).select(F.col("c").alias("entry_c"), F.col("run").alias("entry_run"), F.col("a").alias("entry"))
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
     """Format conversations (conv_id, turn, role, text; other columns are ignored) into windows.
 
     Turns are taken in (turn, role, text) order. Columns: conv_id, first (place of the first new turn), n_repeated (turns in front of the
     new ones: the first system turn and what is repeated before), n_tokens (sum of the turns' counts), text, loss (array of start and end in
     code points, the escaped texts of new assistant turns). A window keeps to ``budget`` tokens and its history to ``history``, unless the system turn and
-    one new turn are longer than that by themselves; such a turn stands alone behind the system turn. After each RUN budgets of a long conversation a window ends early. Null texts and
+    one new turn are longer than that by themselves; such a turn stands alone behind the system turn. Windows of a conversation of any length are those that one pass from its first turn would make. Null texts and
     roles count as empty, null conv_ids as one conversation; rows that repeat are turns of their own; an empty table gives none.
     """
     placed = storage.stored(_counted(turns, budget, tokenizer or tokenized.default_tokenizer()), "places")
     fields = F.struct("place", "role", "text", "tokens")
-    runs = placed.groupBy("c", "run").agg(F.sort_array(F.collect_list(fields)).alias("turns")).select("c", "turns", F.get("turns", F.lit(0))["place"].alias("first"), F.element_at("turns", -1)["place"].alias("last"))
+    runs = placed.groupBy("c", "run").agg(F.sort_array(F.collect_list(fields)).alias("turns")).select("c", "run", "turns", F.get("turns", F.lit(0))["place"].alias("first"), F.element_at("turns", -1)["place"].alias("last"))
     runs = storage.stored(runs, "runs")
-    # of the run before, the last turns that history has room for: each has a token at least
+    # of the run before, the last turns that history has room for: each has a token at least; of the run behind, what starts within a budget, so that a window of this one may hold it
     before = runs.select(F.col("c").alias("before_c"), (F.col("last") + 1).alias("next"), F.slice("turns", F.greatest(F.size("turns") - (history - 1), F.lit(1)), history).alias("history"))
+    starts = placed.filter("early").groupBy("c", "run").agg(F.sort_array(F.collect_list(fields)).alias("ahead"))
+    behind = starts.filter("run > 0").select(F.col("c").alias("behind_c"), F.get("ahead", F.lit(0))["place"].alias("begins"), "ahead")
     system = placed.filter("role = 'system'").groupBy("c").agg(F.min(F.struct("place", "text", "tokens")).alias("system")).withColumnRenamed("c", "system_c")
-    joined = runs.join(before, F.col("c").eqNullSafe(F.col("before_c")) & (F.col("first") == F.col("next")), "left").join(system, F.col("c").eqNullSafe(F.col("system_c")), "left")
+    joined = runs.join(before, F.col("c").eqNullSafe(F.col("before_c")) & (F.col("first") == F.col("next")), "left")
+    joined = joined.join(behind, F.col("c").eqNullSafe(F.col("behind_c")) & (F.col("last") + 1 == F.col("begins")), "left").join(system, F.col("c").eqNullSafe(F.col("system_c")), "left")
+    entries = _entries(joined, starts, budget, history)
+    if entries is None:
+        joined = joined.withColumn("entry", F.col("first"))
+    else:
+        joined = joined.join(entries, F.col("c").eqNullSafe(F.col("entry_c")) & (F.col("run") == F.col("entry_run")), "left").withColumn("entry", F.when(F.col("first") == 0, F.lit(0).cast("long")).otherwise(F.col("entry"))).filter("entry is not null")  # the turns of a last block may all be in a window that begins before it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for conv, new, earlier, system in zip(b["c"].astype(object), b["turns"], b["history"], b["system"]):
-                earlier, new = [] if earlier is None else list(earlier), list(new)
-                every = [*earlier, *new]
+            for conv, new, earlier, ahead, system, entry in zip(b["c"].astype(object), b["turns"], b["history"], b["ahead"], b["system"], b["entry"]):
+                earlier, new, ahead = [] if earlier is None else list(earlier), list(new), [] if ahead is None else list(ahead)
+                every = [*earlier, *new, *ahead]
                 head, after = (0, 0) if system is None else (system["tokens"], system["place"] - new[0]["place"])
-                for a, e, back in spans([t["tokens"] for t in new], [t["tokens"] for t in earlier], head, budget, history, after):
+                for a, e, back in spans([t["tokens"] for t in new], [t["tokens"] for t in earlier], head, budget, history, after, [t["tokens"] for t in ahead], int(entry) - new[0]["place"]):
                     taken = every[len(earlier) + a - back : len(earlier) + e]
                     first = new[a]["place"]
                     top = [] if system is None or system["place"] >= first or any(t["place"] == system["place"] for t in taken) else [dict(system) | {"role": "system"}]
@@ -148,7 +212,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
                     out.append((None if pd.isna(conv) else int(conv), first, len(top) + back, sum(t["tokens"] for t in [*top, *taken]), "".join(parts), loss))
             yield pd.DataFrame(out, columns=["conv_id", "first", "n_repeated", "n_tokens", "text", "loss"]).astype({"conv_id": "Int64"})
 
-    return joined.select("c", "turns", "history", "system").mapInPandas(run, "conv_id long, first long, n_repeated int, n_tokens long, text string, loss array<struct<start:int,end:int>>")
+    return joined.select("c", "turns", "history", "ahead", "system", "entry").mapInPandas(run, "conv_id long, first long, n_repeated int, n_tokens long, text string, loss array<struct<start:int,end:int>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

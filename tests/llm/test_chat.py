@@ -93,3 +93,24 @@ def test_spans_against_all_choices():
 def test_escape():
     for t in SAID:
         assert chat.unescape(chat.escape(t or "")) == (t or "") and "<" not in chat.escape(t or "")
+
+
+def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
+    """Against one greedy pass over each whole conversation: short turns, turns longer than a budget and than a block, a late system turn."""
+    rng = random.Random(11)
+    given = []
+    for c, sizes in enumerate([[3] * 300, [rng.choice((0, 1, 5, 20, 90)) for _ in range(200)], [rng.choice((1, 4, 130, 500)) for _ in range(80)], [2], [rng.randrange(30) for _ in range(150)]]):
+        given += [(c if c < 4 else None, t, "system" if c == 1 and t == 40 else ("user", "assistant")[t % 2], "ab " * n) for t, n in enumerate(sizes)]
+    encoder, counts = tokens.encoder(tokens.default_tokenizer()), {}
+    for c, _, role, text in given:
+        counts.setdefault(c, []).append(len(encoder._library(chat.turn(role, text)[0])))
+    results = []
+    for run in (2, 3, 1000):
+        monkeypatch.setattr(chat, "RUN", run)
+        found = chat.windows(conversations(spark, given), 100, 20).collect()
+        results.append(sorted((r.conv_id is None, r.conv_id or 0, r.first, r.n_repeated, r.n_tokens, r.text) for r in found))
+        for c, n in counts.items():
+            head, after = (n[40], 40) if c == 1 else (0, -1)
+            assert sorted(r.first for r in found if r.conv_id == c) == [a for a, _, _ in chat.spans(n, [], head, 100, 20, after)]
+    assert results[0] == results[1] == results[2]
+    assert {r.conv_id: r.n_turns for r in chat.digests(chat.windows(conversations(spark, given), 100, 20)).collect()} == {c: len(n) for c, n in counts.items()}
