@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import storage
 
+#: Edges of a task's part; tables of more edges are dealt over more parts, so a task's memory does not grow with them.
+PART_ROWS = 200_000
+
 
 def _least(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.groupBy(a).agg(F.min(b).alias("least"))
@@ -23,9 +26,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Edges from a node to itself, doubled and null edges change nothing; an empty table gives an empty one.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     rounds = storage.Tables(edges.sparkSession)
-    e = rounds.stored(e, "edges")
+    e = rounds.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "edges")
+    with storage.parts(edges.sparkSession, e.count() // PART_ROWS):
+        return _settled(e, rounds, most_rounds)
+
+
+def _settled(e: DataFrame, rounds: storage.Tables, most_rounds: int) -> DataFrame:
+    e = rounds.stored(e.distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         # large star: each node's larger neighbours go to its least neighbour (or itself)
@@ -43,7 +51,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = rounds.stored(found, "components")
+    rounds.drop(all_but=1)
+    return found
 
 
 def closure(start: DataFrame, parents: DataFrame, most_rounds: int = 60) -> DataFrame:

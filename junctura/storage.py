@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Seconds for which free() waits, twice.
 FREE_S = 0.4
+#: Bytes of a shuffle that parts() puts into one task.
+PART_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,6 +109,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def parts(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles that run meanwhile have at least n parts, and parts that are put together stay below PART_BYTES: sorted in memory, rows of numbers take about a hundred times as much as in a shuffle's files."""
+    conf = {"spark.sql.shuffle.partitions": str(max(n, shuffle_partitions(spark))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PART_BYTES)}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def free_name(name: str, df: DataFrame) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"

@@ -27,3 +27,15 @@ def test_spots_and_cells_against_all_pairs(spark, tmp_path):
     assert {r.id: r.cluster for r in found.collect()} == {k: find(k) for k in root}
     # a file's size says little of a table's: no side is brought to the driver
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_grow_with_edges(spark, monkeypatch):
+    """Many edges are dealt over more parts in every round, and the session is left as it was."""
+    key, seen = "spark.sql.shuffle.partitions", []
+    stored = graph.storage.Tables.stored
+    monkeypatch.setattr(graph.storage.Tables, "stored", lambda self, df, name: seen.append(spark.conf.get(key)) or stored(self, df, name))
+    monkeypatch.setattr(graph, "PART_ROWS", 10, raising=False)
+    before = spark.conf.get(key)
+    chain = spark.range(90).selectExpr("id as a", "id + 1 as b")
+    assert {(r.node, r.component) for r in graph.components(chain).collect()} == {(k, 0) for k in range(91)}
+    assert set(seen[1:]) == {"9"} and spark.conf.get(key) == before
