@@ -119,7 +119,7 @@ def fil_json(t):
     return t("events").filter(k.isNotNull()).select("event_id", k.cast("long").alias("k"), F.col("event_type").eqNullSafe(F.lit("click")).alias("clicked"))
 
 
-@query("select c_custkey, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'other') as segment, printf('%.6f', round(c_acctbal / 7, 6)) as rounded from customer")
+@query("select c_custkey, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'other') as segment, printf('%.6f', round(c_acctbal / 7, 6) + 0.0) as rounded from customer")
 def fil_coalesce_round(t):
     """FIL16, FIL17."""
     return t("customer").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("MACHINERY")), F.lit("other")).alias("segment"), F.format_string("%.6f", F.round(F.col("c_acctbal") / 7, 6)).alias("rounded"))

@@ -51,5 +51,14 @@ def test_components_of_orders_and_parts(spark, duck):
     assert {(r.id, r.component) for r in QUERIES["graph_components"](spark, DATA).collect()} == {(x, root(x)) for x in parent}
 
 
+def test_rounded_zero_has_no_sign(spark, tmp_path):
+    """A balance of -0.0, as rounding leaves it, is zero as text on both sides."""
+    con = duckdb.connect()
+    con.execute("create table customer as select k as c_custkey, 'MACHINERY' as c_mktsegment, v::double as c_acctbal from (values (1, '-0.0'), (2, '0.0'), (3, '-0.01'), (4, '12.5')) t(k, v)")
+    con.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    got = {r.c_custkey: r.rounded for r in QUERIES["fil_coalesce_round"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[2] for r in con.execute(SQL["fil_coalesce_round"]).fetchall()} and got[1] == got[2] == "0.000000"
+
+
 def test_queries_without_sql_are_few():
     assert set(QUERIES) - set(SQL) == {"fn_sequence_ratio", "graph_components"}
