@@ -160,8 +160,8 @@ def netex_patterns(t):
         _xml('<ServiceJourney id="T{k}"><LineRef ref="L{l}"/><TransportMode>bus</TransportMode><calls>{s}</calls></ServiceJourney>', k=k, l=line, s=F.col("stops"))
     )
     xml = rows.select(F.floor(k / 5000).alias("block"), F.concat(F.lit("x_line_"), k % 3, F.lit(".xml")).alias("entry"), "k", F.concat("told", pattern, lines).alias("xml"))
-    # read once: patterns and assignments are of the same elements, routes and neighbours of the same steps
-    found = storage.stored(netex.elements(rows.sparkSession, _written(xml), netex.PATTERNS, "network"), "netex-elements")
+    # routes and neighbours are of the same steps
+    found = netex.elements(rows.sparkSession, _written(xml), netex.PATTERNS, "network")
     steps = storage.stored(netex.pattern_steps(found, network.deduplicated_patterns(netex.patterns(found))), "netex-steps")
     routes = network.pattern_routes(steps).select(_block().alias("block"), F.lit("route").alias("kind"), F.col("place").alias("a"), F.col("label").alias("b"), F.col("mode").alias("c"), "hits")
     pairs = network.pattern_adjacency(steps).select(_block().alias("block"), F.lit("next").alias("kind"), F.col("from_place").alias("a"), F.col("to_place").alias("b"), F.lit(None).cast("string").alias("c"), "hits")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .. import storage
 from ..functions import geo
 from . import netex_entries
 
@@ -23,8 +24,11 @@ ENTRY = ("file", "entry_index")
 
 
 def elements(spark: SparkSession, folder: str, kinds: tuple[str, ...], use: str = "stops") -> DataFrame:
-    """file, entry, entry_index, event, kind, ancestor, doc for each element of the kinds in the archives of a folder."""
-    return netex_entries.read(spark, netex_entries.archives(folder), use, kinds)
+    """file, entry, entry_index, event, kind, ancestor, doc for each element of the kinds in the archives of a folder.
+
+    Archives are read once, here: what is made of the elements asks for them several times.
+    """
+    return storage.stored(netex_entries.read(spark, netex_entries.archives(folder), use, kinds), "netex-elements")
 
 
 def _parsed(found: DataFrame, *kinds: str) -> DataFrame:

@@ -97,3 +97,11 @@ def test_patterns(spark, tmp_path):
     steps = netex.pattern_steps(found, kept)
     assert sorted((r.place, r.label, r.hits) for r in network.pattern_routes(steps).collect()) == [("Q", "p1", 1), ("synthetic:a", "S", 1), ("synthetic:c", "p1", 1), ("synthetic:d", "S", 1), ("synthetic:x", "s", 1), ("synthetic:y", "s", 1)]
     assert sorted((r.from_place, r.to_place) for r in network.pattern_adjacency(steps).collect()) == [("Q", "synthetic:c"), ("synthetic:a", "synthetic:d"), ("synthetic:x", "synthetic:y")]
+
+
+def test_archives_are_read_once(spark, tmp_path):
+    """What is made of the elements does not open the archives again."""
+    line = '<Line id="L1"><Name>Long</Name></Line><ServiceJourneyPattern id="P"><RouteView><LineRef ref="L1"/></RouteView></ServiceJourneyPattern><ServiceJourney id="J"><ServiceJourneyPatternRef ref="P"/></ServiceJourney>'
+    found = netex.elements(spark, archive(tmp_path, line=line), netex.JOURNEYS, "timetable")
+    (tmp_path / "a.zip").unlink()
+    assert [(r.trip_id, r.route_id, r.route_long_name) for r in netex.trips(found).collect()] == [("J", "L1", "Long")]
