@@ -9,7 +9,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import storage
@@ -69,18 +69,33 @@ def csv_table(spark: SparkSession, path: str, required: tuple[str, ...]) -> Data
     return df
 
 
+def _batches(path: str, head: list[str], rows: Iterator[list[str]], n: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """archive, line, fields of rows under a header. Columns without a name, and values that a row lacks or has no column for, are left out; of columns of one name the last counts."""
+    at, places = 0, {c: k for k, c in enumerate(head) if c}  # the last of each name, where the first stands
+    alike = list(places.values()) == list(range(len(head)))
+    while some := list(itertools.islice(rows, n)):
+        if alike and all(len(r) == len(head) for r in some):
+            offsets, keys, values = range(0, len(some) * len(head) + 1, len(head)), head * len(some), list(itertools.chain.from_iterable(some))
+        else:
+            told = [{c: r[k] for c, k in places.items() if k < len(r)} for r in some]
+            offsets = list(itertools.accumulate(map(len, told), initial=0))
+            keys, values = [c for r in told for c in r], [v for r in told for v in r.values()]
+        fields = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), fields], names=["archive", "line", "fields"])
+        at += len(some)
+
+
 def gtfs_table(spark: SparkSession, archives: str, table: str) -> DataFrame:
     """archive, line number and fields (map) of one table of GTFS archives (SRC24). Spark lists the archives; each is opened in place by a task and its rows stream out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path in (p for b in batches for p in b["path"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
             fs, at = storage.filesystem(path)
             with fs.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                 if f"{table}.txt" not in z.namelist():
                     continue
                 with z.open(f"{table}.txt") as raw:
-                    rows = enumerate(csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline="")))
-                    while some := [(path, k, {c: v for c, v in r.items() if c and v is not None}) for k, r in itertools.islice(rows, 5000)]:
-                        yield pd.DataFrame(some, columns=["archive", "line", "fields"])
+                    rows = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                    yield from _batches(path, next(rows, []), filter(None, rows))
 
-    return spark.read.format("binaryFile").load(archives).select("path").mapInPandas(run, "archive string, line long, fields map<string,string>")
+    return spark.read.format("binaryFile").load(archives).select("path").mapInArrow(run, "archive string, line long, fields map<string,string>")

@@ -113,3 +113,17 @@ def test_tables(spark, tmp_path):
     assert tables.newest_version(links, "202402010000").first().url == "a_202401021200.zip"
     p = spark.createDataFrame([(1, "Q1", "A", "Point(8.5 47.1)", ""), (2, "Q1", "A", "Point(8.5 47.1)", "halt")], "seq int, entity string, label string, point string, subtype string")
     assert tuple(tables.point_bindings(p).first()) == ("Q1", "A", 47.1, 8.5, "halt")
+
+
+def test_rows_of_archives_without_dicts():
+    """Rows become columns in blocks: blank names, doubled names, short and long rows as DictReader has them."""
+    import csv
+    import io
+
+    from junctura.sources import tables
+
+    for text in ("a,b\n1,2\n\n3,4\n", 'a,,b\n1,x,"2\n2"\n3\n4,5,6,7\n', "a,b,a\n1,2,3\n4,5\n", "\na,b\n1,2\n", ""):
+        want = [(k, {c: v for c, v in r.items() if c and v is not None}) for k, r in enumerate(csv.DictReader(io.StringIO(text, newline="")))]
+        rows = csv.reader(io.StringIO(text, newline=""))
+        got = [r for b in tables._batches("p", next(rows, []), filter(None, rows), 2) for r in b.to_pylist()]
+        assert [(r["line"], dict(r["fields"])) for r in got] == want and all(r["archive"] == "p" for r in got)
