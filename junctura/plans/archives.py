@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import storage
 from ..operators import network
+from ..operators.graph import PART_ROWS
 from ..sources import netex
 from .registry import query
 
@@ -49,6 +50,12 @@ def _numbered(t) -> DataFrame:
     return t("lineitem").withColumn("n", F.row_number().over(w))
 
 
+def _parts(t):
+    """Shuffles that run meanwhile are dealt by the number of lines, so a task's memory does not grow with it."""
+    lines = t("lineitem")
+    return storage.parts(lines.sparkSession, lines.count() // PART_ROWS)
+
+
 def _or_none(c: F.Column) -> F.Column:
     return F.coalesce(c, F.lit(""))
 
@@ -119,7 +126,8 @@ case o_orderstatus when 'F' then 'F' when 'O' then 'Omega' else 'LP' end as rout
 case o_orderstatus when 'F' then 'rail' end as transport_mode, case when o_orderkey % 2 = 0 then 'P' || o_orderkey end as pattern_ref from orders where o_orderkey in (select l_orderkey from lineitem)""")
 def netex_trips(t):
     """SRC08: orders as journeys; service from day types or conditions, names from lines."""
-    return netex.trips(_journeys(t)).withColumn("file", _block()).withColumnRenamed("file", "block")
+    with _parts(t):
+        return storage.stored(netex.trips(_journeys(t)).withColumn("file", _block()).withColumnRenamed("file", "block"), "netex-trips")
 
 
 @query("""with k as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax, l_linestatus) as n from lineitem),
@@ -127,7 +135,8 @@ l as (select l_orderkey as o, n, l_suppkey as s, case when l_tax > 0.02 then pri
 select o // 5000 as block, 'J' || o as trip_id, 'S' || s as stop_ref, row_number() over (partition by o order by case when o % 2 = 0 then -n else n end) as stop_sequence, coalesce(a, d) as arrival_time, coalesce(d, a) as departure_time from l where coalesce(a, d) is not null""")
 def netex_stop_times(t):
     """SRC07: lines of orders as passing times, whose order the pattern has, and as calls; those without any time drop out before they are numbered."""
-    return netex.stop_times(_journeys(t)).withColumn("file", _block()).withColumnRenamed("file", "block")
+    with _parts(t):
+        return storage.stored(netex.stop_times(_journeys(t)).withColumn("file", _block()).withColumnRenamed("file", "block"), "netex-stop-times")
 
 
 PATTERNS_SQL = """
@@ -160,9 +169,10 @@ def netex_patterns(t):
         _xml('<ServiceJourney id="T{k}"><LineRef ref="L{l}"/><TransportMode>bus</TransportMode><calls>{s}</calls></ServiceJourney>', k=k, l=line, s=F.col("stops"))
     )
     xml = rows.select(F.floor(k / 5000).alias("block"), F.concat(F.lit("x_line_"), k % 3, F.lit(".xml")).alias("entry"), "k", F.concat("told", pattern, lines).alias("xml"))
-    # routes and neighbours are of the same steps
-    found = netex.elements(rows.sparkSession, _written(xml), netex.PATTERNS, "network")
-    steps = storage.stored(netex.pattern_steps(found, network.deduplicated_patterns(netex.patterns(found))), "netex-steps")
-    routes = network.pattern_routes(steps).select(_block().alias("block"), F.lit("route").alias("kind"), F.col("place").alias("a"), F.col("label").alias("b"), F.col("mode").alias("c"), "hits")
-    pairs = network.pattern_adjacency(steps).select(_block().alias("block"), F.lit("next").alias("kind"), F.col("from_place").alias("a"), F.col("to_place").alias("b"), F.lit(None).cast("string").alias("c"), "hits")
-    return routes.unionByName(pairs)
+    with _parts(t):
+        # routes and neighbours are of the same steps
+        found = netex.elements(rows.sparkSession, _written(xml), netex.PATTERNS, "network")
+        steps = storage.stored(netex.pattern_steps(found, network.deduplicated_patterns(netex.patterns(found))), "netex-steps")
+        routes = network.pattern_routes(steps).select(_block().alias("block"), F.lit("route").alias("kind"), F.col("place").alias("a"), F.col("label").alias("b"), F.col("mode").alias("c"), "hits")
+        pairs = network.pattern_adjacency(steps).select(_block().alias("block"), F.lit("next").alias("kind"), F.col("from_place").alias("a"), F.col("to_place").alias("b"), F.lit(None).cast("string").alias("c"), "hits")
+        return storage.stored(routes.unionByName(pairs), "netex-patterns")

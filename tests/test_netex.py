@@ -105,3 +105,14 @@ def test_archives_are_read_once(spark, tmp_path):
     found = netex.elements(spark, archive(tmp_path, line=line), netex.JOURNEYS, "timetable")
     (tmp_path / "a.zip").unlink()
     assert [(r.trip_id, r.route_id, r.route_long_name) for r in netex.trips(found).collect()] == [("J", "L1", "Long")]
+
+
+def test_parts_follow_lines(spark, tmp_path, monkeypatch):
+    """Shuffles of the timetable queries have parts by the number of lines."""
+    from junctura.plans import archives
+
+    spark.range(20).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(archives, "PART_ROWS", 2)
+    with archives._parts(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
