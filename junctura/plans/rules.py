@@ -56,7 +56,8 @@ def workspace_violations(t):
     nodes = open_.filter("l_quantity > 5").select(key, g.alias("entity_id"), n(F.col("l_linenumber")).alias("node_id"), part.alias("source_ref"))
     times = open_.select(key, g.alias("entity_id"), n(F.col("l_linenumber")).alias("from_node"), n(F.col("l_linenumber") + 1 + F.col("l_suppkey") % 2).alias("to_node"), F.when(F.col("l_quantity") > 48, -1).otherwise(F.col("l_quantity").cast("int")).alias("seconds"))
     apart = t("orders").select(key, F.col("o_orderpriority").alias("set_id"), F.concat(F.lit("raw:"), o).alias("member_ref"))
-    return validation.violations(merges, groups, nodes, times, apart)
+    # each of the rules asks for them anew
+    return validation.violations(*(storage.stored(x, "workspaces") for x in (merges, groups, nodes, times, apart)))
 
 
 @query("""with i as (select o_custkey as k, o_orderkey as ref, lower(trim(o_orderpriority)) as name, case when coalesce(nullif(cast(floor(o_totalprice / 5000) as bigint), 0), 0) = 0 then 9999 else cast(floor(o_totalprice / 5000) as bigint) end as rank, case when o_orderstatus = 'F' then o_totalprice end as lat, case when o_orderstatus = 'F' then o_totalprice / 2 end as lon from orders),

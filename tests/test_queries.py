@@ -62,3 +62,8 @@ def test_rounded_zero_has_no_sign(spark, tmp_path):
 
 def test_queries_without_sql_are_few():
     assert set(QUERIES) - set(SQL) == {"fn_sequence_ratio", "graph_components"}
+
+
+def test_rules_of_workspaces_read_stored_tables(spark):
+    """Orders are joined with lines once for all rules."""
+    assert not [f for f in QUERIES["workspace_violations"](spark, DATA).inputFiles() if DATA in f]
