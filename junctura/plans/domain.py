@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from .. import storage
 from ..operators import curation, decisions, evaluation, export, feed, graph, merge_queue, network, references, stations as st
 from . import standins as s
 from .registry import query
@@ -348,6 +349,7 @@ def decision_effects(t):
     at = F.round(F.col("o_totalprice") * 100).cast("long") * 10_000_000_000 + F.col("o_orderkey")
     log = steps.select(at.alias("at"), F.inline(F.array(F.struct(F.lit(0).alias("pos"), F.col("o_orderkey").alias("station_id")), F.struct(F.lit(1).alias("pos"), F.col("other").alias("station_id")))), F.when(F.col("o_orderpriority").startswith("1"), F.concat("o_orderstatus", "o_custkey")).alias("rename_to"))
     stations = t("orders").select(F.col("o_orderkey").alias("station_id"), F.col("o_orderstatus").alias("display_name"), F.lit("").alias("country"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(True).alias("is_active"))
+    log = storage.stored(decisions.members(log), "members")
     after = decisions.decided_stations(log, stations).select("station_id", "is_active", "merged_into", "display_name")
     ends = decisions.moved(stations.select("station_id", F.col("station_id").alias("ref"), "is_active"), decisions.redirects(log)).select(F.col("ref").alias("station_id"), F.col("station_id").alias("final_id"))
     return after.join(ends, "station_id")

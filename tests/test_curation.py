@@ -96,3 +96,16 @@ def test_decisions(spark, seed):
         assert (x.lat is None) == (lat is None) and (lat is None or abs(x.lat - lat) + abs(x.lon - lon) < 1e-9)
     empty = rows.limit(0)
     assert decisions.redirects(empty).count() == 0 and decisions.decided_stations(empty, table).count() == 60
+
+
+def test_decisions_share_members(spark):
+    """Members are worked out once for both functions; 20 merges that build on one another are more than one plan keeps apart."""
+    from junctura.operators import decisions
+
+    log = spark.createDataFrame([(at, p, s, None) for at in range(1, 21) for p, s in enumerate((at, at - 1))], "at long, pos int, station_id long, rename_to string")
+    table = spark.createDataFrame([(k, f"n{k}", "DE" if k == 0 else None, *((8.0, 1.0) if k == 0 else (None, None)), True) for k in range(21)], "station_id long, display_name string, country string, lat double, lon double, is_active boolean")
+    m = decisions.members(log)
+    assert decisions.members(m) is m
+    assert {x.station_id: x.final_id for x in decisions.redirects(m).collect()} == dict.fromkeys(range(20), 20)
+    got = {x.station_id: (x.country, x.lat, x.lon, x.is_active, x.merged_into) for x in decisions.decided_stations(m, table).collect()}
+    assert got == {k: ("DE", 8.0, 1.0, k == 20, k + 1 if k < 20 else None) for k in range(21)}
