@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import storage
 from ..functions import geo
 from .select import latest, top_per_group
 
@@ -23,6 +24,8 @@ ACTIONS = ("save", "undo", "reset", "reopen", "resolve", "dismiss", "dismiss_cle
 STATUSES = ("open", "in_review", "resolved", "dismissed")
 #: Events of a cluster that are summarised at once.
 LOG_BLOCK = 1024
+#: Members of merges in a task's part.
+MERGE_ROWS = 500_000
 
 
 def _after(x: Column, e: Column) -> Column:
@@ -147,9 +150,15 @@ def rail_items(entities: DataFrame, candidates: DataFrame) -> DataFrame:
 def without_member(merges: DataFrame, removed: DataFrame) -> DataFrame:
     """merges: cluster_key, entity_id, member; removed: the same columns. Members that stay, of merges that keep two (WSP06)."""
     keys = ["cluster_key", "entity_id", "member"]
-    rest = merges.join(removed.select(*keys).distinct(), keys, "left_anti")
-    large = rest.groupBy("cluster_key", "entity_id").agg(F.count_distinct("member").alias("n")).filter("n >= 2")
-    return rest.join(large, ["cluster_key", "entity_id"], "left_semi")
+    named = F.col("cluster_key").isNotNull() & F.col("entity_id").isNotNull()
+    rows = merges.filter(named).withColumn("_removal", F.lit(False)).unionByName(removed.filter(named).select(*keys, F.lit(True).alias("_removal")), allowMissingColumns=True)
+    # an entity's rows are dealt and sorted once, for both questions
+    parts = max(storage.shuffle_partitions(merges.sparkSession), merges.count() // MERGE_ROWS)
+    dealt = rows.repartition(parts, "cluster_key", "entity_id")
+    gone = F.max("_removal").over(Window.partitionBy(*keys)) & F.col("member").isNotNull()
+    rest = dealt.withColumn("_gone", gone).filter(~F.col("_gone") & ~F.col("_removal"))
+    w = Window.partitionBy("cluster_key", "entity_id")
+    return rest.withColumn("_two", F.min("member").over(w) < F.max("member").over(w)).filter("_two").select(*merges.columns)
 
 
 def edited_composites(composites: DataFrame, edits: DataFrame) -> DataFrame:

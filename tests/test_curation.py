@@ -109,3 +109,15 @@ def test_decisions_share_members(spark):
     assert {x.station_id: x.final_id for x in decisions.redirects(m).collect()} == dict.fromkeys(range(20), 20)
     got = {x.station_id: (x.country, x.lat, x.lon, x.is_active, x.merged_into) for x in decisions.decided_stations(m, table).collect()}
     assert got == {k: ("DE", 8.0, 1.0, k == 20, k + 1 if k < 20 else None) for k in range(21)}
+
+
+def test_members_are_dealt_once(spark):
+    """Removals by one deal of each entity's rows: doubled members and removals, nulls, entities that keep one."""
+    from junctura.operators import curation
+
+    kind = "cluster_key long, entity_id long, member long"
+    merges = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 1, 2), (1, 1, 3), (1, 2, 1), (1, 2, 1), (2, 1, 1), (2, 1, 2), (3, 1, None), (3, 1, 1), (3, 1, 2), (None, 1, 1), (None, 1, 2)], kind)
+    removed = spark.createDataFrame([(1, 1, 3), (1, 1, 3), (2, 1, 2), (3, 1, None), (9, 9, 9)], kind)
+    found = curation.without_member(merges, removed)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, 1, 1), (1, 1, 2), (1, 1, 2), (3, 1, None), (3, 1, 1), (3, 1, 2)], key=repr)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
