@@ -70,8 +70,10 @@ def resolved(inputs: DataFrame, stations: DataFrame, tag: str) -> DataFrame:
     """inputs: key, input. Adds resolved, strategy and matched (station id), by the first that applies (FN31).
 
     Empty, coordinates, an id with the tag; a station by id (in brackets or the whole input), by value, by name; an id in brackets; digits; the input itself.
+    Each distinct input is looked up once; those without an id, which meet in one part, are few then.
     """
-    i = inputs.select("key", _trimmed("input").alias("input")).withColumns({"_bracket": bracket_id(F.col("input")), "_fold": text.fold(F.col("input"))})
+    asked = inputs.select("key", _trimmed("input").alias("input"))
+    i = asked.select("input").distinct().withColumns({"_bracket": bracket_id(F.col("input")), "_fold": text.fold(F.col("input"))})
     i = i.withColumn("_id", F.coalesce("_bracket", F.when(F.col("input").rlike(r"^\S+$"), F.col("input"))))
 
     def by(key: str, name: str) -> DataFrame:
@@ -85,4 +87,5 @@ def resolved(inputs: DataFrame, stations: DataFrame, tag: str) -> DataFrame:
     for test, name, v in reversed(plain + looked):
         strategy, value = F.when(test, name).otherwise(strategy), F.when(test, v).otherwise(value)
     match = F.when(strategy == "station_lookup", s["id"])
-    return found.select("key", "input", value.alias("resolved"), strategy.alias("strategy"), match.alias("matched"))
+    told = found.select("input", value.alias("resolved"), strategy.alias("strategy"), match.alias("matched"))
+    return asked.join(told, "input").select("key", "input", "resolved", "strategy", "matched")

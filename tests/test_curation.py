@@ -121,3 +121,17 @@ def test_members_are_dealt_once(spark):
     found = curation.without_member(merges, removed)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, 1, 1), (1, 1, 2), (1, 1, 2), (3, 1, None), (3, 1, 1), (3, 1, 2)], key=repr)
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_inputs_are_looked_up_once(spark):
+    """Each distinct input is looked up once, whatever number of rows asks for it, and all rows are answered."""
+    from junctura.operators import lookup
+
+    stops = spark.createDataFrame([(1, "5", "Nord", "1", "1.0", "2.0")], "seq long, stop_id string, stop_name string, location_type string, stop_lat string, stop_lon string")
+    texts = ["5", " nord ", "", None, "Else [5]", "1.50,2"]
+    rows = [(k, texts[k % 6]) for k in range(600)]
+    found = lookup.resolved(spark.createDataFrame(rows, "key long, input string"), lookup.index(stops, "tg"), "tg")
+    want = [("5", "tg_5", "station_lookup", "5"), ("nord", "tg_5", "station_lookup", "5"), ("", "", "empty", None), ("", "", "empty", None), ("Else [5]", "tg_5", "station_lookup", "5"), ("1.50,2", "1.5,2", "coordinates", None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(k, *want[k % 6]) for k in range(600)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [input" in plan
